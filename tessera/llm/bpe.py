@@ -13,7 +13,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from tessera.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; the table is emptied when it is full.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 300_000
 ROWS = 256
 #: A space after a character that is no white space: a pre-token always ends before it.
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -53,55 +52,44 @@ class Codec:
         self.bytes_of = {
             i: bytes(byte_of[c] for c in token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in token)
         }
+        self.size_of = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        for i, x in self.bytes_of.items():
+            self.size_of[i] = len(x)
         self.after_space: dict[str, tuple | None] = {}
-        self.whole: dict[str, tuple] = {}
-
-    def _encode(self, pieces: list[str]) -> Iterator[tuple]:
-        for at in range(0, len(pieces), 2048):
-            for x in self.tokenizer.encode_batch(pieces[at : at + 2048], add_special_tokens=False):
-                ids = x.ids
-                yield len(ids), " ".join(map(str, ids)), self.decode(ids), ids
-
-    def _fill(self, known: dict, pieces: set, space: str) -> None:
-        if len(known) + len(pieces) > KEPT_PIECES:
-            known.clear()
-        new = list(pieces)
-        known.update(zip(new, self._encode([space + x for x in new])))
-
-    def pieces(self, text: str) -> list[tuple]:
-        """(number of ids, ids as text, bytes decoded from the ids, ids) of each piece of the text, in order."""
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces that follow a space. As each ends with no white space they go as one text, whose ids are cut at the pieces' last bytes."""
+        safe = [x for x in new if x and not x[-1].isspace()]
+        ids = self.tokenizer.encode("".join([f" {x}" for x in safe]), add_special_tokens=False).ids
+        ends = np.searchsorted(np.cumsum(self.size_of[ids]), np.cumsum([1 + len(x.encode()) for x in safe])) + 1
+        known, at = self.after_space, 0
+        for x, end in zip(safe, ends.tolist()):
+            known[x] = self._entry(ids[at:end])
+            at = end
+        known.update(dict.fromkeys((x for x in new if not x or x[-1].isspace()), None))  # white space could go on behind them
+
+    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids as text, bytes decoded from the ids) of each piece of the text, in order."""
         first, *parts = text.split(" ")
-        if (missing := set(parts)).difference_update(self.after_space) or missing:
-            self._fill(self.after_space, missing, " ")
-            for x in missing:
-                if not x or x[-1].isspace():  # a white-space run could go on behind it
-                    self.after_space[x] = None
-            if len(self.after_space) == len(missing) and (again := set(parts).difference(missing)):
-                self._fill_again(again)
-        found = [self.after_space[x] for x in parts]
+        known, own = self.after_space, set(parts)
+        if new := [x for x in own if x not in known]:
+            if len(known) + len(new) > KEPT_PIECES:
+                known.clear()
+                new = list(own)
+            self._learn(new)
+        found = [known[x] for x in parts]
         if None in found or first[-1:].isspace():
-            return self._of_whole([x for x in _CUT.split(text) if x])
-        return [*self._of_whole([first] if first else []), *found]
-
-    def _fill_again(self, pieces: set) -> None:
-        """After the table was emptied: what the current text had found in it before."""
-        new = list(pieces)
-        self.after_space.update(zip(new, self._encode([" " + x for x in new])))
-        for x in new:
-            if not x or x[-1].isspace():
-                self.after_space[x] = None
-
-    def _of_whole(self, pieces: list[str]) -> list[tuple]:
-        if missing := set(pieces).difference(self.whole):
-            if len(self.whole) + len(missing) > KEPT_PIECES // 4:
-                self.whole.clear()
-                missing = set(pieces)
-            new = list(missing)
-            self.whole.update(zip(new, self._encode(new)))
-        return [self.whole[x] for x in pieces]
+            return self._apart([x for x in _CUT.split(text) if x])
+        return [*self._apart([first] if first else []), *found]
+
+    def _apart(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        return [self._entry(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in pieces]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[3] for x in self.pieces(text)))
+        return [int(i) for x in self.pieces(text) for i in x[1].split()]
 
     def starts(self, ids: list[int]) -> list[int]:
         """The byte of the text where each token starts."""
