@@ -23,7 +23,7 @@ from tessera.llm.common import table
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; the table is emptied when it is full.
 KEPT_PIECES = 300_000
-ROWS = 256
+ROWS = 128
 #: A space after a character that is no white space: a pre-token always ends before it.
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -42,6 +42,8 @@ def vocabulary_path(name: str | None = None) -> str:
 
 
 class Codec:
+    """Encodes and decodes; keeps the ids of known pieces end to end in one array (``pool``)."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -55,41 +57,66 @@ class Codec:
         self.size_of = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
         for i, x in self.bytes_of.items():
             self.size_of[i] = len(x)
-        self.after_space: dict[str, tuple | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # pieces after a space: their place below, or -1 where white space could go on behind them
+        self.pool, self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode pieces that follow a space. As each ends with no white space they go as one text, whose ids are cut at the pieces' last bytes."""
+        """Encode pieces that follow a space. As they end with no white space, many go as one text, whose ids are cut at the pieces' last bytes."""
         safe = [x for x in new if x and not x[-1].isspace()]
-        ids = self.tokenizer.encode("".join([f" {x}" for x in safe]), add_special_tokens=False).ids
-        ends = np.searchsorted(np.cumsum(self.size_of[ids]), np.cumsum([1 + len(x.encode()) for x in safe])) + 1
-        known, at = self.after_space, 0
-        for x, end in zip(safe, ends.tolist()):
-            known[x] = self._entry(ids[at:end])
-            at = end
-        known.update(dict.fromkeys((x for x in new if not x or x[-1].isspace()), None))  # white space could go on behind them
-
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as text, bytes decoded from the ids) of each piece of the text, in order."""
-        first, *parts = text.split(" ")
-        known, own = self.after_space, set(parts)
-        if new := [x for x in own if x not in known]:
-            if len(known) + len(new) > KEPT_PIECES:
-                known.clear()
-                new = list(own)
-            self._learn(new)
-        found = [known[x] for x in parts]
-        if None in found or first[-1:].isspace():
-            return self._apart([x for x in _CUT.split(text) if x])
-        return [*self._apart([first] if first else []), *found]
-
-    def _apart(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
-        return [self._entry(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in pieces]
+        self.known.update(dict.fromkeys(new, -1))
+        if not safe:
+            return
+        joined = ["".join([f" {x}" for x in safe[at : at + 256]]) for at in range(0, len(safe), 256)]
+        ids = np.fromiter((i for x in self._encode(joined) for i in x), np.int32)
+        last = np.cumsum(np.fromiter((1 + len(x.encode()) for x in safe), np.int64, len(safe)))
+        ends = np.searchsorted(np.cumsum(self.size_of[ids]), last) + 1
+        counts = np.diff(ends, prepend=0)
+        self.known.update(zip(safe, range(len(self.first), len(self.first) + len(safe))))
+        self.first = np.concatenate([self.first, len(self.pool) + ends - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = [x.split(" ") for x in texts]
+        heads = self._encode([x[0] for x in parts])
+        own = set().union(*[x[1:] for x in parts])
+        new = [x for x in own if x not in self.known]
+        if len(self.known) + len(new) > KEPT_PIECES:
+            self._forget()
+            new = list(own)
+        self._learn(new)
+        out = []
+        for text, (head, *tail), ids in zip(texts, parts, heads):
+            at = [self.known[x] for x in tail]
+            if head[-1:].isspace() or -1 in at:
+                out.append(self._in_blocks(text))
+                continue
+            at = np.array(at, np.int64)
+            counts = self.count[at]
+            places = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            out.append(np.concatenate([np.array(ids, np.int32), self.pool[places]]))
+        return out
+
+    def _in_blocks(self, text: str, characters: int = 65536) -> np.ndarray:
+        """A text with runs of white space: cut only where a space follows something else, and encoded in blocks of such pieces."""
+        blocks, size = [[]], 0
+        for piece in _CUT.split(text):
+            if size > characters:
+                blocks.append([])
+                size = 0
+            blocks[-1].append(piece)
+            size += len(piece)
+        return np.concatenate([np.array(x, np.int32) for block in blocks for x in self._encode(["".join(block)])])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.pieces(text) for i in x[1].split()]
+        return self.encode_texts([text])[0].tolist()
 
     def starts(self, ids: list[int]) -> list[int]:
         """The byte of the text where each token starts."""
@@ -119,7 +146,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(vocabulary_path(vocabulary))
         for part, texts in _texts(batches):
-            ids = [c.encode(x or "") for x in texts]
+            ids = [x.tolist() for x in c.encode_texts([x or "" for x in texts])]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.starts(x) for x in ids], pa.list_(pa.int64()))],
                 ["doc_id", "ids", "starts"],
@@ -151,11 +178,11 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         c = codec(vocabulary_path(vocabulary))
         for part, texts in _texts(batches):
             n, ids, decoded = [], [], []
-            for text in texts:
-                pieces = c.pieces(text) if text else []
-                n.append(sum([x[0] for x in pieces]))
-                ids.append(hashlib.sha256(" ".join([x[1] for x in pieces]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in pieces])).hexdigest())
+            for x in c.encode_texts([x or "" for x in texts]):
+                found = x.tolist()
+                n.append(len(found))
+                ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(c.decode(found)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
