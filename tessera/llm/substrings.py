@@ -52,9 +52,12 @@ def _paired(h: np.ndarray, by: int) -> np.ndarray:
     return _mixed(h[: len(h) - by] * _BASE + h[by:]) if len(h) > by else h[:0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each text and the end) of UTF-8 ``data`` cut into texts at ``offsets``."""
-    inside = ~_SPACE[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, byte: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, first word of each text and the end) of UTF-8 ``data`` cut into texts at ``offsets``.
+
+    ``space`` tells which bytes lie between words; bytes with one value in ``byte`` count as equal.
+    """
+    inside = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begins = inside.copy()
@@ -67,7 +70,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.diff(at, append=len(places))
     within = np.arange(len(places)) - np.repeat(at, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _BASE))
-    sums = np.add.reduceat(_BYTE[data[places]] * powers[within], at)
+    sums = np.add.reduceat(byte[data[places]] * powers[within], at)
     return _mixed(sums + lengths.astype(np.uint64) * _M2), np.searchsorted(starts, offsets)
 
 
