@@ -167,8 +167,8 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return tokens.selectExpr("bigint(doc_id) doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text).
+def digests(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of each row of ``docs`` (doc_id, text).
 
     Null and empty texts have no tokens and the hashes of the empty string. Null doc_ids and repeated
     rows are kept; other columns are ignored. Texts are read whole, and one text at a time is encoded.
@@ -177,18 +177,22 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(vocabulary_path(vocabulary))
         for part, texts in _texts(batches):
-            n, ids, decoded = [], [], []
+            n, ids, decoded, lists = [], [], [], []
             for x in c.encode_texts([x or "" for x in texts]):
                 found = x.tolist()
+                if with_ids:
+                    lists.append(x)
                 n.append(len(found))
                 ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(found)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.selectExpr("bigint(doc_id) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.selectExpr("bigint(doc_id) doc_id", "text").mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("skey"),  # null last
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64("text").alias("text_key"),
             F.xxhash64(F.lit(seed), "doc_id").alias("draw"),
         )
     )
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
         .join(targets.join(ends, "skey"), "skey")
         .drop("words")
     )
-    within = Window.partitionBy("skey", "part").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "part").orderBy("draw", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
 
     def drawn(copy: int):
         start = F.col("start") + copy * F.col("source_size")
@@ -166,6 +167,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
         .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         .select(
             "doc_id",
+            "text_key",
             F.when(F.col("skey").startswith("s"), F.expr("substring(skey, 2)")).alias("source"),
             "size",
             "source_size",
@@ -180,6 +182,22 @@ def mixed_rows(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "source", "size", F.explode("placements").alias("x")).select("doc_id", "source", "size", "x.*")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row for each draw; draws of rows that are equal in doc_id, text and source are dealt among them in turn."""
+    key = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source")]
+    draws = (
+        mix(docs)
+        .groupBy("doc_id", "text_key", "source")
+        .agg(F.flatten(F.collect_list("placements")).alias("_draws"), F.count("*").alias("_rows"))
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "_draws", "_rows")
+        .where(F.size("_draws") > 0)
+    )
+    same = Window.partitionBy("_id", "_text", "_source").orderBy("_rows")
+    joined = docs.join(draws, key[0].eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_text")) & key[2].eqNullSafe(F.col("_source")))
+    mine = F.filter("_draws", lambda x, i: i % F.col("_rows") == F.col("_turn") - 1)
+    return joined.withColumn("_turn", F.row_number().over(same)).withColumn("_draw", F.explode(mine)).select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(
