@@ -1,6 +1,251 @@
-"""The registered queries of the answering engine and the SQL they are held against."""
+"""The registered queries of the answering engine and the SQL they are held against.
+
+Stand-in models take the place of the segmenter, embedder, reranker and generator.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import config, models
+from tessera.functions.text import chunk_udf, not_blank, row_text
+from tessera.functions.vectors import cosine, token_bucket
+from tessera.operators import answer, cache, chunks, retrieve, sessions, store
+from tessera.sources import loader
+
+#: Literal texts for the blank test: blanks of several kinds, then texts that are none.
+_BLANKS = ("", " ", "\t\n", "　", "\x1c\x1d", "\u0085", " ", "​", " a ")
+TOKENS = r"[^\p{L}\p{N}]+"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_texts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = row_text(rows)
+    return rows.select("conv_id", "turn", text.alias("row_text")).where(not_blank(F.col("row_text")))
+
+
+def nonblank_docs(spark, sf_dir):
+    literals = spark.range(1).select(F.posexplode(F.array(*map(F.lit, _BLANKS))).alias("k", "text")).select((-1 - F.col("k")).cast("long").alias("doc_id"), "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(literals)
+    return docs.where(F.col("text").isNotNull() & (F.col("text") != "") & not_blank(F.col("text"))).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _sources(sf_dir: str) -> list[loader.Source]:
+    return [
+        loader.Source("documents", lambda s: _table(s, sf_dir, "documents").select("doc_id", "text"), ("doc_id",)),
+        loader.Source("conversations", lambda s: _table(s, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ("conv_id", "turn"), 200),
+    ]
+
+
+def union_sources(spark, sf_dir):
+    rows = loader.load(spark, _sources(sf_dir))
+    return rows.select("source_ord", F.array_join("doc_ord", "/").alias("doc_ord"), F.md5("text").alias("text_md5"))
+
+
+def source_counts(spark, sf_dir):
+    return loader.source_counts(
+        spark, [*_sources(sf_dir), loader.Source("pages", lambda s: _table(s, sf_dir, "pages"), ("page_id",))]
+    ).unionByName(loader.load(spark, _sources(sf_dir)).agg(F.count("*").alias("n_rows")).select(F.lit("corpus").alias("source"), "n_rows"))
+
+
+def line_chunks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    numbered = chunks.number_pieces(docs, ["doc_id"], F.split("text", "\n"))
+    return numbered.where(not_blank(F.col("piece"))).select("id", F.md5("piece").alias("text_md5"))
+
+
+def recursive_chunks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.chunk_documents(docs, ["doc_id"])
+
+
+def fault_isolation(spark, sf_dir):
+    broken = loader.parquet_source("broken", f"{sf_dir}/no_such_table.parquet", ("doc_id",))
+    return loader.load(spark, [broken, _sources(sf_dir)[0]]).agg(F.count("*").alias("n_texts"))
+
+
+def _points(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+
+
+def dense_top9(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    found = retrieve.dense_top_k(points.where("id = 0").select(F.col("id").alias("query_id"), "dense"), points, 9)
+    return found.select("id", "rank", F.round("score", 6).alias("score"))
+
+
+def dense_topk_batch(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    found = retrieve.dense_top_k(points.where("id % 25 = 0").select(F.col("id").alias("query_id"), "dense"), points, 9)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def cosine_pairs(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    pairs = points.select((F.col("id") + 1).alias("next"), F.col("dense").alias("before")).join(points, F.col("next") == F.col("id"))
+    return pairs.select("id", F.round(cosine(F.col("dense"), F.col("before")), 6).alias("cosine"))
+
+
+def sparse_weights(spark, sf_dir):
+    tokens = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), TOKENS)).alias("token")).where("token <> ''")
+    return tokens.groupBy("doc_id", token_bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("weight"))
+
+
+def sparse_vectors(spark, sf_dir):
+    by_doc = sparse_weights(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
+    indices, values = F.transform("w", lambda x: x["bucket"].cast("int")), F.transform("w", lambda x: x["weight"].cast("float"))
+    return by_doc.select("doc_id", F.array_join(indices.cast("array<string>"), ",").alias("indices"), F.array_join(F.transform(values, lambda v: v.cast("int").cast("string")), ",").alias("vals"))
+
+
+def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), TOKENS))).alias("token")).where("token <> ''")
+
+
+def retrieve_rerank(spark, sf_dir):
+    """The reranker's stand-in as an inverted index: documents by the number of distinct tokens shared with a question."""
+    questions = _tokens(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    shared = _tokens(_table(spark, sf_dir, "documents"), "doc_id", "text").join(questions, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
+    best = F.row_number().over(retrieve.Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))
+    return shared.withColumn("rank", best.cast("long")).where("rank <= 3")
+
+
+def prompt_build(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
+    prompt = answer.prompt_of(F.col("contexts"), F.col("query_id").cast("string"))
+    return answer.contexts_of(turns).select("query_id", F.md5(prompt).alias("prompt_md5"), F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def fallback_answer(spark, sf_dir):
+    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    passages = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), "text")
+    return answer.answers(questions, passages).select("query_id", "answer", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def llm_parse(spark, sf_dir):
+    body = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(F.concat(F.lit("ok "), "event_type").alias("response")))).when(
+        F.col("event_id") % 4 == 1, F.lit('{"response":null}')
+    ).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.lit('{"response":""}'))
+    return _table(spark, sf_dir, "events").select("event_id", models.parsed_response(body).alias("answer"))
+
+
+def upsert_last_wins(spark, sf_dir):
+    held = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+    changed = held.where("id % 3 = 0").withColumn("balance", F.round(F.col("balance") + 1, 2)).withColumn("batch", F.lit(1))
+    again = held.where("id % 6 = 0").withColumn("balance", F.round(F.col("balance") + 2, 2)).withColumn("batch", F.lit(2))
+    added = held.where("id % 300 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("batch", F.lit(3))
+    new = store.last_wins(changed.unionByName(again).unionByName(added), "id", "batch").drop("batch")
+    return store.upserted(held, new)
+
+
+def upsert_batches(spark, sf_dir):
+    return store.flush_batches(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def cache_key(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", cache.cache_key(F.col("text")).alias("key"))
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select(F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type")).alias("key"), "ts", "event_id")
+
+
+def ttl_cache(spark, sf_dir):
+    return cache.replayed(_requests(_table(spark, sf_dir, "events")))
+
+
+def cache_route(spark, sf_dir):
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"))
+    questions = asked.select("query_id", F.col("text").alias("query"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    held = questions.where("query_id % 3 <> 0").select(
+        cache.cache_key(F.col("query")).alias("key"),
+        F.when(F.col("query_id") % 7 == 0, "").otherwise(F.concat(F.lit("cached "), F.md5("query"))).alias("answer"),
+        F.when(F.col("query_id") % 5 == 0, now).otherwise(now + F.make_dt_interval(secs=F.lit(60))).alias("expires_at"),
+    )
+    agent = lambda misses: misses.select("query_id", "query", F.concat(F.lit("fresh "), F.md5("query")).alias("answer"), F.array(F.col("query")).alias("contexts"))
+    responses, _ = cache.cache_aside(questions, held, agent, now)
+    return responses.select("query_id", "answer", "source", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def session_replay(spark, sf_dir):
+    return sessions.replay(_table(spark, sf_dir, "conversations")).select("conv_id", "position", "role", F.md5("text").alias("text_md5"))
+
+
+def context_numbers(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
+    return sessions.numbered_contexts(answer.contexts_of(turns)).select("query_id", "number", F.md5("context").alias("context_md5"))
+
+
+def rag_answers(spark, sf_dir):
+    """Documents to chunks to points; each benchmark text as a question: vector search, rerank, prompt, answer."""
+    made = chunks.chunk_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    embed = models.embed_udf()
+    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    passages = retrieve.search(questions, store.points_of(made, embed), embed)
+    return answer.answers(questions, passages).select("query_id", "answer", F.size("contexts").alias("n_contexts"))
+
+
+QUERIES = {
+    "row_text": row_texts,
+    **{
+        f.__name__: f
+        for f in (
+            nonblank_docs, union_sources, source_counts, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, cosine_pairs,
+            sparse_weights, sparse_vectors, retrieve_rerank, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
+            ttl_cache, cache_route, session_replay, context_numbers, rag_answers,
+        )
+    },
+}
+
+_ROW = "concat_ws(' ', CASE WHEN conv_id <> 0 THEN conv_id::VARCHAR END, CASE WHEN turn <> 0 THEN turn::VARCHAR END, nullif(role, ''), nullif(text, ''))"
+_DOC_ROW = "concat_ws(' ', CASE WHEN doc_id <> 0 THEN doc_id::VARCHAR END, nullif(text, ''))"
+_SOLID = r"regexp_matches({}, '[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]')"
+_CORPUS = f"""SELECT 0 AS source_ord, doc_id::VARCHAR AS doc_ord, md5(t) AS text_md5 FROM (SELECT doc_id, {_DOC_ROW} t FROM documents) WHERE {_SOLID.format("t")}
+  UNION ALL SELECT 1, conv_id || '/' || turn, md5(t) FROM (SELECT conv_id, turn, {_ROW} t FROM (SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 200)) WHERE {_SOLID.format("t")}"""
+_WORDS = "SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS token FROM {table}"
+_WEIGHTS = f"SELECT doc_id, ('0x' || md5(token)[1:8])::BIGINT % 1024 AS bucket, count(*) AS weight FROM ({_WORDS.format(key='doc_id', table='documents')}) WHERE token <> '' GROUP BY 1, 2"
+_TOP = """SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) DESC, p.vec_id) AS rank
+  FROM embeddings q, embeddings p WHERE {}) WHERE rank <= 9"""
+_JOINED = f"string_agg(text, '{config.CONTEXT_SEPARATOR}' ORDER BY turn)"
+
+SQL = {
+    "row_text": f"SELECT conv_id, turn, row_text FROM (SELECT conv_id, turn, {_ROW} AS row_text FROM conversations) WHERE {_SOLID.format('row_text')}",
+    "nonblank_docs": f"SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {', '.join(f'({-1 - k}::BIGINT, {chr(39)}{x}{chr(39)})' for k, x in enumerate(_BLANKS))}) WHERE {_SOLID.format('text')}",
+    "union_sources": _CORPUS,
+    "source_counts": f"SELECT 'documents' AS source, count(*) AS n_rows FROM documents UNION ALL SELECT 'conversations', least(200, count(*)) FROM conversations UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'corpus', count(*) FROM ({_CORPUS})",
+    "fault_isolation": f"SELECT count(*) AS n_texts FROM (SELECT {_DOC_ROW} t FROM documents) WHERE {_SOLID.format('t')}",
+    "line_chunks": f"""SELECT id, md5(piece) AS text_md5 FROM (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS id, piece FROM
+  (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> '')) WHERE {_SOLID.format('piece')}""",
+    "dense_top9": f"SELECT id, rank, score FROM ({_TOP.format('q.vec_id = 0')})",
+    "dense_topk_batch": _TOP.format("q.vec_id % 25 = 0"),
+    "cosine_pairs": "SELECT b.vec_id AS id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "sparse_weights": _WEIGHTS,
+    "sparse_vectors": f"SELECT doc_id, string_agg(bucket::VARCHAR, ',' ORDER BY bucket) AS indices, string_agg(weight::VARCHAR, ',' ORDER BY bucket) AS vals FROM ({_WEIGHTS}) GROUP BY 1",
+    "retrieve_rerank": f"""WITH q AS (SELECT DISTINCT * FROM ({_WORDS.format(key='item_id', table='benchmark')}) WHERE token <> ''), d AS (SELECT DISTINCT * FROM ({_WORDS.format(key='doc_id', table='documents')}) WHERE token <> ''),
+  s AS (SELECT item_id, doc_id, count(*) AS overlap FROM d JOIN q USING (token) GROUP BY 1, 2)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) WHERE rank <= 3""",
+    "prompt_build": f"SELECT conv_id AS query_id, md5('{config.PROMPT[0]}' || {_JOINED} || '{config.PROMPT[1]}' || conv_id || '{config.PROMPT[2]}') AS prompt_md5, count(*) AS n_contexts FROM conversations GROUP BY 1",
+    "fallback_answer": f"""SELECT item_id AS query_id, CASE WHEN doc_id IS NULL THEN '{config.NO_DOCUMENT}' ELSE 'answer ' || md5('{config.PROMPT[0]}' || d.text || '{config.PROMPT[1]}' || b.text || '{config.PROMPT[2]}') END AS answer,
+  (doc_id IS NOT NULL)::BIGINT AS n_contexts FROM benchmark b LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = b.item_id""",
+    "llm_parse": f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ok ' || event_type WHEN 1 THEN NULL WHEN 2 THEN '{config.LLM_MISSING}' ELSE '' END AS answer FROM events",
+    "upsert_last_wins": """WITH h AS (SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS balance FROM customer),
+  a AS (SELECT *, 0 AS batch FROM h UNION ALL SELECT id, name, round(balance + 1, 2), 1 FROM h WHERE id % 3 = 0 UNION ALL SELECT id, name, round(balance + 2, 2), 2 FROM h WHERE id % 6 = 0
+  UNION ALL SELECT id + 1000000, name, balance, 3 FROM h WHERE id % 300 = 0)
+  SELECT id, name, balance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS n FROM a) WHERE n = 1""",
+    "upsert_batches": "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents) GROUP BY 1",
+    "cache_key": "SELECT conv_id, turn, md5(text) AS key FROM conversations",
+    "ttl_cache": """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT user_id, event_type, n, event_id, ts + INTERVAL 3600 SECOND AS expires, false AS hit FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.n, e.event_id, CASE WHEN e.ts >= f.expires THEN e.ts + INTERVAL 3600 SECOND ELSE f.expires END, e.ts < f.expires
+  FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1) SELECT event_id, hit FROM f""",
+    "cache_route": f"""SELECT query_id, CASE WHEN hit THEN 'cached ' ELSE 'fresh ' END || md5(text) AS answer, CASE WHEN hit THEN '{config.FROM_CACHE}' ELSE '{config.FROM_AGENT}' END AS source, (NOT hit)::BIGINT AS n_contexts
+  FROM (SELECT text, query_id, query_id % 3 <> 0 AND query_id % 7 <> 0 AND query_id % 5 <> 0 AS hit FROM (SELECT text, min(conv_id * 1000 + turn) AS query_id FROM conversations WHERE role = 'user' GROUP BY text))""",
+    "session_replay": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role, md5(text) AS text_md5 FROM conversations",
+    "context_numbers": "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, md5(text) AS context_md5 FROM conversations",
+}
