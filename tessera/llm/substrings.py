@@ -35,7 +35,6 @@ _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 _ANCHOR = np.dtype([("h4", "<u8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u2"), ("mask", "<u2")])
 _DOC = np.dtype([("id", "<i8"), ("key", "<i4")])
 _DONE = np.dtype([("pos", "<u4"), ("doc", "<u2"), ("mask", "<u2")])
-_MARK = np.dtype([("pos", "<u4"), ("mask", "<u2")])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -215,7 +214,7 @@ def repeated(anchor: np.ndarray, ids: np.ndarray, short: np.ndarray) -> np.ndarr
 
 
 def _decided(group: pa.Table) -> pa.Table:
-    """(doc_id, key, marks) of one bucket."""
+    """(doc_id, key, mark) of one bucket: a mark is an anchor's place in its document and, in 10 bits, its windows to remove."""
     anchor, ids, keys, short, done = [], [], [], [], []
     for a, w, s, d in zip(*[group.column(x).to_pylist() for x in ("anchors", "windows", "settled", "docs")]):
         docs = np.frombuffer(d, _DOC)
@@ -229,21 +228,15 @@ def _decided(group: pa.Table) -> pa.Table:
     mask = repeated(anchor, ids, np.concatenate(short))
     hit = np.flatnonzero(mask)
     found = [np.concatenate([x, *y]) for x, y in zip((ids[hit], keys[hit], anchor["pos"][hit], mask[hit]), zip(*done))]
-    order = np.lexsort((found[2], found[1], found[0]))
-    ids, keys, pos, mask = (x[order] for x in found)
-    marks = np.empty(len(pos), _MARK)
-    marks["pos"], marks["mask"] = pos, mask
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(ids) else np.empty(0, np.int64)
-    offsets = (np.append(first, len(pos)) * _MARK.itemsize).astype(np.int32)
-    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(marks.tobytes())])
-    return pa.Table.from_arrays([pa.array(ids[first]), pa.array(keys[first].astype(np.int32)), blobs], ["doc_id", "key", "marks"])
+    mark = found[2].astype(np.int64) << 10 | found[3].astype(np.int64)
+    return pa.Table.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(mark)], ["doc_id", "key", "mark"])
 
 
-def removed_words(n_words: int, marks: bytes) -> np.ndarray:
+def removed_words(n_words: int, marks: list[int]) -> np.ndarray:
     """Whether each word is covered by a marked window."""
-    x = np.frombuffer(marks, _MARK)
-    owner, offset = np.nonzero((x["mask"][:, None] >> np.arange(10, dtype=np.uint16)) & 1)
-    start = x["pos"][owner].astype(np.int64) - offset
+    x = np.array(marks, np.int64)
+    owner, offset = np.nonzero((x[:, None] >> np.arange(10)) & 1)
+    start = (x[owner] >> 10) - offset
     steps = np.zeros(n_words + 1, np.int64)
     np.add.at(steps, start, 1)
     np.add.at(steps, start + WINDOW, -1)
@@ -251,7 +244,7 @@ def removed_words(n_words: int, marks: bytes) -> np.ndarray:
 
 
 def with_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and marks (arrays of bytes, null where nothing repeats) for each row of ``docs``.
+    """doc_id, text and marks (an array, null where nothing repeats) for each row of ``docs``.
 
     Rows without a doc_id neither lose words nor make others lose them; rows that share a doc_id do not
     make each other lose words. A row's marks are joined by its doc_id and a hash of its text.
@@ -259,8 +252,8 @@ def with_marks(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 + total // BUCKET_BYTES
-    marks = _open_windows(slim, int(buckets)).groupBy("bucket").applyInArrow(_decided, "doc_id long, key int, marks binary")
-    by_doc = marks.groupBy("doc_id", "key").agg(F.collect_list("marks").alias("marks"))
+    marks = _open_windows(slim, int(buckets)).groupBy("bucket").applyInArrow(_decided, "doc_id long, key int, mark long")
+    by_doc = marks.groupBy("doc_id", "key").agg(F.collect_list("mark").alias("marks"))
     # A bigint cast to int keeps the low 32 bits, as the packed key does; try_cast would not.
     low = F.shiftright(F.shiftleft(F.col("key"), 32), 32).cast("int")
     return slim.withColumn("key", low).join(by_doc, ["doc_id", "key"], "left").drop("key")
@@ -283,7 +276,7 @@ def _finished(docs: DataFrame, digest: bool) -> DataFrame:
                     words = (text or "").encode().split()
                     n.append(len(words))
                     if marks:
-                        gone = removed_words(len(words), b"".join(marks))
+                        gone = removed_words(len(words), marks)
                         removed.append(int(gone.sum()))
                         words = compress(words, (~gone).tolist())
                     else:
