@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 24 << 20
 WINDOW, HALF, QUARTER = 13, 8, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
