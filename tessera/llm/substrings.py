@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 WINDOW, HALF, QUARTER = 13, 8, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -189,7 +189,8 @@ def repeated(anchor: np.ndarray, ids: np.ndarray, short: np.ndarray) -> np.ndarr
     """The mask of each anchor's windows that a smaller document has. ``short``: hashes of the windows in mask, from bit 9 to 0."""
     bits = (anchor["mask"][:, None] >> np.arange(9, -1, -1, dtype=np.uint16)) & 1
     owner, column = np.nonzero(bits)
-    offset = 9 - column
+    owner, offset = owner.astype(np.int32), (9 - column).astype(np.uint8)
+    del bits, column
     alive = _in_two(anchor["h4"], ids)  # level 4
     sides = []
     for side in ("left", "right"):  # level 8
