@@ -57,6 +57,8 @@ class Codec:
         self.size_of = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
         for i, x in self.bytes_of.items():
             self.size_of[i] = len(x)
+        self.byte_list = [self.bytes_of.get(i) for i in range(len(self.size_of))]
+        self.digits = list(map(str, range(len(self.size_of))))
         self._forget()
 
     def _forget(self) -> None:
@@ -124,8 +126,10 @@ class Codec:
         return (np.cumsum(sizes) - sizes).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids])
+        return b"".join(map(self.byte_list.__getitem__, ids))
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.digits.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +187,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fal
                 if with_ids:
                     lists.append(x)
                 n.append(len(found))
-                ids.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
+                ids.append(hashlib.sha256(c.decimal(found).encode()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(found)).hexdigest())
             columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
