@@ -25,6 +25,8 @@ RULES = {
     "repeats": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
     "exclaims": (0.8, 0.5, 0.3, 0.2, 0.1, 0.05),
 }
+#: Share of good documents that a rule may reject in a stratum; error rate over all tests; junk that a rejected good document outweighs.
+ALPHA, DELTA, PRICE = 0.02, 0.05, 5.0
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -112,7 +114,7 @@ def binomial_tail(n: str, k: str, p: float, terms: int = 4000) -> str:
         s -> least(1D, s.sum + CASE WHEN s.j > 0 THEN s.term / (1D - {ratio}) ELSE 0D END)) END"""
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05, price: float = 5.0) -> DataFrame:
+def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> DataFrame:
     """(stratum, one column for each rule): the chosen cutoffs, null where none is certified; labelled has quality 0 or 1."""
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     sums = [F.sum(good.cast("long")).alias("n")]
