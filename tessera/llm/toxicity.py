@@ -27,6 +27,8 @@ VOCABULARY, LEAST_DOCUMENTS, LEAST_SHARE = 16384, 5, 250
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 6, 8
 STEPS, REFRESH, BATCH = 200, 40, 256
+#: A log odds counted in SHRINK documents is halved.
+SHRINK = 10
 THRESHOLD = 0.3
 #: Texts of so many bytes are scored at once.
 BLOCK_BYTES = 1 << 20
@@ -232,7 +234,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 42) ->
     often = in_toxic + in_clean
     rank = np.lexsort((block.hashes, -often))[:VOCABULARY]
     chosen = np.sort(rank[often[rank] >= max(LEAST_DOCUMENTS, block.n // LEAST_SHARE)])
-    shrunk = lambda x, n: x * n / (n + 10)
+    shrunk = lambda x, n: x * n / (n + SHRINK)
     odds = np.log((in_toxic + 0.5) / ((toxic & learn).sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic & learn).sum() + 1))
     m = Model(block.hashes[chosen])
     shapes = {"attention": (2 * HIDDEN,), "out": (2 * HIDDEN,)}
@@ -240,8 +242,16 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 42) ->
         shapes |= {"w" + side: (WORD_DIM + CHAR_DIM, 3 * HIDDEN), "u" + side: (HIDDEN, 3 * HIDDEN)}
         m.p["b" + side] = np.zeros(3 * HIDDEN, np.float32)
     for name, shape in shapes.items():
-        m.p[name] = (rng.standard_normal(shape) * 0.3).astype(np.float32)
+        m.p[name] = (rng.standard_normal(shape) * 0.1).astype(np.float32)
     m.p["bias"] = np.array([-1.0], np.float32)
+    # The first two units of each direction begin by passing on the log odds (see below) of the word read last and of
+    # its characters, so that few labels only have to correct what words and characters say by themselves.
+    for side, unit in (("f", 0), ("b", HIDDEN)):
+        for k, evidence in enumerate((0, WORD_DIM)):
+            m.p["w" + side][[0, WORD_DIM], 2 * HIDDEN + k] = 0.0
+            m.p["w" + side][evidence, 2 * HIDDEN + k] = 1.0
+            m.p["b" + side][[k, 2 * HIDDEN + k]] = -2.0, -1.5
+            m.p["attention"][unit + k] = m.p["out"][unit + k] = 2.0
     # Embeddings begin with log odds, shrunk for what is rare, in the first place.
     m.p["word"] = np.zeros((len(chosen) + 1, WORD_DIM), np.float32)
     m.p["word"][:-1, 0] = shrunk(odds, often)[chosen]
