@@ -9,8 +9,10 @@ documents, level 8 keeps those whose extension to the left or right is found in
 and level 13 decides the windows around them.
 
 A block of texts settles first what it can: only its least document keeps a window
-open, so a passage that a third of all documents share reaches its task once a block.
-Windows are compared by hashes of 112 bits in all (64 + 16 + 32).
+open. Windows that a block holds twice are remembered by its task, and blocks after it
+settle them too, so a passage that a third of all documents share is sent about once
+a task. Windows are compared by hashes of 64 bits there and of 112 in all (64 + 16 + 32)
+where they meet.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tessera.llm.common import table
 
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+#: Repeated windows that a task remembers (16 bytes each); others are sent, and are settled where they meet.
+REMEMBERED = 1 << 18
 WINDOW, HALF, QUARTER = 13, 8, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -87,7 +91,31 @@ def anchors(h4: np.ndarray, n: int) -> np.ndarray:
     return least(best[:n], best[width - span : width - span + n])
 
 
-def block_rows(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: int) -> list[tuple]:
+class Remembered:
+    """The least document that has sent each of some windows in this task."""
+
+    def __init__(self):
+        self.hashes, self.least = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The document of each window, or the largest id there is."""
+        if not len(self.hashes):
+            return np.full(len(hashes), np.iinfo(np.int64).max)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.least[at], np.iinfo(np.int64).max)
+
+    def keep(self, hashes: np.ndarray, least: np.ndarray) -> None:
+        """``hashes`` ascend. What is new takes the place of all that is old when both are too many."""
+        hashes, least = hashes[:REMEMBERED], least[:REMEMBERED]
+        old = ~np.isin(self.hashes, hashes, assume_unique=True)
+        if old.sum() + len(hashes) <= REMEMBERED:
+            hashes, least = np.concatenate([self.hashes[old], hashes]), np.concatenate([self.least[old], least])
+            order = np.argsort(hashes)
+            hashes, least = hashes[order], least[order]
+        self.hashes, self.least = hashes.copy(), least.copy()
+
+
+def block_rows(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: int, remembered: Remembered | None = None) -> list[tuple]:
     """(bucket, anchors, windows, settled, docs) of one block, each but the first as bytes. Ids are not null."""
     words, first = word_hashes(data, offsets)
     if len(words) < WINDOW:
@@ -101,10 +129,16 @@ def block_rows(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.
         return []
     anchor = anchors(h4, len(h13))[windows]
     own, doc = h13[windows], doc_of[windows]
-    # Within the block, windows that a smaller document has are settled.
+    # Windows that a smaller document has, in this block or one before it, are settled.
     order = np.argsort(own)
     runs = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
     least = np.minimum.reduceat(ids[doc[order]], runs)
+    if remembered is not None:
+        found = own[order][runs]
+        before = remembered.find(found)
+        again = (least < np.maximum.reduceat(ids[doc[order]], runs)) | (before < np.iinfo(np.int64).max)
+        least = np.minimum(least, before)
+        remembered.keep(found[again], least[again])
     settled = np.empty(len(windows), bool)
     settled[order] = ids[doc[order]] > np.repeat(least, np.diff(runs, append=len(windows)))
     # Anchors: runs of windows with one anchor.
@@ -155,6 +189,7 @@ def _open_windows(docs: DataFrame, buckets: int) -> DataFrame:
     names = ["bucket", "anchors", "windows", "settled", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]):
+        remembered = Remembered()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -165,7 +200,7 @@ def _open_windows(docs: DataFrame, buckets: int) -> DataFrame:
                 to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1
                 to = min(max(to, at + 1), at + 60_000, len(ids))
                 part = data[offsets[at] : offsets[to]]
-                if rows := block_rows(ids[at:to], keys[at:to], part, offsets[at : to + 1] - offsets[at], buckets):
+                if rows := block_rows(ids[at:to], keys[at:to], part, offsets[at : to + 1] - offsets[at], buckets, remembered):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in range(1, 5)]], names
                     )
