@@ -407,13 +407,6 @@ def test_rows_of_sql(spark, name):
     assert _sorted(got.select(*columns).collect()) == _sorted(expected.fetchall())
 
 
-def _fingerprint(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    shingles = [words[i : i + 3] for i in range(max(1, len(words) - 2))] if words else []
-    hashes = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def _first_of_groups(texts):
     """The least ids of the groups that links between all pairs make."""
     prints, group = {d: _fingerprint(t) for d, t in texts.items()}, {d: d for d in texts}
