@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, mixing, pii, quality, simhash
 from tessera.llm.common import Written, table
 
+#: Jaccard similarity of 5-word shingles from which documents are near-duplicates.
+NEAR = 0.8
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; cutoffs are certified on the labelled documents among ``docs``."""
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near-duplicates the document with the least doc_id stays: within op6's three bits, or NEAR and more alike."""
+    return simhash.keep_first(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

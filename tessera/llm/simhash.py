@@ -8,6 +8,10 @@ meet their queries in the shard's task instead of being broadcast, because shard
 have no size bound. A shard gives a spanning edge for each link that joins two of
 its parts, which loses no link between components; components follow by
 large-star and small-star steps on the edges.
+
+Edited copies may lie further apart than three bits. Where a similarity is asked for,
+texts that agree in a MinHash band of their 5-word shingles are candidates, whose
+Jaccard similarity is computed on the whole sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +34,9 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Shards of more fingerprints are cut again by five blocks of what their key leaves open.
 LARGE_SHARD = 4096
+#: For links by similarity: words of a shingle, and MinHash bands of so many rows. Of pairs at 0.8, 0.07 % agree in no band.
+SHINGLE, BANDS, ROWS = 5, 24, 6
+_FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, size: int = 3) -> np.ndarray:
@@ -189,7 +197,7 @@ def _edges(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each connected component, for nodes that have an edge (a, b).
+    """(node, root): the least node of each connected component, for the other nodes that have an edge (a, b).
 
     Each round is a large-star and a small-star step (Kiveris et al., 2014): a node points its larger
     neighbours, then itself and its smaller ones, at the least of them. Hubs are only aggregated to a
@@ -217,25 +225,147 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def minhash_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of shingle hashes: its number and its rows' least hashes mixed."""
+    least = np.empty(len(_FACTORS), np.uint64)
+    for at in range(0, len(_FACTORS), 16):
+        part = least[at : at + 16]
+        part[:] = np.iinfo(np.uint64).max
+        for k in range(0, len(hashes), 65536):
+            x = hashes[k : k + 65536][None, :] * _FACTORS[at : at + 16, None]
+            np.minimum(part, (x ^ (x >> np.uint64(32))).min(1), out=part)
+    bands = np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    return bands.astype(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, same (a hash of the set of SHINGLE-word shingles), keys (minhash_keys of the set) for each row; null without words or doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, texts = part.column(0), part.column(1).to_pylist()
+                same, keys = [], []
+                for doc_id, text in zip(ids.to_pylist(), texts):
+                    hashes = np.unique(shingle_hashes(text or "", SHINGLE)) if doc_id is not None else ()
+                    same.append(_same(hashes) if len(hashes) else None)
+                    keys.append(minhash_keys(hashes) if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "fp", "same", "keys"],
+                )
+
+    return docs.selectExpr("bigint(doc_id) doc_id", "text").mapInArrow(run, "doc_id long, fp long, same long, keys array<long>")
+
+
+def _same(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42) - 2**63
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of hashes."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def verified_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges (places in ``sets``) that connect whatever is connected by pairs that share a key and are so similar."""
+    parent = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def alike(x: int, y: int) -> bool:
+        a, b = len(sets[x]), len(sets[y])
+        return min(a, b) >= similarity * max(a, b) and jaccard(sets[x], sets[y]) >= similarity
+
+    buckets: dict[int, list[int]] = {}
+    for x, hashes in enumerate(sets):
+        for key in minhash_keys(hashes).tolist():
+            buckets.setdefault(key, []).append(x)
+    edges: list[tuple[int, int]] = []
+    for bucket in buckets.values():
+        # Of a bucket's members that are connected already, one likeness joins them all.
+        parts: dict[int, list[int]] = {}
+        for x in bucket:
+            parts.setdefault(top(x), []).append(x)
+        done: list[list[int]] = []
+        for part in parts.values():
+            apart = []
+            for other in done:
+                found = next(((x, y) for x in part for y in other if alike(x, y)), None)
+                if found is None:
+                    apart.append(other)
+                else:
+                    edges.append(found)
+                    parent[top(found[0])] = top(found[1])
+                    part = other + part
+            done = [*apart, part]
+    return edges
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges between the fingerprints of texts whose sets of shingles are so similar; ``rows`` are the sketches of ``docs``.
+
+    Pairs that agree in a band are candidates; the candidates' components are met in one task each,
+    where links are verified on the whole sets. Equal sets are held once and need no verification.
+    """
+    sets = materialise(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    equal = rows.select("same", F.col("fp").alias("a")).join(sets.select("same", F.col("fp").alias("b")), "same").select("a", "b").where("a <> b").distinct()
+    banded = sets.select(F.col("same").alias("a"), F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    near = components(banded.join(hubs, "key").select("a", "b"))
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    needed = sets.select("same", "doc_id", "fp").join(members.withColumnRenamed("node", "same"), "same")
+    texts = docs.selectExpr("bigint(doc_id) doc_id", "text").join(needed, "doc_id").select("root", "same", "fp", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held = [np.unique(shingle_hashes(x or "", SHINGLE)) for x in part.column(3).to_pylist()]
+                # Other rows under the same doc_id may have another text.
+                keep = [k for k, (h, x) in enumerate(zip(held, part.column(1).to_pylist())) if len(h) and _same(h) == x]
+                cut = part.take(pa.array(keep, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column(0), cut.column(1), cut.column(2), pa.array([held[k].tobytes() for k in keep], pa.binary())], ["root", "same", "fp", "hashes"]
+                )
+
+    def verify(group):
+        group = group.drop_duplicates("same").sort_values("same")
+        edges = verified_edges([np.frombuffer(x, np.uint64) for x in group["hashes"]], similarity)
+        fp = group["fp"].to_numpy(np.int64)
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+
+    held = texts.mapInArrow(shingled, "root long, same long, fp long, hashes binary")
+    return held.groupBy("root").applyInPandas(verify, "a long, b long").unionByName(equal)
+
+
+def near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable by links, the document's own included) for each row of ``docs``.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Null doc_ids are kept, and
-    never name a component unless it has no other; repeated rows share their component. An empty
-    table gives an empty result.
+    With ``similarity``, texts are also linked whose SHINGLE-word shingles have at least that Jaccard similarity,
+    however far apart their fingerprints are. Null and empty texts have fingerprint 0 and are linked like any
+    other. Null doc_ids are kept, and never name a component unless it has no other; repeated rows share their
+    component. An empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs))
+    rows = materialise(fingerprints(docs) if similarity is None else sketches(docs))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    roots = components(edges if similarity is None else edges.unionByName(similar_links(docs, rows, similarity)))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp")
+    return rows.select("doc_id", "fp").join(of_fp, "fp")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """One row of each group of near-duplicates, that with the least doc_id (one of the rows repeated under it). Rows without a doc_id are all kept."""
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = near_duplicates(docs, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 

@@ -280,6 +280,36 @@ def test_simhash_against_brute_force(docs, rows, none):
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 2
 
 
+def test_near_copies_of_the_pipeline_against_brute_force(spark, none):
+    import corpus_pipeline
+
+    rng, texts = random.Random(8), {}
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        texts[10 * k] = " ".join(base)
+        for n in range(1, 6):
+            words = list(base)
+            for at in rng.sample(range(len(words)), max(1, len(words) * n // 100)):
+                words[at] = f"x{rng.randrange(3000)}"
+            texts[10 * k + n] = " ".join(words)
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    prints, group, wide = {d: _fingerprint(t) for d, t in texts.items()}, {d: d for d in texts}, 0
+    for a in texts:
+        for b in texts:
+            if a < b:
+                alike = len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+                close = (prints[a] ^ prints[b]).bit_count() <= 3
+                wide += alike and not close
+                if alike or close:
+                    low, high = sorted((group[a], group[b]))
+                    group = {d: low if g == high else g for d, g in group.items()}
+    rows = [(d, t) for d, t in texts.items()] + [(None, texts[0]), (0, texts[0]), (900, None), (901, "")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert wide > 20
+    assert _sorted(kept.collect()) == _sorted([(d, texts[d]) for d in set(group.values())] + [(None, texts[0]), (900, None)])
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
 def test_spanning_edges_connect_what_links_connect():
     rng = random.Random(5)
     values = list({rng.getrandbits(64) for _ in range(30)})
