@@ -29,13 +29,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@+]")
 _DIGIT = re.compile(r"[^0-9]")
+_SPELLED = re.compile(r"[(\[{]| dot ", re.I)
 
 _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]+)+", re.I),
     "card": re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.(])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])"),
 }
-_OBFUSCATED = ("(at)", "[at]", "{at}", " dot ", "(AT)", "[AT]", "(dot)", "[dot]", " DOT ")
+#: A part of every match of the loose e-mail pattern, so that texts without it are passed over.
+_OBFUSCATED = re.compile(r"(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]", re.I)
 
 #: Gazetteers (fixed values): top-level domains, card issuers' prefixes, and words by which each kind is announced or ruled out.
 DOMAINS = frozenset("com org net edu gov io co info biz de fr es uk eu us ca ch at it nl be pt".split())
@@ -104,7 +106,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found: list[tuple[int, int, int, int]] = []
     taken = sorted((s, e) for _, s, e in base)
     for kind, pattern in _LOOSE.items():
-        if kind == "email" and not any(x in text for x in _OBFUSCATED):
+        if kind == "email" and not _OBFUSCATED.search(text):
             continue
         for m in pattern.finditer(text):
             start, end = m.span()
@@ -115,7 +117,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             for v in votes:
                 code = code * 3 + v + 1
             length = min(3, (end - start) // 8)
-            mixed = int(bool(re.search(r"[^0-9]", m[0])))
+            # Of mail: spelled out with brackets or " dot "; else it may as well be prose ("look at this. It").
+            mixed = int(bool((_SPELLED if kind == "email" else _DIGIT).search(m[0])))
             found.append((KINDS.index(kind), start, end, (code * 4 + length) * 2 + mixed))
             taken.append((start, end))
     return found
@@ -166,8 +169,10 @@ def train(found: DataFrame, threshold: float = 0.9) -> frozenset:
     rows = np.array([tuple(x) for x in patterns.collect()], dtype=np.int64).reshape(-1, 3)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     accepted = set()
-    for kind in np.unique(rows[:, 0]):
-        _, codes, counts = rows[rows[:, 0] == kind].T
+    # Mail that is not spelled out is mostly prose and would drown the few that are, so each sort is judged by itself.
+    sort = np.where(rows[:, 0] == 0, rows[:, 1] % 2, 0)
+    for kind, part in np.unique(np.stack([rows[:, 0], sort], 1), axis=0):
+        _, codes, counts = rows[(rows[:, 0] == kind) & (sort == part)].T
         posterior, _ = em(_votes_of(codes), counts.astype(float))
         p = 1 / (1 + np.exp(-_features_of(codes) @ span_classifier(codes, posterior, counts.astype(float))))
         # Both must agree: the classifier alone may smooth over a pattern that labelers vote against.

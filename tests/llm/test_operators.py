@@ -369,6 +369,26 @@ def test_pii_base_spans_against_the_patterns(spark, docs, none):
     assert got[2] is None and got[3] == "nothing here" and "a.b@c.org" not in got[1] and "170.106" not in got[1]
 
 
+def test_pii_loose_mail_against_the_pattern():
+    rng = random.Random(12)
+    parts = ["jane", "corp", "com", " ", ".", " at ", "(at)", "{AT}", "[At]", "(DOT)", "[dot]", "{dot}", " dot ", " Dot ", "-", "\n", "\u00a0", "\u212a", "\u017f"]
+    texts = ["jane{AT}corp.com", "jane (At) corp.com", "jane at corp{dot}com", "jane at corp [DOT] com", "jane at corp.com"]
+    found = 0
+    for t in texts + ["".join(rng.choices(parts, k=rng.randint(3, 12))) for _ in range(20000)]:
+        expected = [m.span() for m in pii._LOOSE["email"].finditer(t)]
+        assert [x[1:3] for x in pii.candidates(t, []) if x[0] == 0] == expected, t
+        assert expected or t not in texts
+        found += len(expected)
+    assert found > 500
+
+
+def test_pii_prose_does_not_drown_spelled_out_mail(spark):
+    mails = ["jane(at)corp.com", "jane{AT}corp.com", "jane (At) corp.com", "jane at corp{dot}com", "jane at corp [DOT] com"]
+    data = [(k, f"reach me {x} thanks") for k, x in enumerate(mails)] + [(k, "they look at this. Thus we went") for k in range(10, 400)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all("<EMAIL>" in got[k] for k in range(len(mails))) and all(got[k] == x for k, x in data[len(mails) :])
+
+
 def test_em_trusts_agreeing_labelers():
     votes = np.array([[1, 1, 1], [-1, -1, -1], [1, 1, -1]])
     posterior, reliability = pii.em(votes, np.array([50.0, 50.0, 10.0]))
