@@ -5,7 +5,8 @@ a window around its own projection on every line; by virtual rehashing the windo
 grow by a factor until enough vectors collide with the query on at least a
 threshold of the lines. Those are verified with the exact measure. Largest inner
 product becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2) for the
-largest norm M, which is 0 for queries.
+largest norm M, which is 0 for queries. Vectors of like norms make a range with an M of
+its own: one long vector would stretch that coordinate for all.
 
 The table is cut into blocks of a few thousand vectors; each block of queries meets
 each block of vectors in one group, so both sides of a task are bounded.
@@ -29,6 +30,8 @@ GROWTH = 1.06
 CANDIDATES = 10
 FALSE_POSITIVES = 0.3
 BLOCK_ROWS = 8192
+#: Within a range of norms the largest is at most so many times the least, so that the added coordinate does not hide the angles.
+NORM_RATIO = 1.1
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -83,15 +86,15 @@ class Index:
             outside -= np.bincount(np.concatenate([x for line, a, b, c, d in ends for x in (line[a:b], line[c:d])]), minlength=n)
             low, high = wider
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query_id, vec_id, score) of the ``k`` best verified candidates of each query."""
+    def search(self, numbers: np.ndarray, queries: np.ndarray, k: int, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, vec_id, score) of the ``k`` best verified candidates of each query, without its own id."""
         # Scaling a query does not change its order of inner products.
         norms = np.sqrt((queries**2).sum(1))
         projections = (queries / norms[:, None] * self.largest) @ self.lines[:, :-1].T
         enough = min(len(self.ids), CANDIDATES * k + int(FALSE_POSITIVES * len(self.ids)))
         out = []
         for q in range(len(queries)):
-            found = self.candidates(projections[q], enough)
+            found = self.candidates(projections[q], enough) if enough < len(self.ids) else np.arange(enough)
             found = found[self.ids[found] != query_ids[q]]
             rough = self.vectors[found] @ queries[q]
             if len(found) > k:  # the exact sum only where it can matter
@@ -99,10 +102,44 @@ class Index:
                 found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
             score = inner_products(queries[q], self.vectors[found])
             best = np.lexsort((self.ids[found], -score))[:k]
-            out.append((np.full(len(best), query_ids[q]), self.ids[found][best], score[best]))
+            out.append((np.full(len(best), numbers[q]), self.ids[found][best], score[best]))
         return tuple(np.concatenate(x) if out else np.empty(0) for x in zip(*out)) if out else (np.empty(0), np.empty(0), np.empty(0))
 
 
+def norm_ranges(norms: np.ndarray, k: int) -> list[np.ndarray]:
+    """Places by falling norm, cut where the norm falls below the range's largest by NORM_RATIO; ranges that are verified whole may be wider."""
+    order = np.argsort(-norms, kind="stable")
+    falling, whole, out, start = norms[order], int(CANDIDATES * k / (1 - FALSE_POSITIVES)), [], 0
+    while start < len(order):
+        end = int(np.searchsorted(-falling, -falling[start] / NORM_RATIO, "right"))
+        end = max(end, min(start + whole, len(order)))
+        out.append(np.sort(order[start:end]))
+        start = end
+    return out
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the ``k`` best found of each query: ranges of like norms, each with its own largest norm.
+
+    Ranges whose largest norm cannot reach a query's k-th score are passed over.
+    """
+    norms, query_norms = np.sqrt((vectors**2).sum(1)), np.sqrt((queries**2).sum(1))
+    held = [(np.empty(0, ids.dtype), np.empty(0))] * len(queries)
+    for part in norm_ranges(norms, k):
+        largest = float(norms[part].max())
+        asked = [q for q, (_, score) in enumerate(held) if len(score) < k or score[-1] <= query_norms[q] * largest * (1 + 1e-9)]
+        if not asked:
+            continue
+        found = Index(ids[part], vectors[part], largest).search(np.arange(len(asked)), queries[asked], k, query_ids[asked])
+        ends = np.searchsorted(found[0], np.arange(len(asked) + 1))
+        for n, q in enumerate(asked):
+            near = np.concatenate([held[q][0], found[1][ends[n] : ends[n + 1]].astype(ids.dtype)])
+            score = np.concatenate([held[q][1], found[2][ends[n] : ends[n + 1]]])
+            best = np.lexsort((near, -score))[:k]
+            held[q] = (near[best], score[best])
+    return np.repeat(query_ids, [len(x) for x, _ in held]), *(np.concatenate(x) for x in zip(*held))
+
+
 def inner_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """In double precision, summed from the first component on, so that equal vectors get equal scores anywhere."""
     score = np.zeros(len(vectors))
@@ -125,11 +162,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int =
     """
     v = F.col("embedding").cast("array<double>")
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & _takes_part(F.col("v")))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows, largest, width = sound.agg(F.count("*"), F.max(squares), F.max(F.size("v"))).first()
+    rows, width = sound.agg(F.count("*"), F.max(F.size("v"))).first()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    largest, width = math.sqrt(largest), int(width)
+    width = int(width)
     blocks = max(1, math.ceil(rows / block_rows))
     query_blocks = max(1, math.ceil(rows / every / block_rows))
     place = F.xxhash64("vec_id")
@@ -151,7 +187,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int =
             once = np.concatenate([[True], ids[1:] != ids[:-1]])
             sides.append((ids[once], matrix[once]))
         (ids, matrix), (query_ids, query_matrix) = sides
-        found = Index(ids, matrix, largest).search(query_ids, query_matrix, k)
+        found = search_block(ids, matrix, query_ids, query_matrix, k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = (

@@ -81,6 +81,28 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(df.where("vec_id IN (0, 20, 7)")).count() == 4
 
 
+@pytest.mark.parametrize("spread", ["outlier 3", "outlier 10", "sigma 0", "sigma 0.1", "sigma 0.3", "sigma 0.5", "sigma 1"])
+def test_nearest_with_spread_norms(spread):
+    kind, by = spread.split()
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4096, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    if kind == "outlier":
+        x[77] *= float(by)
+    else:
+        x *= np.exp(float(by) * rng.standard_normal(4096))[:, None]
+    queries, ids = np.arange(0, 4096, 40), np.arange(4096)
+    asked, found, _ = ann.search_block(ids, x, queries, x[queries], 20)
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        got = found[asked == q]
+        assert len(got) == len(set(got)) == 20 and q not in got
+        hits += len(set(np.argsort(-s)[:20]) & set(got))
+    assert hits >= 0.9 * 20 * len(queries)
+
+
 def test_substrings_against_brute_force(docs, rows, none):
     first, expected = {}, []
     known = [(d, (t or "").encode().split()) for d, t, *_ in rows]
