@@ -98,7 +98,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, license, containment, first_word: a row for each license found in each row of ``docs`` (doc_id, text).
 
     ``containment`` is the largest share of a template's shingles found together, rounded to four places;
-    ``first_word`` the place of the first candidate window that verified it. Null, empty and short texts have no license.
+    ``first_word`` the place of the first candidate window that verified it and was no worse reading of another license's words. Null, empty and short texts have no license.
     Rows repeated with the same doc_id and text give one set of rows; null doc_ids are kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -130,15 +130,22 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     last = F.col("at") + F.ceil(F.col("n") * 1.25).cast("int") + SHINGLE + 1
     stretch = _shingles(F.slice("words", first + 1, last - first), _joined)
     share = F.size(F.array_intersect("shingles", stretch)) / F.size(F.array_distinct("shingles"))
-    found = (
+    verified = (
         near.withColumn("containment", F.round(share, 4))
         .where(F.col("containment") >= CONTAINMENT)
+        .select("doc_id", "text_key", "at", "license", "containment", "shingles", F.array_intersect("shingles", stretch).alias("seen"))
+    )
+    # Versions of one notice share shingles: at each place a template all of whose shingles found there belong to a
+    # better one's is a worse reading of the same words. At most as many as there are templates are collected.
+    here = F.collect_set(F.struct("containment", "shingles")).over(Window.partitionBy("doc_id", "text_key", "at"))
+    worse = F.exists("here", lambda x: (x["containment"] > F.col("containment")) & (F.size(F.array_except("seen", x["shingles"])) == 0))
+    return (
+        verified.withColumn("here", here)
+        .where(~worse)
         .groupBy("doc_id", "text_key", "license")
         .agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
+        .drop("text_key")
     )
-    # Versions of one notice share shingles: of what begins at one place the best containment counts.
-    best = F.max("containment").over(Window.partitionBy("doc_id", "text_key", "first_word"))
-    return found.withColumn("best", best).where("containment = best").drop("text_key", "best")
 
 
 def _hits_of(words: Column, agrees) -> Column:

@@ -365,6 +365,19 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_of_two_places(spark):
+    filler = "lorem ipsum dolor sit amet " * 60
+    three, two = "Licensed under the GNU General Public License, version 3", "distributed under the GNU General Public License, version 2"
+    texts = [f"{three} {filler} {two}", f"{two} {filler} {three}", f"{filler} {three}", f"{filler} {two}", f"{two} or {three} {filler}", f"{filler} {three} {three}"]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["license"], r["containment"]) for r in found.collect())
+    both = [("GPL-2.0", 0.8), ("GPL-3.0", 1.0)]
+    beside = [("GPL-2.0", 1.0), ("GPL-3.0", 1.0)]  # one stretch holds both notices
+    assert got == sorted((d, *x) for d, reported in enumerate([both, both, both[1:], both[:1], beside, both[1:]]) for x in reported)
+    places = {(r["doc_id"], r["license"]): r["first_word"] for r in found.collect()}
+    assert places[0, "GPL-3.0"] < 10 and places[0, "GPL-2.0"] > 300
+
+
 def _base(t):
     luhn = lambda d: sum((x if k % 2 == 0 else 2 * x - 9 * (x > 4)) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
     digits = lambda s: re.sub("[^0-9]", "", s)
