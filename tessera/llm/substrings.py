@@ -1,53 +1,48 @@
-"""Substring dedup by level-wise doubling: 4-, 8- and 13-word windows.
-
-A window can only repeat if the windows inside it repeat, so those repeated at one
-length alone are extended to about twice that length. Each 13-word window picks the
-4-word window inside it with the least hash as its anchor; equal windows pick equal
-anchors, so one shuffle by anchor brings every level together, and unrepeated
-anchors are done after the first. In a task, level 4 keeps anchors found in two
-documents, level 8 keeps those whose extension to the left or right is found in two,
-and level 13 decides the windows around them.
-
-A block of texts settles first what it can: only its least document keeps a window
-open. Windows that a block holds twice are remembered by its task, and blocks after it
-settle them too, so a passage that a third of all documents share is sent about once
-a task. Windows are compared by hashes of 64 bits there and of 112 in all (64 + 16 + 32)
-where they meet.
+"""Substring dedup by level-wise doubling: windows of 4, then 8, then 13 words.
+
+A window can only repeat if the windows inside it repeat, so each level asks only about
+what the one before it left: anchors (of each 13-word window the 4-word window with the
+least hash) that two rows have; the 8-word windows that extend those to the left or
+right; and the 13-word windows whose 8-word half repeats. When a level leaves nothing in
+a chunk, nothing of it is sent any more.
+
+Texts are written once as chunks of a few MB, in a table bucketed by chunk, so no level
+moves them again: a chunk sends what it asks about to buckets, and a bucket answers with
+one bit for each question. Levels 4 and 8 ask by 32-bit tags, where a false alarm only
+costs a question at the next level. The last level decides: it compares 128-bit
+BLAKE2b digests of the words themselves.
+
+A chunk asks about a window once, whatever number of its documents hold it. A passage
+that all documents share thus brings 24 bytes of each chunk to one task: about 3 MB
+for each TB of text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
 from itertools import compress
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, shared_folder, table
+from tessera.llm.wordhash import _BASE, _mixed
 
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
-#: Repeated windows that a task remembers (16 bytes each); others are sent, and are settled where they meet.
-REMEMBERED = 1 << 18
+#: UTF-8 bytes of text in a chunk (one text may have more); bytes of questions that meet in a bucket.
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 WINDOW, HALF, QUARTER = 13, 8, 4
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_ANCHOR = np.dtype([("h4", "<u8"), ("pos", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u2"), ("mask", "<u2")])
-_DOC = np.dtype([("id", "<i8"), ("key", "<i4")])
-_DONE = np.dtype([("pos", "<u4"), ("doc", "<u2"), ("mask", "<u2")])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+#: Questions that each level is expected to ask for each byte of text, in bytes; they only set the number of buckets.
+_ASKED = {"anchors": 0.13, "halves": 0.08, "windows": 0.8}
+_DIGEST = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("least", "<i8")])
+_SENT = "bucket long, part long, asked binary"
+_ANSWERED = "part long, bucket long, bits binary"
 
 
 def _paired(h: np.ndarray, by: int) -> np.ndarray:
@@ -55,28 +50,6 @@ def _paired(h: np.ndarray, by: int) -> np.ndarray:
     return _mixed(h[: len(h) - by] * _BASE + h[by:]) if len(h) > by else h[:0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, byte: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each text and the end) of UTF-8 ``data`` cut into texts at ``offsets``.
-
-    ``space`` tells which bytes lie between words; bytes with one value in ``byte`` count as equal.
-    """
-    inside = ~space[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | cut[1:-1]
-    places = np.flatnonzero(inside)
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.searchsorted(places, starts)
-    lengths = np.diff(at, append=len(places))
-    within = np.arange(len(places)) - np.repeat(at, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE))
-    sums = np.add.reduceat(byte[data[places]] * powers[within], at)
-    return _mixed(sums + lengths.astype(np.uint64) * _M2), np.searchsorted(starts, offsets)
-
-
 def anchors(h4: np.ndarray, n: int) -> np.ndarray:
     """For each of the first ``n`` windows of 13 words: where its leftmost 4-word window of the least hash starts."""
     width = WINDOW - QUARTER + 1
@@ -91,242 +64,291 @@ def anchors(h4: np.ndarray, n: int) -> np.ndarray:
     return least(best[:n], best[width - span : width - span + n])
 
 
-class Remembered:
-    """The least document that has sent each of some windows in this task."""
-
-    def __init__(self):
-        self.hashes, self.least = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The document of each window, or the largest id there is."""
-        if not len(self.hashes):
-            return np.full(len(hashes), np.iinfo(np.int64).max)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.least[at], np.iinfo(np.int64).max)
-
-    def keep(self, hashes: np.ndarray, least: np.ndarray) -> None:
-        """``hashes`` ascend. What is new takes the place of all that is old when both are too many."""
-        hashes, least = hashes[:REMEMBERED], least[:REMEMBERED]
-        old = ~np.isin(self.hashes, hashes, assume_unique=True)
-        if old.sum() + len(hashes) <= REMEMBERED:
-            hashes, least = np.concatenate([self.hashes[old], hashes]), np.concatenate([self.least[old], least])
-            order = np.argsort(hashes)
-            hashes, least = hashes[order], least[order]
-        self.hashes, self.least = hashes.copy(), least.copy()
-
-
-def block_rows(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: int, remembered: Remembered | None = None) -> list[tuple]:
-    """(bucket, anchors, windows, settled, docs) of one block, each but the first as bytes. Ids are not null."""
-    words, first = word_hashes(data, offsets)
-    if len(words) < WINDOW:
-        return []
-    doc_of = np.repeat(np.arange(len(ids)), np.diff(first))
-    h4 = _paired(_paired(words, 1), 2)
-    h8 = _paired(h4, 4)
-    h13 = _paired(h8, WINDOW - HALF)
-    windows = np.flatnonzero(doc_of[: len(h13)] == doc_of[WINDOW - 1 :])
-    if not len(windows):
-        return []
-    anchor = anchors(h4, len(h13))[windows]
-    own, doc = h13[windows], doc_of[windows]
-    # Windows that a smaller document has, in this block or one before it, are settled.
-    order = np.argsort(own)
-    runs = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
-    least = np.minimum.reduceat(ids[doc[order]], runs)
-    if remembered is not None:
-        found = own[order][runs]
-        before = remembered.find(found)
-        again = (least < np.maximum.reduceat(ids[doc[order]], runs)) | (before < np.iinfo(np.int64).max)
-        least = np.minimum(least, before)
-        remembered.keep(found[again], least[again])
-    settled = np.empty(len(windows), bool)
-    settled[order] = ids[doc[order]] > np.repeat(least, np.diff(runs, append=len(windows)))
-    # Anchors: runs of windows with one anchor.
-    heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    at = anchor[heads]
-    bit = (np.uint16(1) << (anchor - windows).astype(np.uint16)).astype(np.uint16)
-    open_mask = np.bitwise_or.reduceat(np.where(settled, 0, bit).astype(np.uint16), heads)
-    done_mask = np.bitwise_or.reduceat(np.where(settled, bit, 0).astype(np.uint16), heads)
-    head_doc = doc[heads]
-    head = np.empty(len(heads), _ANCHOR)
-    head["h4"], head["pos"], head["doc"], head["mask"] = h4[at], at - first[head_doc], 0, open_mask
-    # Extensions only count where they lie within the document; a window that needs one always has it.
-    head["left"] = np.where(at >= 4, h8[np.clip(at - 4, 0, len(h8) - 1)] & np.uint64(0xFFFF), 0)
-    head["right"] = h8[np.clip(at, 0, len(h8) - 1)] & np.uint64(0xFFFF)
-    bucket = (_mixed(h4[at]) % np.uint64(buckets)).astype(np.int64)
-    of_window = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(windows)))
+class Chunk:
+    """The rows of one chunk in their order, and the windows over their words; rows without a doc_id have none."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        order = np.argsort(rows.column("ord").to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order))
+        self.ids = rows.column("doc_id").to_pylist()
+        self.words = [(x or b"").split() for x in rows.column("text").cast(pa.large_binary()).to_pylist()]
+        taking = [k for k, x in enumerate(self.ids) if x is not None and len(self.words[k]) >= WINDOW]
+        size = np.array([len(self.words[k]) for k in taking], np.int64)
+        self.row = np.repeat(np.array(taking, np.int64), size)
+        self.place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.taking = taking
+        self.id_of = np.array([self.ids[k] if self.ids[k] is not None else 0 for k in range(len(self.ids))], np.int64)
+        self.starts = np.flatnonzero(self.row[: max(0, len(self.row) - WINDOW + 1)] == self.row[WINDOW - 1 :])
+
+    def hashed(self) -> SimpleNamespace:
+        """h4, h8; the anchor of each window and whether its 8-word half is the left or the right extension of it."""
+        words = (x for k in self.taking for x in self.words[k])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(self.row))
+        h4 = _paired(_paired(h, 1), 2)
+        h8 = _paired(h4, QUARTER)
+        anchor = anchors(h4, len(self.row) - WINDOW + 1)[self.starts] if len(self.starts) else self.starts
+        half = np.where(anchor - self.starts >= HALF - QUARTER, anchor - QUARTER, anchor)
+        return SimpleNamespace(h4=h4, h8=h8, anchor=anchor, half=half)
+
+    def digests(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct windows as _DIGEST with the least doc_id here, the one of each window); ``windows`` are words where they start."""
+        if not len(windows):
+            return np.empty(0, _DIGEST), np.empty(0, np.int64)
+        made = []
+        row, place = self.row[windows], self.place[windows]
+        for at in np.split(np.arange(len(windows)), np.flatnonzero(np.diff(row)) + 1):
+            words = self.words[row[at[0]]]
+            text = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            first = np.concatenate([[0], ends])
+            begin, end = first[place[at]].tolist(), (ends[place[at] + WINDOW - 1] - 1).tolist()
+            made += [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begin, end)]
+        pairs = np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        new = np.concatenate([[True], (pairs[order][1:] != pairs[order][:-1]).any(1)])
+        of_window = np.empty(len(windows), np.int64)
+        of_window[order] = np.cumsum(new) - 1
+        out = np.empty(int(new.sum()), _DIGEST)
+        out["hi"], out["lo"] = pairs[order][new].T
+        out["least"] = np.minimum.reduceat(self.id_of[row[order]], np.flatnonzero(new))
+        return out, of_window
+
+
+def _dealt(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of distinct hashes by bucket, where each bucket begins in it, and the end)."""
+    bucket = (_mixed(own) >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    sizes = np.diff(heads, append=len(windows))
-    short = (own >> np.uint64(32)).astype(np.uint32)
-    rows = []
-    for b in np.flatnonzero(np.diff(ends)):
-        mine = order[ends[b] : ends[b + 1]]
-        docs, local = np.unique(head_doc[mine], return_inverse=True)
-        table = np.empty(len(docs), _DOC)
-        table["id"], table["key"] = ids[docs], keys[docs].astype(np.int32)
-        chosen = head[mine]
-        chosen["doc"] = local
-        still = chosen["mask"] != 0
-        places = np.repeat(heads[mine] - np.cumsum(sizes[mine]) + sizes[mine], sizes[mine]) + np.arange(sizes[mine].sum())
-        places = places[~settled[places]]
-        done = np.empty(len(mine), _DONE)
-        done["pos"], done["doc"], done["mask"] = chosen["pos"], local, done_mask[mine]
-        rows.append((int(b), chosen[still].tobytes(), short[places].tobytes(), done[done["mask"] != 0].tobytes(), table.tobytes()))
-    return rows
-
-
-def _texts(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the offsets of its texts, without a copy; null texts are empty."""
-    array = batch.column(column)
-    wide = pa.types.is_large_string(array.type)
-    _, offsets, data = array.buffers()
-    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
-
-
-def _open_windows(docs: DataFrame, buckets: int) -> DataFrame:
-    names = ["bucket", "anchors", "windows", "settled", "docs"]
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        remembered = Remembered()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = _texts(batch, 1)
-            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            at = 0
-            while at < len(ids):
-                to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1
-                to = min(max(to, at + 1), at + 60_000, len(ids))
-                part = data[offsets[at] : offsets[to]]
-                if rows := block_rows(ids[at:to], keys[at:to], part, offsets[at : to + 1] - offsets[at], buckets, remembered):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[k] for x in rows], pa.binary()) for k in range(1, 5)]], names
-                    )
-                at = to
-
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.mapInArrow(run, "bucket int, anchors binary, windows binary, settled binary, docs binary")
-
-
-def _in_two(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each key is found in two documents."""
-    _, inverse = np.unique(key, return_inverse=True)
-    least = np.full(inverse.max(initial=-1) + 1, np.iinfo(np.int64).max)
-    most = np.full(len(least), np.iinfo(np.int64).min)
-    np.minimum.at(least, inverse, ids)
-    np.maximum.at(most, inverse, ids)
-    return (least < most)[inverse]
-
-
-def repeated(anchor: np.ndarray, ids: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """The mask of each anchor's windows that a smaller document has. ``short``: hashes of the windows in mask, from bit 9 to 0."""
-    bits = (anchor["mask"][:, None] >> np.arange(9, -1, -1, dtype=np.uint16)) & 1
-    owner, column = np.nonzero(bits)
-    owner, offset = owner.astype(np.int32), (9 - column).astype(np.uint8)
-    del bits, column
-    alive = _in_two(anchor["h4"], ids)  # level 4
-    sides = []
-    for side in ("left", "right"):  # level 8
-        ok = np.zeros(len(anchor), bool)
-        mine = np.flatnonzero(alive)
-        key = _mixed(anchor["h4"][mine] + _mixed(anchor[side][mine].astype(np.uint64) + np.uint64(1)))
-        ok[mine] = _in_two(key, ids[mine])
-        sides.append(ok)
-    left = offset >= HALF - QUARTER
-    mine = np.flatnonzero(np.where(left, sides[0][owner], sides[1][owner]))  # level 13
-    own, off = owner[mine], offset[mine].astype(np.uint64)
-    side = np.where(left[mine], anchor["left"][own], anchor["right"][own]).astype(np.uint64)
-    key = _mixed(anchor["h4"][own] + _mixed(short[mine].astype(np.uint64) | side << np.uint64(32) | off << np.uint64(48)))
-    order = np.argsort(key)
-    runs = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.empty(0, np.int64)
-    out = np.zeros(len(anchor), np.uint16)
-    if len(key):
-        doc = ids[own[order]]
-        later = doc > np.repeat(np.minimum.reduceat(doc, runs), np.diff(runs, append=len(key)))
-        np.bitwise_or.at(out, own[order][later], (np.uint16(1) << off[order][later].astype(np.uint16)).astype(np.uint16))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _rows(part: int, asked: np.ndarray, own: np.ndarray, buckets: int, memo: np.ndarray | None = None) -> pa.Table:
+    """What a chunk sends: a row for each bucket, and what it will know again (bits) under a bucket of its own below 0."""
+    order, ends = _dealt(own, buckets)
+    held = np.flatnonzero(np.diff(ends))
+    payload = [asked[order[ends[b] : ends[b + 1]]].tobytes() for b in held]
+    where = held.tolist()
+    if memo is not None:
+        where, payload = [*where, -1 - part], [*payload, np.packbits(memo).tobytes()]
+    return pa.table({"bucket": pa.array(where, pa.int64()), "part": pa.array([part] * len(where), pa.int64()), "asked": pa.array(payload, pa.binary())})
+
+
+def _answers(answered: pa.Table, own: np.ndarray, buckets: int) -> np.ndarray:
+    """The answer to each question of a chunk."""
+    order, ends = _dealt(own, buckets)
+    out = np.zeros(len(own), bool)
+    for b, bits in zip(answered.column("bucket").to_pylist(), answered.column("bits").to_pylist()):
+        if b >= 0:
+            mine = order[ends[b] : ends[b + 1]]
+            out[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
     return out
 
 
-def _decided(group: pa.Table) -> pa.Table:
-    """(doc_id, key, mark) of one bucket: a mark is an anchor's place in its document and, in 10 bits, its windows to remove."""
-    anchor, ids, keys, short, done = [], [], [], [], []
-    for a, w, s, d in zip(*[group.column(x).to_pylist() for x in ("anchors", "windows", "settled", "docs")]):
-        docs = np.frombuffer(d, _DOC)
-        x, settled = np.frombuffer(a, _ANCHOR), np.frombuffer(s, _DONE)
-        anchor.append(x)
-        short.append(np.frombuffer(w, np.uint32))
-        ids.append(docs["id"][x["doc"]])
-        keys.append(docs["key"][x["doc"]])
-        done.append((docs["id"][settled["doc"]], docs["key"][settled["doc"]], settled["pos"], settled["mask"]))
-    anchor, ids, keys = np.concatenate(anchor), np.concatenate(ids), np.concatenate(keys)
-    mask = repeated(anchor, ids, np.concatenate(short))
-    hit = np.flatnonzero(mask)
-    found = [np.concatenate([x, *y]) for x, y in zip((ids[hit], keys[hit], anchor["pos"][hit], mask[hit]), zip(*done))]
-    mark = found[2].astype(np.int64) << 10 | found[3].astype(np.int64)
-    return pa.Table.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(mark)], ["doc_id", "key", "mark"])
-
-
-def removed_words(n_words: int, marks: list[int]) -> np.ndarray:
-    """Whether each word is covered by a marked window."""
-    x = np.array(marks, np.int64)
-    owner, offset = np.nonzero((x[:, None] >> np.arange(10)) & 1)
-    start = (x[owner] >> 10) - offset
+def _memo(answered: pa.Table, n: int) -> np.ndarray:
+    for b, bits in zip(answered.column("bucket").to_pylist(), answered.column("bits").to_pylist()):
+        if b < 0:
+            return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    return np.zeros(n, bool)
+
+
+def _found(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, the one of each, whether two rows have it)."""
+    own, inverse = np.unique(hashes, return_inverse=True)
+    low = np.full(len(own), np.iinfo(np.int64).max)
+    high = np.full(len(own), -1, np.int64)
+    np.minimum.at(low, inverse, rows)
+    np.maximum.at(high, inverse, rows)
+    return own, inverse, low < high
+
+
+def _anchor_questions(c: Chunk, h: SimpleNamespace):
+    at = np.unique(h.anchor)
+    own, inverse, twice = _found(h.h4[at], c.row[at])
+    return at, own, inverse, twice
+
+
+def _half_questions(c: Chunk, h: SimpleNamespace, alive: np.ndarray):
+    """Of the windows whose anchor is alive."""
+    at = np.unique(h.half[alive[h.anchor]]) if len(h.anchor) else h.anchor
+    own, inverse, twice = _found(h.h8[at], c.row[at])
+    return at, own, inverse, twice
+
+
+def _tags(own: np.ndarray) -> np.ndarray:
+    return own.astype(np.uint32)
+
+
+def _level_4(buckets: dict):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        _, own, _, _ = _anchor_questions(c, c.hashed())
+        return _rows(key[0].as_py(), _tags(own), own, buckets["anchors"])
+
+    return run
+
+
+def _level_8(buckets: dict):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        h = c.hashed()
+        at, own, inverse, twice = _anchor_questions(c, h)
+        alive = np.zeros(len(c.row), bool)
+        alive[at] = (twice | _answers(answered, own, buckets["anchors"]))[inverse]
+        _, own, _, _ = _half_questions(c, h, alive)
+        return _rows(key[0].as_py(), _tags(own), own, buckets["halves"], alive)
+
+    return run
+
+
+def _level_13(buckets: dict):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        h = c.hashed()
+        anchored = _memo(answered, len(c.row))
+        at, own, inverse, twice = _half_questions(c, h, anchored)
+        half = np.zeros(len(c.row), bool)
+        half[at] = (twice | _answers(answered, own, buckets["halves"]))[inverse]
+        alive = np.zeros(len(c.row), bool)
+        alive[c.starts] = anchored[h.anchor] & half[h.half]
+        asked, _ = c.digests(np.flatnonzero(alive))
+        return _rows(key[0].as_py(), asked, asked["hi"], buckets["windows"], alive)
+
+    return run
+
+
+def _repeated(rows: pa.Table) -> pa.Table:
+    """A bucket of tags: whether two chunks ask for a tag."""
+    return _bucket(rows, np.dtype("<u4"), lambda tag, part: _found(tag, part)[2][np.unique(tag, return_inverse=True)[1]])
+
+
+def _smaller(rows: pa.Table) -> pa.Table:
+    """A bucket of windows: whether another chunk has it in a smaller document."""
+
+    def answer(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        order = np.lexsort((x["lo"], x["hi"]))
+        s = x[order]
+        runs = np.flatnonzero(np.concatenate([[True], (s["hi"][1:] != s["hi"][:-1]) | (s["lo"][1:] != s["lo"][:-1])]))
+        out = np.empty(len(x), bool)
+        out[order] = s["least"] > np.repeat(np.minimum.reduceat(s["least"], runs), np.diff(runs, append=len(s)))
+        return out
+
+    return _bucket(rows, _DIGEST, answer)
+
+
+def _bucket(rows: pa.Table, kind: np.dtype, answer) -> pa.Table:
+    bucket, part, asked = (rows.column(x) for x in ("bucket", "part", "asked"))
+    asked = asked.to_pylist()
+    if bucket[0].as_py() < 0:  # a chunk's memo goes back as it is
+        bits = asked
+    else:
+        parts = [np.frombuffer(x, kind) for x in asked]
+        size = [len(x) for x in parts]
+        out = answer(np.concatenate(parts), np.repeat(part.to_numpy(), size))
+        bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+    return pa.table({"part": part.cast(pa.int64()), "bucket": bucket.cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+def removed_words(n_words: int, windows: np.ndarray) -> np.ndarray:
+    """Whether each word is covered by a window that starts at one of these words."""
     steps = np.zeros(n_words + 1, np.int64)
-    np.add.at(steps, start, 1)
-    np.add.at(steps, start + WINDOW, -1)
+    np.add.at(steps, windows, 1)
+    np.add.at(steps, windows + WINDOW, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
-def with_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and marks (an array, null where nothing repeats) for each row of ``docs``.
-
-    Rows without a doc_id neither lose words nor make others lose them; rows that share a doc_id do not
-    make each other lose words. A row's marks are joined by its doc_id and a hash of its text.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = 1 + total // BUCKET_BYTES
-    marks = _open_windows(slim, int(buckets)).groupBy("bucket").applyInArrow(_decided, "doc_id long, key int, mark long")
-    by_doc = marks.groupBy("doc_id", "key").agg(F.collect_list("mark").alias("marks"))
-    # A bigint cast to int keeps the low 32 bits, as the packed key does; try_cast would not.
-    low = F.shiftright(F.shiftleft(F.col("key"), 32), 32).cast("int")
-    return slim.withColumn("key", low).join(by_doc, ["doc_id", "key"], "left").drop("key")
+def _finished(buckets: dict, digest: bool):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] if digest else ["doc_id", "n_words", "n_removed", "kept", "removed"]
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answered: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        windows = np.flatnonzero(_memo(answered, len(c.row)))
+        asked, of_window = c.digests(windows)
+        again = _answers(answered, asked["hi"], buckets["windows"])[of_window]
+        windows = windows[again | (c.id_of[c.row[windows]] > asked["least"][of_window])]
+        row, ends = c.row[windows], None
+        ends = np.searchsorted(row, np.arange(len(c.ids) + 1))
+        n, removed, out, spans = [], [], [], []
+        for k, words in enumerate(c.words):
+            n.append(len(words))
+            gone = removed_words(len(words), c.place[windows[ends[k] : ends[k + 1]]]) if ends[k] < ends[k + 1] else None
+            removed.append(int(gone.sum()) if gone is not None else 0)
+            left = b" ".join(words if gone is None else compress(words, (~gone).tolist()))
+            out.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
+            if not digest:
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))) if gone is not None else np.empty(0, int)
+                spans.append([{"first": int(a), "words": int(b - a)} for a, b in edges.reshape(-1, 2)])
+        arrays = [pa.array(c.ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+        if not digest:
+            arrays.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))))
+        return pa.Table.from_arrays(arrays, names)
+
+    return run
+
+
+class _Chunks:
+    """``docs`` (doc_id, text) as a table of chunks in the shared folder, bucketed by chunk."""
+
+    def __init__(self, docs: DataFrame, total: int):
+        self.spark = docs.sparkSession
+        self.name = f"substrings_{uuid.uuid4().hex}"
+        # With fewer buckets than shuffle partitions the planner would shuffle the texts after all.
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
+        size = CHUNK_BYTES
+
+        def numbered(batches):
+            part, used, place = TaskContext.get().partitionId() << 24, 0, 0
+            for batch in batches:
+                lengths = batch.column(1).cast(pa.large_binary())
+                parts, ords = [], []
+                for x in pa.compute.binary_length(lengths).fill_null(0).to_pylist():
+                    if used and used + x > size:
+                        part, used, place = part + 1, 0, 0
+                    parts.append(part)
+                    ords.append(place)
+                    used, place = used + x + 16, place + 1
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(ords, pa.int32()), batch.column(0), batch.column(1)], ["part", "ord", "doc_id", "text"])
+
+        made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(numbered, "part long, ord int, doc_id long, text string")
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        made.write.bucketBy(int(n), "part").option("path", self.path).saveAsTable(self.name, format="parquet")
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _without_repeats(docs: DataFrame, digest: bool) -> DataFrame:
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    buckets = {level: int(1 + total * share // BUCKET_BYTES) for level, share in _ASKED.items()}
+    chunks = _Chunks(docs, total)
+    texts = chunks.read().groupBy("part")
+
+    def answered(sent: DataFrame, by) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(by, _ANSWERED)
+
+    first = answered(texts.applyInArrow(_level_4(buckets), _SENT), _repeated)
+    second = answered(texts.cogroup(first.groupBy("part")).applyInArrow(_level_8(buckets), _SENT), _repeated)
+    third = answered(texts.cogroup(second.groupBy("part")).applyInArrow(_level_13(buckets), _SENT), _smaller)
+    columns = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string, removed array<struct<first:long,words:long>>")
+    done = materialise(texts.cogroup(third.groupBy("part")).applyInArrow(_finished(buckets, digest), columns))
+    chunks.drop()
+    return done
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of ``docs``; null texts have no words."""
-    return _finished(docs, digest=False)
-
-
-def _finished(docs: DataFrame, digest: bool) -> DataFrame:
-    kept = "kept_sha256" if digest else "kept"
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, removed, out = [], [], []
-                for text, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words = (text or "").encode().split()
-                    n.append(len(words))
-                    if marks:
-                        gone = removed_words(len(words), marks)
-                        removed.append(int(gone.sum()))
-                        words = compress(words, (~gone).tolist())
-                    else:
-                        removed.append(0)
-                    left = b" ".join(words)
-                    out.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
-                    ["doc_id", "n_words", "n_removed", kept],
-                )
-
-    return with_marks(docs).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {kept} string")
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space), removed (first word and number of each run) for each row of ``docs``.
+
+    Null texts have no words. Rows without a doc_id neither lose words nor make others lose them; rows that share a
+    doc_id do not make each other lose words. Texts of any length are read whole (a text is in one chunk). Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    return _without_repeats(docs, digest=False)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have no words and the hash of the empty string; an empty table gives an empty result."""
-    return _finished(table(spark, sf_dir, "documents"), digest=True)
+    return _without_repeats(table(spark, sf_dir, "documents"), digest=True)

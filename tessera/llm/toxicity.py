@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.substrings import _BASE, _BYTE, _M1, _texts, word_hashes
+from tessera.llm.wordhash import _BASE, _BYTE, _M1, _texts, word_hashes
 
 #: The classifier is fitted on at most so many labelled documents of each class (those with the least hash of doc_id).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000

@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -103,9 +102,9 @@ def test_nearest_with_spread_norms(spread):
     assert hits >= 0.9 * 20 * len(queries)
 
 
-def test_substrings_against_brute_force(docs, rows, none):
-    first, expected = {}, []
-    known = [(d, (t or "").encode().split()) for d, t, *_ in rows]
+def _kept(known):
+    """doc_id, n_words, n_removed, kept of (doc_id, text): windows compared by their words."""
+    known, first, out = [(d, (t or "").encode().split()) for d, t in known], {}, []
     for d, w in known:
         for i in range(len(w) - 12):
             if d is not None:
@@ -116,58 +115,46 @@ def test_substrings_against_brute_force(docs, rows, none):
         for i in range(len(w) - 12):
             if d is not None and first[tuple(w[i : i + 13])] < d:
                 gone[i : i + 13] = [True] * 13
-        expected.append((d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
-    assert _sorted(substrings.kept_words(docs).collect()) == _sorted(expected)
+        out.append((d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return out
+
+
+def _kept_rows(df):
+    return _sorted(substrings.kept_words(df).drop("removed").collect())
+
+
+def test_substrings_against_brute_force(docs, rows, none):
+    assert _kept_rows(docs) == _sorted(_kept([r[:2] for r in rows]))
     assert substrings.kept_words(none).count() == 0
+    for r in substrings.kept_words(docs).collect():
+        assert sum(x["words"] for x in r["removed"]) == r["n_removed"]
 
 
-def test_substrings_over_blocks(spark, monkeypatch):
-    """Many blocks a task, ids in no order, a table of repeated windows that overflows, and none at all: the same rows."""
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_substrings_of_words_that_polynomials_confuse(spark, letters):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64 for any base."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(letters))
+    b = a.translate(str.maketrans("ab", "ba"))
+    before = " ".join(f"w{k}" for k in range(12))
+    known = [(1, f"{before} {a}"), (2, f"{before} {b}"), (3, f"{before} {a} end"), (4, f"{b} {before}")]
+    assert _kept_rows(spark.createDataFrame(known, "doc_id long, text string")) == _sorted(_kept(known))
+
+
+def test_substrings_over_many_chunks(spark, monkeypatch):
+    """Chunks of a few texts, buckets of a few questions, ids in no order, a passage that a third of all texts share, a common
+    anchor with ever different words around it, and a text of megabytes: the rows of brute force."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 300)
     rng = random.Random(3)
     say = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
     hot, warm = say(30), [say(20) for _ in range(5)]
-    texts = [" ".join([say(rng.randint(0, 9)), rng.choice([hot, "", rng.choice(warm)]), say(5), hot * (k % 3 == 0)]) for k in range(300)]
-    ids = rng.sample(range(1000), 300)
-    first, known = {}, [(d, t.split()) for d, t in zip(ids, texts)]
-    for d, w in known:
-        for i in range(len(w) - 12):
-            first[tuple(w[i : i + 13])] = min(first.get(tuple(w[i : i + 13]), d), d)
-    expected = []
-    for d, w in known:
-        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(13)}
-        expected.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-
-    def rows(block, remembered):
-        offsets = np.cumsum([0, *[len(t) for t in texts]])
-        seen, by_bucket = substrings.Remembered() if remembered else None, {}
-        monkeypatch.setattr(substrings, "REMEMBERED", remembered)
-        for at in range(0, 300, block):
-            to = min(300, at + block)
-            data = np.frombuffer("".join(texts[at:to]).encode(), np.uint8)
-            for b, *parts in substrings.block_rows(np.array(ids[at:to]), np.arange(at, to), data, offsets[at : to + 1] - offsets[at], 3, seen):
-                by_bucket.setdefault(b, []).append(parts)
-        marks, sent = {}, sum(len(p[0]) for x in by_bucket.values() for p in x)
-        for parts in by_bucket.values():
-            group = pa.table({n: pa.array([p[k] for p in parts], pa.binary()) for k, n in enumerate(("anchors", "windows", "settled", "docs"))})
-            for x in substrings._decided(group).to_pylist():
-                marks.setdefault(x["doc_id"], []).append(x["mark"])
-        out = []
-        for d, w in known:
-            gone = substrings.removed_words(len(w), marks[d]) if d in marks else np.zeros(len(w), bool)
-            out.append((d, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone) if not g)))
-        return out, sent
-
-    results = [rows(10, n) for n in (0, 7, 1 << 18)] + [rows(300, 1 << 18)]
-    assert all(r == expected for r, _ in results)
-    assert results[2][1] < results[1][1] <= results[0][1]
-    # Blocks that hold nothing but a remembered passage send no window of it, unless one of their documents is the least so far.
-    data, seen = np.frombuffer((hot * 2).encode(), np.uint8), substrings.Remembered()
-    offsets = np.array([0, len(hot), 2 * len(hot)])
-    opened = []
-    for pair in ([10, 11], [12, 13], [4, 14], [5, 15]):
-        parts = substrings.block_rows(np.array(pair), np.zeros(2, np.int64), data, offsets, 1, seen)
-        opened.append(sum(len(x[2]) // 4 for x in parts))
-    assert opened == [18, 0, 18, 0]
+    texts = [" ".join([say(rng.randint(0, 9)), rng.choice([hot, "", rng.choice(warm)]), say(5), hot * (k % 3 == 0)]) for k in range(250)]
+    texts += [f"{say(9)} one common anchor here {say(9)}" for _ in range(50)]
+    huge = say(150_000)
+    texts += [f"{say(20)} {huge}", f"{huge} {say(20)}", huge[1000:200_000]]
+    known = list(zip(rng.sample(range(1000), len(texts)), texts))
+    df = spark.createDataFrame(known, "doc_id long, text string").repartition(5)
+    assert _kept_rows(df) == _sorted(_kept(known))
 
 
 def _targets(sizes):
