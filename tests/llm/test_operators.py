@@ -80,7 +80,7 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(df.where("vec_id IN (0, 20, 7)")).count() == 4
 
 
-@pytest.mark.parametrize("spread", ["outlier 3", "outlier 10", "sigma 0", "sigma 0.1", "sigma 0.3", "sigma 0.5", "sigma 1"])
+@pytest.mark.parametrize("spread", ["outlier 3", "outlier 10", "sigma 0", "sigma 0.1", "sigma 0.3", "sigma 0.5", "sigma 1", "tiny 1e-200", "huge 1e200"])
 def test_nearest_with_spread_norms(spread):
     kind, by = spread.split()
     rng = np.random.default_rng(3)
@@ -88,18 +88,56 @@ def test_nearest_with_spread_norms(spread):
     x /= np.sqrt((x**2).sum(1))[:, None]
     if kind == "outlier":
         x[77] *= float(by)
-    else:
+    elif kind == "sigma":
         x *= np.exp(float(by) * rng.standard_normal(4096))[:, None]
+    else:
+        x[::40] *= float(by)  # the queries: their squares vanish or overflow
     queries, ids = np.arange(0, 4096, 40), np.arange(4096)
-    asked, found, _ = ann.search_block(ids, x, queries, x[queries], 20)
+    asked, found, _, verified = ann.search_block(ids, x, queries, x[queries], 20)
     hits = 0
+    y = x * {"huge": 1e-100, "tiny": 1e100}.get(kind, 1.0)
     for q in queries:
-        s = x @ x[q]
+        s = y @ y[q]
         s[q] = -np.inf
         got = found[asked == q]
         assert len(got) == len(set(got)) == 20 and q not in got
-        hits += len(set(np.argsort(-s)[:20]) & set(got))
+        hits += len(set(np.lexsort((ids, -s))[:20]) & set(got))
+    print(f"recall {hits / 20 / len(queries):.3f}, verified {verified / len(queries) / 4096:.3f}")
     assert hits >= 0.9 * 20 * len(queries)
+    if spread == "sigma 0":
+        assert verified < 0.1 * len(queries) * len(x)
+
+
+@pytest.mark.parametrize("table", ["sf0.1/embeddings.parquet", "check_s/embeddings.parquet"])
+def test_nearest_verifies_few_and_finds_most(table):
+    """On whole given tables (blocks of op1's own size): recall 0.9 at least, less than a tenth of all vectors verified."""
+    import pyarrow.dataset as ds
+
+    t = ds.dataset(f"/root/testdata/{table}").to_table(["vec_id", "embedding"])
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+    queries = np.flatnonzero(ids % 20 == 0)
+    asked, found, _, verified = ann.search_block(ids, x, ids[queries], x[queries], 20)
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(ids[np.argsort(-s)[:20]]) & set(found[asked == ids[q]]))
+    print(f"{table}: {len(ids)} vectors, recall {hits / 20 / len(queries):.4f}, verified {verified / len(queries) / len(ids):.4f}")
+    assert hits >= 0.9 * 20 * len(queries) and verified < 0.1 * len(queries) * len(ids)
+
+
+def test_nearest_in_several_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 8))
+    x[17] = 1e-200
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(900)], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, block_rows=250, query_rows=20).collect()}
+    hits = 0
+    for q in range(0, 900, 20):
+        s = ann.inner_products(x[q], x)
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(900), -s))[:20]) & {found[q, r] for r in range(1, 21)})
+    assert len(found) == 900 and hits >= 0.9 * 900
 
 
 def _kept(known):
