@@ -36,7 +36,7 @@ from tessera.llm.common import materialise, shared_folder, table
 from tessera.llm.wordhash import _BASE, _mixed
 
 #: UTF-8 bytes of text in a chunk (one text may have more); bytes of questions that meet in a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 WINDOW, HALF, QUARTER = 13, 8, 4
 #: Questions that each level is expected to ask for each byte of text, in bytes; they only set the number of buckets.
 _ASKED = {"anchors": 0.13, "halves": 0.08, "windows": 0.8}
