@@ -55,15 +55,20 @@ class Written:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has, for columns that stand beside those of a user's table."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once for each row and hand it to ``body`` (a lambda variable is never evaluated again)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def ln_factorial(n: str) -> str:
-    """SQL text for ln(n!) by Stirling's series; its error is below 1e-5 from n = 2 on, and none below."""
-    x = f"greatest(double({n}), 2D)"
+    """SQL text for ln(n!): the factorial itself up to 20, Stirling's series above (its error is below 1e-12 there)."""
+    x = f"greatest(double({n}), 21D)"
     return (
-        f"(CASE WHEN {n} < 2 THEN 0D ELSE ({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046727D + 1D / (12D * {x})"
-        f" - 1D / (360D * pow({x}, 3)) + 1D / (1260D * pow({x}, 5)) END)"
+        f"(CASE WHEN {n} < 2 THEN 0D WHEN {n} <= 20 THEN ln(double(factorial(int(least({n}, 20L))))) ELSE ({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046727D"
+        f" + 1D / (12D * {x}) - 1D / (360D * pow({x}, 3)) + 1D / (1260D * pow({x}, 5)) END)"
     )

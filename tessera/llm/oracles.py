@@ -5,7 +5,7 @@ Both spell out the contract and share nothing with the operators but the fixed v
 
 from __future__ import annotations
 
-from tessera.llm.quality import ALPHA, DELTA, PRICE, RULES
+from tessera.llm.quality import ALPHA, DELTA, PATHS, PRICE, RULES
 from tessera.llm.substrings import WINDOW
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -23,6 +23,8 @@ kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, '
 SELECT doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)"""
 
+#: (path, rule, place in the path, rules of the path), (rule, k, cutoff).
+_PATHS = ", ".join(f"({n}, '{rule}', {place}, {len(path)})" for n, path in enumerate(PATHS) for place, rule in enumerate(path))
 _CUTOFFS = ", ".join(f"('{rule}', {k}, {cutoff}::DOUBLE)" for rule, cutoffs in RULES.items() for k, cutoff in enumerate(cutoffs))
 _TAIL = f"""CASE WHEN n = 0 OR rejected >= n * {ALPHA}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, rejected + 1), lambda j:
     exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}::DOUBLE) + (n - j) * ln(1 - {ALPHA}::DOUBLE)))) END"""
@@ -32,7 +34,7 @@ def _share(part: str, whole: str) -> str:
     return f"{part}::DOUBLE / greatest({whole}, 1)"
 
 
-#: The counts, then the tests of each stratum and rule with exact binomial tails, then the verdicts.
+#: The counts, then the tests of every step of each stratum and path with exact binomial tails, then the verdicts.
 QUALITY = f"""
 WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
 places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
@@ -49,13 +51,20 @@ shares AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
     'symbols': {_share('n_symbols', 'word_chars')}, 'dup_lines': {_share('n_dup_lines', 'n_lines')},
     'repeats': {_share('n_repeat_words', 'n_words')}, 'exclaims': {_share('n_exclaims', 'n_words')}}} AS share FROM counts),
 rules(rule, k, cutoff) AS (VALUES {_CUTOFFS}),
+paths(path, rule, place, n_rules) AS (VALUES {_PATHS}),
 truth AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-values_of AS (SELECT doc_id, lang, unnest([{', '.join(f"'{r}'" for r in RULES)}]) AS rule, unnest([{', '.join(f"share.{r}" for r in RULES)}]) AS x FROM shares),
-tried AS (SELECT lang, rule, k, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND x > cutoff) AS rejected,
-    count(*) FILTER (quality = 0 AND x > cutoff) AS caught FROM values_of JOIN truth USING (doc_id) JOIN rules USING (rule) GROUP BY ALL),
-tested AS (SELECT *, {_TAIL} <= {DELTA}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM tried)) AS passes FROM tried),
-certified AS (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY k) AS sure, caught - {PRICE} * rejected AS gain FROM tested),
-chosen AS (SELECT lang, rule, arg_max(cutoff, {{'gain': gain, 'cutoff': cutoff}}) AS cut FROM certified WHERE sure AND gain > 0 GROUP BY lang, rule),
-rejected AS (SELECT DISTINCT doc_id FROM values_of v JOIN chosen c ON v.rule = c.rule AND v.lang IS NOT DISTINCT FROM c.lang WHERE x > cut)
+values_of AS (SELECT doc_id, lang, text, base_failed, unnest([{', '.join(f"'{r}'" for r in RULES)}]) AS rule, unnest([{', '.join(f"share.{r}" for r in RULES)}]) AS x
+    FROM shares JOIN docs USING (doc_id, lang)),
+steps AS (SELECT doc_id, path, min(k * n_rules + place + 1) AS step FROM values_of JOIN rules USING (rule) JOIN paths USING (rule) WHERE x > cutoff GROUP BY ALL),
+trials AS (SELECT lang, text, min(quality) AS quality, min(doc_id) AS doc_id FROM shares JOIN docs USING (doc_id, lang) JOIN truth USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+strata AS (SELECT lang, count(*) FILTER (quality = 1) AS n FROM trials GROUP BY lang),
+tried AS (SELECT s.lang, p.path, k.step, n, count(*) FILTER (quality = 1 AND t.step <= k.step) AS rejected, count(*) FILTER (quality = 0 AND t.step <= k.step) AS caught
+    FROM strata s, (SELECT DISTINCT path FROM paths) p, range(1, {len(RULES) * max(map(len, RULES.values())) + 1}) k(step)
+    LEFT JOIN (SELECT r.lang, r.quality, x.path, x.step FROM trials r JOIN steps x USING (doc_id)) t ON t.lang IS NOT DISTINCT FROM s.lang AND t.path = p.path GROUP BY ALL),
+tested AS (SELECT *, {_TAIL} <= {DELTA}::DOUBLE / (SELECT count(*) * {len(PATHS)} FROM strata) AS passes FROM tried),
+certified AS (SELECT *, bool_and(passes) OVER (PARTITION BY lang, path ORDER BY step) AS sure, caught - {PRICE} * rejected AS gain FROM tested),
+chosen AS (SELECT lang, arg_max(path, {{'gain': gain, 'path': -path, 'step': -step}}) AS path, arg_max(step, {{'gain': gain, 'path': -path, 'step': -step}}) AS last
+    FROM certified WHERE sure AND gain > 0 GROUP BY lang),
+rejected AS (SELECT DISTINCT s.doc_id FROM shares s JOIN chosen c ON s.lang IS NOT DISTINCT FROM c.lang JOIN steps x ON x.doc_id = s.doc_id AND x.path = c.path WHERE x.step <= c.last)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM shares"""

@@ -1,12 +1,16 @@
 """Quality rules whose cutoffs are certified on labelled documents (DataFrame and SQL only).
 
-For each stratum (language) and rule, cutoffs are tested from the mildest on: the
-exact binomial tail P(Bin(n, alpha) <= k), for k of n good labelled documents above
-the cutoff, must not exceed delta / (strata x rules). A rule's first failure ends its
-sequence (fixed-sequence testing), so the family-wise error over all strata, rules
-and cutoffs is at most delta: with probability 1 - delta no chosen cutoff rejects more
-than alpha of the good documents of its stratum. Of the certified cutoffs the one
-that rejects most junk, less a price for good documents, is taken.
+A path tightens the rules in turn, one cutoff a step, from the mildest on; there is a path
+for all rules together and one without each rule. A step's risk is the share of a
+stratum's (language's) good documents that any of its rules rejects. Steps are tested in
+order by the exact binomial tail P(Bin(n, alpha) <= k), for k of n good labelled documents
+rejected, against delta / (strata x paths); the first failure ends a path (fixed-sequence
+testing). So with probability 1 - delta no certified step of any path and stratum rejects more than
+alpha of the good documents of its stratum, and whichever is chosen among them is safe: the one that
+rejects most junk, less a price for good documents.
+
+Trials are distinct texts that pass the base rules, so copies count once and the bound
+is on what the method itself rejects.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, let, ln_factorial, materialise, table
+from tessera.llm.common import WORD, fresh, let, ln_factorial, materialise, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,8 +29,10 @@ RULES = {
     "repeats": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
     "exclaims": (0.8, 0.5, 0.3, 0.2, 0.1, 0.05),
 }
-#: Share of good documents that a rule may reject in a stratum; error rate over all tests; junk that a rejected good document outweighs.
-ALPHA, DELTA, PRICE = 0.02, 0.05, 5.0
+#: Rules of each path: all, and all but one.
+PATHS = (tuple(RULES), *(tuple(r for r in RULES if r != out) for out in RULES))
+#: Share of a stratum's good documents that the rules together may reject; error rate over all tests; junk that a rejected good document outweighs.
+ALPHA, DELTA, PRICE = 0.03, 0.05, 5.0
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -62,6 +68,10 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(counted(words))
 
 
+def _stratum() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("none"))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, text_key and the counts of each row of ``docs`` (doc_id, text, lang); null texts count as empty."""
     text = F.coalesce("text", F.lit(""))
@@ -76,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("none")).alias("stratum"),
+        _stratum().alias("stratum"),
         F.xxhash64("text").alias("text_key"),
         F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -99,80 +109,78 @@ def with_statistics(counts: DataFrame) -> DataFrame:
     )
 
 
-def binomial_tail(n: str, k: str, p: float, terms: int = 4000) -> str:
-    """SQL text for P(Bin(n, p) <= k): summed from k downwards; what is left after ``terms`` is bounded by its geometric series.
-
-    From the mean on (k >= n p) the tail is not small, and 1 is returned.
-    """
+def binomial_tail(n: str, k: str, p: float) -> str:
+    """SQL text for P(Bin(n, p) <= k), all terms summed from k downwards. From the mean on (k >= n p) the tail is not small, and 1 is returned."""
     first = (
         f"exp({ln_factorial(n)} - {ln_factorial(k)} - {ln_factorial(f'({n} - {k})')} + {k} * ln({p}D) + ({n} - {k}) * ln({1 - p}D))"
     )
     ratio = f"(s.j * {1 - p}D / (({n} - s.j + 1D) * {p}D))"
-    return f"""CASE WHEN {n} = 0 OR {k} >= {n} * {p}D THEN 1D ELSE aggregate(sequence(1, int(least({k}, {terms}L) + 1)),
+    return f"""CASE WHEN {n} = 0 OR {k} >= {n} * {p}D THEN 1D ELSE aggregate(sequence(1, int({k}) + 1),
         named_struct('sum', 0D, 'term', {first}, 'j', double({k})),
-        (s, i) -> named_struct('sum', s.sum + s.term, 'term', s.term * {ratio}, 'j', s.j - 1D),
-        s -> least(1D, s.sum + CASE WHEN s.j > 0 THEN s.term / (1D - {ratio}) ELSE 0D END)) END"""
-
-
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> DataFrame:
-    """(stratum, one column for each rule): the chosen cutoffs, null where none is certified; labelled has quality 0 or 1."""
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    sums = [F.sum(good.cast("long")).alias("n")]
-    for rule, cutoffs in RULES.items():
-        for k, cutoff in enumerate(cutoffs):
-            sums.append(F.sum((good & (F.col(rule) > cutoff)).cast("long")).alias(f"good_{rule}_{k}"))
-            sums.append(F.sum((bad & (F.col(rule) > cutoff)).cast("long")).alias(f"bad_{rule}_{k}"))
-    counted = labelled.groupBy("stratum").agg(*sums)
-    tests = F.array(
-        *[
-            F.struct(
-                F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"),
-                F.col(f"good_{rule}_{k}").alias("rejected"), F.col(f"bad_{rule}_{k}").alias("caught"),
-            )
-            for rule, cutoffs in RULES.items()
-            for k, c in enumerate(cutoffs)
+        (s, i) -> named_struct('sum', s.sum + s.term, 'term', s.term * {ratio}, 'j', s.j - 1D), s -> least(1D, s.sum)) END"""
+
+
+def first_steps() -> Column:
+    """For each path, the first step that rejects a document with the shares in RULES' columns; null where none does."""
+
+    def of(path: tuple[str, ...]) -> Column:
+        found = [
+            F.coalesce(*[F.when(F.col(rule) > cutoff, F.lit(k * len(path) + place + 1)) for k, cutoff in enumerate(RULES[rule])])
+            for place, rule in enumerate(path)
         ]
-    )
-    everything, sequence = Window.partitionBy(), Window.partitionBy("stratum", "rule").orderBy("k")
+        return F.least(*found)
+
+    return F.array(*[of(path) for path in PATHS])
+
+
+def certified_steps(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> DataFrame:
+    """(stratum, path, step, n, rejected, caught): the chosen step, for strata where one is certified and does more good than harm.
+
+    ``labelled`` has stratum, text_key, quality (0 or 1) and steps (``first_steps``); rows with one stratum and text_key
+    are one trial, a good one if none of them is bad.
+    """
+    trials = labelled.groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), F.first("steps").alias("steps"))
+    good, bad = F.sum((F.col("quality") == 1).cast("long")), F.sum((F.col("quality") == 0).cast("long"))
+    strata = trials.groupBy("stratum").agg(good.alias("n")).withColumn("tests", F.count("*").over(Window.partitionBy()) * len(PATHS))
+    so_far = Window.partitionBy("stratum", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    # Steps at which no trial is newly rejected have the test of the step before them.
     tested = (
-        counted.withColumn("hypotheses", F.count("*").over(everything) * len(RULES))
-        .select("stratum", "n", "hypotheses", F.explode(tests).alias("t"))
-        .select("stratum", "n", "hypotheses", "t.*")
-        .withColumn("passes", F.expr(binomial_tail("n", "rejected", alpha)) <= delta / F.col("hypotheses"))
-        .withColumn("certified", F.min("passes").over(sequence.rowsBetween(Window.unboundedPreceding, 0)))
+        trials.select("stratum", "quality", F.posexplode("steps").alias("path", "step"))
+        .where("step IS NOT NULL")
+        .groupBy("stratum", "path", "step")
+        .agg(good.alias("good"), bad.alias("bad"))
+        .withColumns({"rejected": F.sum("good").over(so_far), "caught": F.sum("bad").over(so_far)})
+        .join(strata, "stratum")
+        .withColumn("passes", F.expr(binomial_tail("n", "rejected", alpha)) <= delta / F.col("tests"))
+        .withColumn("certified", F.min("passes").over(so_far))
         .withColumn("gain", F.col("caught") - price * F.col("rejected"))
     )
-    best = F.max_by("cutoff", F.struct("gain", "cutoff"))
-    chosen = tested.filter("certified AND gain > 0").groupBy("stratum", "rule").agg(best.alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    chosen = F.max_by(F.struct("path", "step", "n", "rejected", "caught"), F.struct("gain", -F.col("path"), -F.col("step")))
+    return tested.where("certified AND gain > 0").groupBy("stratum").agg(chosen.alias("c")).select("stratum", "c.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The counts of each document, base_failed, kept and the cutoffs that applied.
+    """The counts of each document, base_failed, kept, and the path and step that were chosen for its stratum (null: none).
 
     Labels are one row a document: of repeated labels the smallest quality counts, null ones none. Documents
-    without a language form a stratum; a stratum without certified cutoffs rejects by the base rules alone.
-    Repeated rows and null doc_ids are kept as they are; an empty table gives an empty result.
+    without a language form a stratum; a stratum without a certified step rejects by the base rules alone.
+    Null and empty texts have no words and fail the base rules; texts of any length are read whole. Repeated rows and
+    null doc_ids are kept as they are; other columns are ignored; an empty table gives an empty result.
     """
-    counts = materialise(with_statistics(features(docs)))
+    counts = materialise(with_statistics(features(docs)).withColumn("steps", first_steps()))
     truth = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    cutoffs = certified_cutoffs(counts.join(truth, "doc_id"))
-    above = F.lit(False)
-    for rule in RULES:
-        above = above | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return counts.join(cutoffs, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~above)
+    chosen = certified_steps(counts.where("NOT base_failed").join(truth, "doc_id"))
+    over = F.coalesce(F.get("steps", F.col("path")) <= F.col("step"), F.lit(False))
+    return counts.join(chosen.select("stratum", "path", "step"), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. The verdict depends on language and text alone, so it is joined by those."""
-    verdicts = judge(docs, labels).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("stratum").alias("_stratum")
-    )
+    """The rows of ``docs`` that the rules keep; columns may have any names. The verdict depends on language and text alone, so it is joined by those."""
+    names = {x: fresh(x) for x in ("doc_id", "text_key", "stratum")}
+    verdicts = judge(docs, labels).filter("kept").select(*[F.col(k).alias(v) for k, v in names.items()])
     return docs.join(
         verdicts,
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.xxhash64("text") == F.col("_text"))
-        & (F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("none")) == F.col("_stratum")),
+        F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.xxhash64("text").eqNullSafe(F.col(names["text_key"])) & _stratum().eqNullSafe(F.col(names["stratum"])),
         "left_semi",
     )
 

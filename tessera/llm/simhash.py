@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import fresh, materialise, table
 
 RADIUS = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,17 +67,25 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row of ``docs`` (doc_id, text)."""
+    """doc_id, key (the md5 of the text, or "-"), fp (the 64 bits as a long) for each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([fingerprint(x) for x in part.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"]
+                    [part.column(0), part.column(2), pa.array([fingerprint(x) for x in part.column(1).to_pylist()], pa.int64())], ["doc_id", "key", "fp"]
                 )
 
-    return docs.selectExpr("bigint(doc_id) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key string, fp long")
+
+
+def _text_key():
+    return F.coalesce(F.md5("text"), F.lit("-"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("key"))
 
 
 class BKTree:
@@ -239,7 +247,7 @@ def minhash_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, same (a hash of the set of SHINGLE-word shingles), keys (minhash_keys of the set) for each row; null without words or doc_id."""
+    """doc_id, key, fp as in ``fingerprints``; same (a hash of the set of SHINGLE-word shingles), keys (minhash_keys of the set), null without words or doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -252,11 +260,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     same.append(_same(hashes) if len(hashes) else None)
                     keys.append(minhash_keys(hashes) if len(hashes) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "fp", "same", "keys"],
+                    [ids, part.column(2), pa.array([fingerprint(x) for x in texts], pa.int64()), pa.array(same, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "fp", "same", "keys"],
                 )
 
-    return docs.selectExpr("bigint(doc_id) doc_id", "text").mapInArrow(run, "doc_id long, fp long, same long, keys array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key string, fp long, same long, keys array<long>")
 
 
 def _same(hashes: np.ndarray) -> int:
@@ -345,28 +353,41 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFr
     return held.groupBy("root").applyInPandas(verify, "a long, b long").unionByName(equal)
 
 
+def _members(docs: DataFrame, similarity: float | None) -> DataFrame:
+    """doc_id, key, fp, root (which names the component) and component_id for each row of ``docs``."""
+    rows = materialise(fingerprints(docs) if similarity is None else sketches(docs))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    edges = links(distinct.select("fp"))
+    roots = components(edges if similarity is None else edges.unionByName(similar_links(docs, rows, similarity)))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_fp = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.select("doc_id", "key", "fp").join(of_fp, "fp")
+
+
 def near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable by links, the document's own included) for each row of ``docs``.
 
     With ``similarity``, texts are also linked whose SHINGLE-word shingles have at least that Jaccard similarity,
     however far apart their fingerprints are. Null and empty texts have fingerprint 0 and are linked like any
     other. Null doc_ids are kept, and never name a component unless it has no other; repeated rows share their
-    component. An empty table gives an empty result.
+    component, and rows with different texts under one doc_id are judged by their texts. Other columns are ignored.
+    Texts of any length are read whole. An empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs) if similarity is None else sketches(docs))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    edges = links(distinct.select("fp"))
-    roots = components(edges if similarity is None else edges.unionByName(similar_links(docs, rows, similarity)))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(of_fp, "fp")
+    return _members(docs, similarity).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
-    """One row of each group of near-duplicates, that with the least doc_id (one of the rows repeated under it). Rows without a doc_id are all kept."""
-    first = near_duplicates(docs, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates: of its rows with the least doc_id one with the least md5 of its text.
+
+    Rows are told apart by doc_id and text, so that each text under a doc_id stays or goes with its own group; of rows
+    equal in both, one stays. Rows without a doc_id are all kept. Columns may have any names.
+    """
+    first = _members(docs, similarity).where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    key = fresh("key")
+    once = docs.where("doc_id IS NOT NULL").withColumn(key, _text_key()).dropDuplicates(["doc_id", key])
+    first = first.select(F.col("doc_id").alias(fresh("id")), F.col("key").alias(fresh("first")))
+    kept = once.join(first, (F.col("doc_id").cast("long") == first[0]) & (F.col(key) == first[1]), "left_semi").drop(key)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

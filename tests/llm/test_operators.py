@@ -264,19 +264,66 @@ def test_quality_counts(docs, rows, labels, none):
 
 
 def test_binomial_tail(spark):
+    from fractions import Fraction
     from math import comb
 
-    for n, k, p in ((10, 0, 0.1), (200, 1, 0.02), (1000, 5, 0.02), (3000, 40, 0.02), (5, 4, 0.02), (0, 0, 0.02)):
-        exact = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if n and k < n * p else 1.0
+    for n, k, p in ((10, 0, 0.1), (200, 1, 0.02), (1000, 5, 0.02), (3000, 40, 0.02), (5, 4, 0.02), (0, 0, 0.02), (40_000, 750, 0.02)):
+        share = Fraction(str(p))
+        exact = float(sum(comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1))) if n and k < n * p and n < 10_000 else 1.0
+        if n >= 10_000:  # the same sum from the other side of the recurrence, on one denominator
+            term = total = (100 - 2) ** n
+            for j in range(1, k + 1):
+                term = term * 2 * (n - j + 1) // (98 * j)
+                total += term
+            exact = float(Fraction(total, 100**n))
         got = spark.sql(f"SELECT {quality.binomial_tail('n', 'k', p)} FROM VALUES ({n}L, {k}L) AS t(n, k)").first()[0]
-        assert abs(got - exact) <= 1e-4 * exact
+        assert abs(got - exact) <= 1e-7 * exact
 
 
-def test_cutoffs_limit_false_rejection(spark):
-    rows = [("=en", 1, 0.0) for _ in range(600)] + [("=en", 0, 0.6) for _ in range(100)] + [("=fr", 1, 0.0) for _ in range(30)] + [("=fr", 0, 0.6)]
-    df = spark.createDataFrame([(*r, 0.0, 0.0, 0.0) for r in rows], "stratum string, quality int, symbols double, dup_lines double, repeats double, exclaims double")
-    (row,) = quality.certified_cutoffs(df).collect()  # too few labels in the other stratum
-    assert row["stratum"] == "=en" and row["cut_symbols"] == 0.5 and row["cut_repeats"] is None
+_STEPS = "stratum string, text_key long, quality int, symbols double, dup_lines double, repeats double, exclaims double"
+
+
+def _chosen(spark, rows):
+    df = spark.createDataFrame(rows, _STEPS).withColumn("steps", quality.first_steps())
+    return {r["stratum"]: tuple(r)[1:] for r in quality.certified_steps(df).collect()}
+
+
+def test_steps_limit_false_rejection(spark):
+    rows = [("=en", k, 1, 0.0, 0.0, 0.0, 0.0) for k in range(600)] + [("=en", 1000 + k, 0, 0.6, 0.0, 0.0, 0.0) for k in range(100)]
+    rows += [("=fr", k, 1, 0.0, 0.0, 0.0, 0.0) for k in range(30)] + [("=fr", 99, 0, 0.6, 0.0, 0.0, 0.0)]  # too few labels
+    # A stratum whose good documents hold symbols: only the path without that rule goes on.
+    rows += [("=de", k, 1, 0.6 * (k % 3 == 0), 0.0, 0.0, 0.0) for k in range(600)] + [("=de", 1000 + k, 0, 0.0, 0.95, 0.0, 0.0) for k in range(50)]
+    assert _chosen(spark, rows) == {"=en": (0, 1, 600, 0, 100), "=de": (1, 1, 600, 0, 50)}
+
+
+def test_copies_are_one_trial(spark):
+    rows = [("=en", k, 1, 0.0, 0.0, 0.0, 0.0) for k in range(140)] + [("=en", 1000 + k, 0, 0.6, 0.0, 0.0, 0.0) for k in range(50)]
+    assert _chosen(spark, rows) == {} == _chosen(spark, rows * 3)
+
+
+def test_chosen_steps_against_brute_force(spark):
+    """Every path and step of one stratum, its risk counted anew and its tail summed exactly."""
+    from math import comb
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(900):
+        good = k % 6 != 0
+        share = lambda high: round(rng.random() * (0.2 if good and rng.random() < 0.99 else high), 3)
+        rows.append(("=en", k, int(good), share(0.7), share(1.0), share(0.6), share(0.5)))
+    n, best = sum(r[2] for r in rows), None
+    for p, path in enumerate(quality.PATHS):
+        for step in range(1, 6 * len(path) + 1):
+            cut = {rule: quality.RULES[rule][(step - place - 1) // len(path)] for place, rule in enumerate(path) if step > place}
+            over = [r for r in rows if any(r[3 + list(quality.RULES).index(rule)] > c for rule, c in cut.items())]
+            bad_good, caught = sum(r[2] for r in over), sum(1 - r[2] for r in over)
+            tail = sum(comb(n, j) * quality.ALPHA**j * (1 - quality.ALPHA) ** (n - j) for j in range(bad_good + 1)) if bad_good < n * quality.ALPHA else 1
+            if tail > quality.DELTA / len(quality.PATHS):
+                break
+            found = (caught - quality.PRICE * bad_good, -p, -step)
+            if found[0] > 0 and (best is None or found > best[0]):
+                best = (found, (p, step, n, bad_good, caught))
+    assert best is not None and _chosen(spark, rows) == {"=en": best[1]}
 
 
 def test_bpe_against_tiktoken(docs, rows, none):
@@ -357,6 +404,18 @@ def test_near_copies_of_the_pipeline_against_brute_force(spark, none):
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_texts_under_one_id_go_their_own_ways(spark):
+    rng = random.Random(9)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = say(), say(), say()
+    rows = [(5, a, "x"), (5, b, "x"), (5, a, "x"), (3, c, "y"), (5, c, "z"), (7, b, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    for similarity in (None, 0.8):
+        kept = simhash.keep_first(df, similarity)
+        assert kept.columns == df.columns
+        assert _sorted((r[0], r[1]) for r in kept.collect()) == _sorted([(5, a), (5, b), (3, c), (None, a)])
+
+
 def test_spanning_edges_connect_what_links_connect():
     rng = random.Random(5)
     values = list({rng.getrandbits(64) for _ in range(30)})
@@ -518,13 +577,17 @@ def test_rows_of_sql(spark, name):
 
 
 def _first_of_groups(texts):
-    """The least ids of the groups that links between all pairs make."""
+    """The least ids of the groups that links between all pairs make: three bits, or five-word shingles alike by 0.8."""
+    lower = {d: re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split() for d, t in texts.items()}
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in lower.items()}
     prints, group = {d: _fingerprint(t) for d, t in texts.items()}, {d: d for d in texts}
     for a in sorted(texts):
         for b in sorted(texts):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
-                low, high = sorted((group[a], group[b]))
-                group = {d: low if g == high else g for d, g in group.items()}
+            if a < b and group[a] != group[b]:
+                alike = lower[a] and lower[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+                if alike or (prints[a] ^ prints[b]).bit_count() <= 3:
+                    low, high = sorted((group[a], group[b]))
+                    group = {d: low if g == high else g for d, g in group.items()}
     return set(group.values())
 
 
