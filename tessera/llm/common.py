@@ -65,6 +65,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def numbers_below(n: str, step: int = 10_000) -> tuple[Column, Column]:
+    """(array to explode as ``_hundreds``, array to explode then): together 0 .. n - 1 without one array of that length."""
+    return (
+        F.expr(f"sequence(0L, greatest(0L, {n} - 1) div {step})"),
+        F.expr(f"CASE WHEN {n} > _hundreds * {step} THEN sequence(_hundreds * {step}, least({n}, (_hundreds + 1) * {step}) - 1) ELSE slice(array(0L), 1, 0) END"),
+    )
+
+
 def ln_factorial(n: str) -> str:
     """SQL text for ln(n!): the factorial itself up to 20, Stirling's series above (its error is below 1e-12 there)."""
     x = f"greatest(double({n}), 21D)"

@@ -11,11 +11,12 @@ blocks and order them by a local key. Only (source, node) counts enter the tree.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, ln_factorial, materialise, table
+from tessera.llm.common import WORD, fresh, ln_factorial, materialise, numbers_below, table
 
 #: Weights of the sources in code point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
@@ -111,25 +112,22 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return level.select("skey", F.col("node").alias("shard"), "quota")
 
 
-def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1024, blocks: int = 65536, bucket_rows: int = 8192) -> DataFrame:
-    """A row for each document (doc_id, text, source) with its draws in ``placements`` (shard, block, local_key, copy).
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, skey, size, text_key, n): rows of ``docs`` that are equal in these, counted before they are shuffled."""
+    return docs.groupBy(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("skey"),  # null last
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("text_key"),
+    ).agg(F.count("*").alias("n"))
 
-    A null text has size 0 and is never drawn; null sources form one source, the last. Repeated rows
-    and null doc_ids count as rows of their own. An empty table gives an empty result. The running sum
-    over a source is taken in hashed buckets, so a hot source is spread over many tasks.
-    """
-    slim = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("skey"),  # null last
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64("text").alias("text_key"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("draw"),
-        )
-    )
+
+def _dealt(docs: DataFrame, n_shards: int, seed: int, least_block: int, blocks: int, bucket_rows: int) -> DataFrame:
+    """Each group with its source's size, target, block and shard ends; ``start`` (its words begin there in its source) and ``drawn`` (how many of its rows are drawn as first and as second copy)."""
+    slim = materialise(_groups(docs).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_key")))
     parts = max(1, math.ceil(slim.count() / bucket_rows))
     slim = slim.withColumn("part", F.pmod("draw", F.lit(parts)))
-    by_part = slim.groupBy("skey", "part").agg(F.sum("size").alias("words"))
+    by_part = slim.groupBy("skey", "part").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     targets = source_targets(by_part.groupBy("skey").agg(F.sum("words").alias("source_size")))
     everything = Window.partitionBy()
     targets = materialise(
@@ -152,7 +150,30 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
     within = Window.partitionBy("skey", "part").orderBy("draw", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
 
     def drawn(copy: int):
-        start = F.col("start") + copy * F.col("source_size")
+        # A row is drawn if its middle lies below the target; these are the first rows of a group.
+        room = F.col("target") - F.col("start") - copy * F.col("source_size")
+        rows = F.ceil(room / F.col("size") - 0.5).cast("long")
+        return F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), rows))).otherwise(F.lit(0)).cast("long")
+
+    return (
+        slim.join(offsets, ["skey", "part"])
+        .withColumn("start", F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0)))
+        .withColumn("drawn", F.array(drawn(0), drawn(1)))
+    )
+
+
+def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1024, blocks: int = 65536, bucket_rows: int = 1024) -> DataFrame:
+    """A row for each document (doc_id, text, source) with its draws in ``placements`` (shard, block, local_key, copy).
+
+    A null text has size 0 and is never drawn; null sources form one source, the last. Repeated rows
+    and null doc_ids count as rows of their own; rows that are equal are counted before anything is shuffled. Other
+    columns are ignored; texts of any length are read whole. An empty table gives an empty result. The running sum
+    over a source is taken in hashed buckets, so a hot source is spread over many tasks.
+    """
+    some, each = numbers_below("n")
+
+    def placed(copy: int):
+        start = F.col("start") + F.col("turn") * F.col("size") + copy * F.col("source_size")
         block = F.floor(start / F.col("block")).cast("long")
         place = F.struct(
             F.size(F.filter("ends", lambda end: end <= block)).alias("shard"),
@@ -160,11 +181,12 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
             F.xxhash64(F.lit(seed), "block", "doc_id", F.lit(copy)).alias("local_key"),
             F.lit(copy).alias("copy"),
         )
-        return F.when((F.col("size") > 0) & (start + F.col("size") / 2 < F.col("target")), place)
+        return F.when(F.col("turn") < F.get("drawn", F.lit(copy)), place)
 
     return (
-        slim.join(offsets, ["skey", "part"])
-        .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        _dealt(docs, n_shards, seed, least_block, blocks, bucket_rows)
+        .withColumn("_hundreds", F.explode(some))
+        .withColumn("turn", F.explode(each))
         .select(
             "doc_id",
             "text_key",
@@ -172,7 +194,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
             "size",
             "source_size",
             "target",
-            F.filter(F.array(drawn(0), drawn(1)), lambda x: x.isNotNull()).alias("placements"),
+            F.filter(F.array(placed(0), placed(1)), lambda x: x.isNotNull()).alias("placements"),
         )
     )
 
@@ -182,20 +204,21 @@ def mixed_rows(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "source", "size", F.explode("placements").alias("x")).select("doc_id", "source", "size", "x.*")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row for each draw; draws of rows that are equal in doc_id, text and source are dealt among them in turn."""
-    key = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("source")]
-    draws = (
-        mix(docs)
-        .groupBy("doc_id", "text_key", "source")
-        .agg(F.flatten(F.collect_list("placements")).alias("_draws"), F.count("*").alias("_rows"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "_draws", "_rows")
-        .where(F.size("_draws") > 0)
-    )
-    same = Window.partitionBy("_id", "_text", "_source").orderBy("_rows")
-    joined = docs.join(draws, key[0].eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_text")) & key[2].eqNullSafe(F.col("_source")))
-    mine = F.filter("_draws", lambda x, i: i % F.col("_rows") == F.col("_turn") - 1)
-    return joined.withColumn("_turn", F.row_number().over(same)).withColumn("_draw", F.explode(mine)).select(*docs.columns)
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with a row for each draw of ``mix``; columns may have any names.
+
+    Rows that are equal in doc_id, text and source count each, and one of them stands for all when they are drawn.
+    """
+    options = {"n_shards": 8, "seed": 42, "least_block": 1024, "blocks": 65536, "bucket_rows": 1024} | options
+    names = {x: fresh(x) for x in ("doc_id", "skey", "text_key")}
+    own = dict(zip(names.values(), (F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")), F.xxhash64("text"))))
+    row, copies = fresh("row"), fresh("copies")
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[v.alias(k) for k, v in own.items()]).groupBy(*own).agg(F.first(row).alias(row))
+    draws = _dealt(docs, **options).select(*[F.col(k).alias(f"{v}_drawn") for k, v in names.items()], F.aggregate("drawn", F.lit(0).cast("long"), lambda a, x: a + x).alias(copies))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_drawn")) for k in own])
+    some, each = numbers_below(copies)
+    drawn = one.join(draws.where(F.col(copies) > 0), same).select(row, copies, F.explode(some).alias("_hundreds")).select(row, F.explode(each))
+    return drawn.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

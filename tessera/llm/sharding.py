@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, numbers_below, table
 
 
 def schedule(items: list[tuple[str, int]], n_shards: int) -> list[tuple[str, int]]:
@@ -27,12 +27,13 @@ def schedule(items: list[tuple[str, int]], n_shards: int) -> list[tuple[str, int
     return placed
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, slot_rows: int = 8192) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, slot_rows: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs`` (doc_id, text).
 
     Sizes are UTF-8 bytes plus one. A null text has size 1 and crc32 0, and all null texts are one
-    group apart from empty texts. Rows repeated under one doc_id each get a row and a slot; null
-    doc_ids are kept. An empty table gives an empty result. Other columns are ignored.
+    group apart from empty texts. Rows repeated under one doc_id each get a row and a slot, and are counted
+    before anything is shuffled; null doc_ids are kept. An empty table gives an empty result. Other columns are ignored;
+    texts of any length are read whole.
     """
     slim = materialise(
         docs.select(
@@ -41,12 +42,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, sl
             F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
             F.coalesce(F.md5("text"), F.lit("-")).alias("same_text"),
         )
+        .groupBy("doc_id", "size", "text_crc32", "same_text")
+        .agg(F.count("*").alias("n"))
     )
-    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()
     bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("same_text"), F.lit(bundles)))
     items = (
         slim.groupBy("same_text")
-        .agg(F.sum("size").alias("size"))
+        .agg(F.sum(F.col("size") * F.col("n")).alias("size"))
         .groupBy(F.when(F.col("size") > total / bundles, F.col("same_text")).otherwise(bundle).alias("item"))
         .agg(F.sum("size").alias("size"))
     )
@@ -63,24 +66,32 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, sl
         .select(
             *slim.columns,
             F.coalesce("shard_alone", "shard_bundled").alias("shard"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"),
+            F.pmod(F.xxhash64("doc_id", "same_text"), F.lit(parts)).alias("part"),
         )
     )
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed_rows.groupBy("shard", "part")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "same_text")
-    return placed_rows.join(offsets, ["shard", "part"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("offset") + F.row_number().over(within) - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "same_text").rowsBetween(Window.unboundedPreceding, -1)
+    some, each = numbers_below("n")
+    first = (F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first")
+    return (
+        placed_rows.join(offsets, ["shard", "part"])
+        .select("doc_id", "size", "text_crc32", "shard", "n", first)
+        .withColumn("_hundreds", F.explode(some))
+        .withColumn("turn", F.explode(each))
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("bytes").alias("law"),
+            "shard",
+            (F.col("first") + F.col("turn")).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
     )
 
 
