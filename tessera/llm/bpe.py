@@ -1,5 +1,8 @@
 """Byte-level BPE with the tokenizers library, over Arrow batches.
 
+The tokenizer is made from a file of ranks (a token's bytes and its id, which is also the order
+of merges): a token's merge is the pair that is left of its bytes when all lower ranks are merged.
+
 A text is cut at spaces that always end a pre-token, so its pieces can be encoded
 apart; each worker keeps a bounded table of pieces it has encoded. Ids decode
 through the byte-to-character table of byte-level vocabularies, reversed: pieces of
@@ -8,6 +11,7 @@ a character that was split between tokens meet again as bytes.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -16,14 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps; the table is emptied when it is full.
-KEPT_PIECES = 300_000
-ROWS = 128
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Memory of the pieces that a worker keeps, each counted as its characters and PIECE_COST more; the table is emptied when it is full.
+KEPT_BYTES, PIECE_COST = 64 << 20, 150
+#: Texts and their bytes that are encoded together (one text may have more).
+ROWS, ROW_BYTES = 128, 1 << 20
 #: A space after a character that is no white space: a pre-token always ends before it.
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -35,6 +41,40 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The last two parts of a token of several bytes."""
+    parts, own = [token[k : k + 1] for k in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        rank, at = min((ranks.get(a + b, own), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank >= own:
+            raise ValueError(f"token {own} is no merge of lower ranks")
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts[0], parts[1]
+
+
+def tokenizer_of(path: str):
+    """A tokenizer from a file of ranks, or from the library's own JSON."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    if not path.endswith(".tiktoken"):
+        return Tokenizer.from_file(path)
+    import public_tokenizers
+
+    ranks = read_ranks(path)
+    character = {b: c for c, b in byte_characters().items()}
+    said = lambda token: "".join(character[b] for b in token)
+    merges = [tuple(map(said, merge_of(x, ranks))) for x in sorted(ranks, key=ranks.get) if len(x) > 1]
+    tokenizer = Tokenizer(models.BPE(vocab={said(x): i for x, i in ranks.items()}, merges=merges))
+    cut = pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated")
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
 def vocabulary_path(name: str | None = None) -> str:
     import public_tokenizers
 
@@ -46,9 +86,7 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.tokenizer.encode_special_tokens = True
         byte_of = byte_characters()
         self.bytes_of = {
@@ -63,6 +101,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # pieces after a space: their place below, or -1 where white space could go on behind them
+        self.held = 0
         self.pool, self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -90,9 +129,10 @@ class Codec:
         heads = self._encode([x[0] for x in parts])
         own = set().union(*[x[1:] for x in parts])
         new = [x for x in own if x not in self.known]
-        if len(self.known) + len(new) > KEPT_PIECES:
+        if self.held + sum(map(len, new)) + PIECE_COST * len(new) > KEPT_BYTES:
             self._forget()
             new = list(own)
+        self.held += sum(map(len, new)) + PIECE_COST * len(new)
         self._learn(new)
         out = []
         for text, (head, *tail), ids in zip(texts, parts, heads):
@@ -139,9 +179,16 @@ def codec(path: str) -> Codec:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str = "text"):
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield part, part.column(part.schema.get_field_index(column)).to_pylist()
+        place = batch.schema.get_field_index(column)
+        size = batch.column(place)
+        size = (pc.binary_length(size) if pa.types.is_string(size.type) or pa.types.is_large_string(size.type) else pc.list_value_length(size)).fill_null(0).to_numpy()
+        ends, at = np.cumsum(size.astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROW_BYTES, "right"))
+            to = max(at + 1, min(to, at + ROWS))
+            part = batch.slice(at, to - at)
+            yield part, part.column(place).to_pylist()
+            at = to
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
