@@ -11,7 +11,7 @@ signs, so the counts over all documents are a small table of bounded size.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 
 import numpy as np
@@ -32,18 +32,22 @@ _DIGIT = re.compile(r"[^0-9]")
 _SPELLED = re.compile(r"[(\[{]| dot ", re.I)
 
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]+)+", re.I),
+    "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]|\{dot\}| dot )\s?[0-9]{1,3}){3}(?![0-9A-Za-z])", re.I),
     "card": re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.(])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])"),
 }
-#: A part of every match of the loose e-mail pattern, so that texts without it are passed over.
-_OBFUSCATED = re.compile(r"(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]", re.I)
+#: What follows the name in a loose e-mail address. Names are found from here to the left, so that long runs of letters cost no more than their length.
+_AT_DOMAIN = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]+)+", re.I)
+#: Ignoring case, these four count as letters as well.
+_NAME = _LOCAL | frozenset("\u0130\u0131\u017f\u212a")
+_NO_FIRST = frozenset("._%+-")
 
 #: Gazetteers (fixed values): top-level domains, card issuers' prefixes, and words by which each kind is announced or ruled out.
 DOMAINS = frozenset("com org net edu gov io co info biz de fr es uk eu us ca ch at it nl be pt".split())
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30[0-5]|62")
 ANNOUNCED = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|courriel|correo|kontakt)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|ipv4|host|server|address|adresse|dirección|ping)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|carte|tarjeta|karte|kreditkarte)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|téléphone|teléfono|telefon|handy|appelez)\b", re.I),
 }
@@ -95,22 +99,45 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     if kind == "email":
         last = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
         return (1 if re.search(r"[(\[{]", span) else 0, 0, 1 if last in DOMAINS else -1, context)
+    if kind == "ip":
+        parts = [int(x) for x in re.findall(r"[0-9]+", span)]
+        return (1 if len(set(re.split(r"[0-9]+", span)[1:-1])) == 1 else -1, 1 if max(parts) <= 255 else -1, 1 if 0 < parts[0] < 224 else -1, context)
     if kind == "card":
         grouped = 1 if re.fullmatch(r"[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([\x20.-])[0-9]{6}\2[0-9]{5}", span) else 0
         return (grouped, 1 if luhn(digits) else -1, 1 if ISSUERS.match(digits) else -1, context)
     return (1 if "(" in span else 0, 1 if 9 <= len(digits) <= 12 else -1, 0, context)
 
 
+def loose_mail(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping spans of a name (letters, digits and ._%+-, no mark first) and ``_AT_DOMAIN`` right behind it."""
+    spans, last = [], 0
+    m = _AT_DOMAIN.search(text)
+    while m:
+        start = m.start()
+        while start > last and text[start - 1] in _NAME:
+            start -= 1
+        while start < m.start() and text[start] in _NO_FIRST:
+            start += 1
+        if start < m.start():
+            spans.append((start, m.end()))
+            last = m.end()
+        m = _AT_DOMAIN.search(text, m.end() if start < m.start() else m.start() + 1)
+    return spans
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, code) of loose matches clear of every base span; the code packs votes and features."""
+    """(kind, start, end, code) of loose matches clear of every base span and of each other; the code packs votes and features."""
     found: list[tuple[int, int, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
-    for kind, pattern in _LOOSE.items():
-        if kind == "email" and not _OBFUSCATED.search(text):
-            continue
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            if any(s < end and start < e for s, e in taken):
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    for kind in KINDS:
+        for start, end in loose_mail(text) if kind == "email" else (m.span() for m in _LOOSE[kind].finditer(text)):
+            at = bisect.bisect_left(taken, (end,))
+            if at and taken[at - 1][1] > start:
                 continue
             votes = _votes(kind, text, start, end)
             code = 0
@@ -118,9 +145,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 code = code * 3 + v + 1
             length = min(3, (end - start) // 8)
             # Of mail: spelled out with brackets or " dot "; else it may as well be prose ("look at this. It").
-            mixed = int(bool((_SPELLED if kind == "email" else _DIGIT).search(m[0])))
+            mixed = int(bool((_SPELLED if kind == "email" else _DIGIT).search(text[start:end])))
             found.append((KINDS.index(kind), start, end, (code * 4 + length) * 2 + mixed))
-            taken.append((start, end))
+            taken.insert(at, (start, end))
     return found
 
 

@@ -488,19 +488,44 @@ def test_pii_base_spans_against_the_patterns(spark, docs, none):
     assert got[2] is None and got[3] == "nothing here" and "a.b@c.org" not in got[1] and "170.106" not in got[1]
 
 
+#: The loose pattern as one expression, which takes time in the square of a run of letters.
+_LOOSE_MAIL = re.compile(
+    r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]+)+", re.I
+)
+
+
 def test_pii_loose_mail_against_the_pattern():
     rng = random.Random(12)
-    parts = ["jane", "corp", "com", " ", ".", " at ", "(at)", "{AT}", "[At]", "(DOT)", "[dot]", "{dot}", " dot ", " Dot ", "-", "\n", "\u00a0", "\u212a", "\u017f"]
+    parts = ["jane", "corp", "com", " ", ".", " at ", "(at)", "{AT}", "[At]", "(DOT)", "[dot]", "{dot}", " dot ", " Dot ", "-", "_", "\n", "\u00a0", "\u212a", "\u017f", "\u0130", "\u0131"]
     texts = ["jane{AT}corp.com", "jane (At) corp.com", "jane at corp{dot}com", "jane at corp [DOT] com", "jane at corp.com"]
     found = 0
-    for t in texts + ["".join(rng.choices(parts, k=rng.randint(3, 12))) for _ in range(20000)]:
-        expected = [m.span() for m in pii._LOOSE["email"].finditer(t)]
+    for t in texts + ["".join(rng.choices(parts, k=rng.randint(3, 12))) for _ in range(40000)]:
+        expected = [m.span() for m in _LOOSE_MAIL.finditer(t)]
+        assert pii.loose_mail(t) == expected, t
         assert [x[1:3] for x in pii.candidates(t, []) if x[0] == 0] == expected, t
         assert expected or t not in texts
         found += len(expected)
     assert found > 500
 
 
+def test_pii_of_long_runs_takes_time_in_proportion():
+    import time
+
+    run = "a" * 2_000_000
+    for t in (run, f"{run} (at) ", f"{run} at b.c", "1" * 2_000_000, "1." * 1_000_000, "+1(" * 500_000, "a@" * 1_000_000, " at a.b" * 200_000, "(at) " * 400_000):
+        began = time.process_time()
+        base = pii.base_spans(t)
+        pii.candidates(t, base)
+        assert time.process_time() - began < 10, t[:20]
+
+
+def test_pii_adds_spelled_out_addresses(spark):
+    data = [(k, f"the server address 10[.]{k}[.]0[.]9 and phone (0{300 + k}) 555-{1000 + k} again") for k in range(200)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.detect(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for k, t in data:
+        assert (1, t.index("10["), t.index(" and")) in got[k]
+
+
 def test_pii_prose_does_not_drown_spelled_out_mail(spark):
     mails = ["jane(at)corp.com", "jane{AT}corp.com", "jane (At) corp.com", "jane at corp{dot}com", "jane at corp [DOT] com"]
     data = [(k, f"reach me {x} thanks") for k, x in enumerate(mails)] + [(k, "they look at this. Thus we went") for k in range(10, 400)]
