@@ -14,14 +14,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.wordhash import _BASE, _BYTE, _M1, _texts, word_hashes
 
-#: The classifier is fitted on at most so many labelled documents of each class (those with the least hash of doc_id).
+#: The classifier is fitted on at most so many labelled texts of each class (those with the least hash of doc_id) and bytes
+#: of them; texts of more than SAMPLE_TEXT bytes are left out of the sample (they are scored like all others).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_BYTES, SAMPLE_TEXT = 12 << 20, 1 << 19
 #: A word of the vocabulary is in so many documents of the sample at least, and in one of so many.
 VOCABULARY, LEAST_DOCUMENTS, LEAST_SHARE = 16384, 5, 250
 WINDOW, STRIDE = 32, 16
@@ -306,28 +308,41 @@ def _calibrated(score: np.ndarray, toxic: np.ndarray, share: float) -> tuple[flo
     return max(0.01, float(w[0])), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """On labelled documents outside the held-out quarter. The sample's size is bounded (SAMPLE_TOXIC, SAMPLE_CLEAN); null labels are left out."""
+def sample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> tuple[DataFrame, float]:
+    """(draw, doc_id, text, toxic of the labelled texts to learn from, the share of toxic labels outside the held-out quarter)."""
     truth = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(string(doc_id)) % 4 <> 2")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").alias("toxic"))
-        .withColumn("draw", F.xxhash64("doc_id"))
+        .withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
     )
     n = {x["toxic"]: x["count"] for x in truth.groupBy("toxic").count().collect()}
-    parts = [truth.where(F.col("toxic") == t).orderBy("draw", "doc_id").limit(k) for t, k in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("draw", "doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(*[rows.column(k).to_pylist() for k in range(4)]), key=lambda x: (x[0], x[1], x[2] or ""))
-    share = n.get(1, 0) / max(1, sum(n.values()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.md5("text"))
+    sizes = texts.select("doc_id", "same", F.octet_length("text").cast("long").alias("size")).where(F.col("size") <= SAMPLE_TEXT).distinct()
+    labelled, parts = sizes.join(truth, "doc_id"), []
+    for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+        first = labelled.where(F.col("toxic") == toxic).orderBy("draw", "doc_id", "same").limit(most)
+        so_far = F.sum("size").over(Window.orderBy("draw", "doc_id", "same"))  # over ``most`` rows
+        parts.append(first.withColumn("bytes", so_far).where(F.col("bytes") <= SAMPLE_BYTES))
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).drop("size", "bytes"))  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
+    rows = texts.join(chosen, ["doc_id", "same"]).groupBy("draw", "doc_id", "same", "toxic").agg(F.first("text").alias("text"))
+    return rows.select("draw", "doc_id", "text", "toxic"), n.get(1, 0) / max(1, sum(n.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Model:
+    """On labelled documents outside the held-out quarter. The sample is bounded in rows and bytes; null labels are left out."""
+    rows, share = sample(docs, labels, seed)
+    rows = rows.toArrow()
+    rows = sorted(zip(*[rows.column(k).to_pylist() for k in range(4)]), key=lambda x: x[:3])
     return train([x[2] for x in rows], np.array([x[3] == 1 for x in rows], bool), min(0.99, max(0.01, share)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text); only the text decides the score.
 
-    Null and empty texts are scored as one window without words. Repeated rows and null doc_ids are kept
-    (a null doc_id is not held out); an empty table gives an empty result.
+    Null and empty texts are scored as one window without words, texts of any length by all their windows. Repeated
+    rows and null doc_ids are kept (a null doc_id is not held out); other columns are ignored; an empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
     names = ["doc_id", "held_out", "score"]

@@ -583,6 +583,49 @@ def test_toxicity(spark, docs, none, labels):
     assert toxicity.score(docs, toxicity.fit(none, labels)).count() == docs.count()
 
 
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 60))) for _ in range(40)]
+    toxic = np.array([k % 3 == 0 for k in range(40)])
+    m = toxicity.train(texts, toxic, 0.3)
+    encoded = [x.encode() for x in texts]
+    block = toxicity.read_block(np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in encoded])]))
+    index, target = block.windows[:16], (toxic[block.doc[:16]] * 0.96 + 0.02).astype(np.float32)
+
+    def loss():
+        z = toxicity.logits(m, toxicity.Block(block.hashes, block.grams, block.first, index, np.arange(16), 16)).astype(float)
+        p = 1 / (1 + np.exp(-z))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).mean()
+
+    gradients = toxicity._gradients(m, block, index, target)
+    assert set(gradients) == set(m.p)
+    for name, g in gradients.items():
+        at = np.unravel_index(np.argsort(-np.abs(g).ravel())[:3], g.shape)
+        for place in zip(*at):
+            kept, step = m.p[name][place], np.float32(0.01)
+            m.p[name][place] = kept + step
+            up = loss()
+            m.p[name][place] = kept - step
+            down = loss()
+            m.p[name][place] = kept
+            numeric = (up - down) / (2 * float(step))
+            assert abs(numeric - g[place]) <= 0.03 * abs(numeric) + 2e-5, (name, place)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 900)
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 300)
+    rows = [(k, "x" * (1 + 10 * (k % 50))) for k in range(200)] + [(7, "x" * 71)] * 50 + [(8, None), (8, "other")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got, share = toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    got = got.collect()
+    assert share == pytest.approx(0.5, abs=0.1) and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+    for toxic in (0, 1):
+        assert 300 < sum(len(r["text"]) for r in got if r["toxic"] == toxic) <= 900
+    assert max(len(r["text"]) for r in got) <= 300
+
+
 @pytest.mark.parametrize("name", ["op2_substrings", "op4_quality"])
 def test_rows_of_sql(spark, name):
     """The SQL spells out the contract apart from the operators; 200 whole documents."""
