@@ -1,46 +1,35 @@
 """License scans by MinHash bands over overlapping text windows (DataFrame and SQL only).
 
-A text's 5-word shingles are hashed; each window of two neighbouring shingles gives
-one MinHash for each band (one row a band: the least hash after an exclusive or with
-the band's constant). Windows of the templates are hashed alike, and a text window
-that agrees with one in any band is a candidate. A whole copy holds windows equal to
-the template's and always collides; of a template of a single shingle two windows
-hold it, and all bands fail with probability 3^-BANDS (0.14 %). Candidates are then
-verified: a license is reported where at least 0.8 of its shingles are found, by
-their words, in a stretch around the candidate.
+A text's 5-word shingles are hashed. Windows of WINDOW neighbouring shingles, STRIDE apart,
+have a MinHash for each of BANDS x ROWS hash functions; a window whose ROWS of a band all
+agree with those of a template's window (templates have one at every place) is a candidate. Windows of
+similarity J meet with probability 1 - (1 - J^ROWS)^BANDS, equal windows always. And a copy
+that holds 0.8 of the shingles of a template of 8 shingles or more always has an equal window: a changed,
+added or lost word in the middle costs 4 shingles at least, so n shingles have at most n / 20
+such places, and 7 shingles in a row are left somewhere, which hold a whole window at any stride of 2. Shorter
+notices are looked up by windows of one shingle, where 0.8 leaves at least one.
+
+Candidates are then verified: a license is reported where at least 0.8 of a template's distinct
+shingles are found, by their words, in the stretch of text where the template would lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table
+from tessera.llm.common import let, materialise, table
+from tessera.llm.license_texts import TEMPLATES
 
-SHINGLE, BANDS, CONTAINMENT = 5, 6, 0.8
+SHINGLE, CONTAINMENT = 5, 0.8
+WINDOW, STRIDE, BANDS, ROWS = 6, 2, 3, 2
+#: Templates of fewer shingles are notices, which are looked up shingle by shingle.
+LONG = 8
 #: Words of the lower-cased text: runs of ASCII letters and digits and of non-ASCII characters.
 TOKEN = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
-#: Notices by license (fixed values: published license notices).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-)
-
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -60,46 +49,44 @@ def _joined(words: list[Column]) -> Column:
     return F.concat_ws(" ", *words)
 
 
-def _windows(hashes: Column) -> Column:
-    """(a, b) of neighbouring shingles; a single shingle is a window of its own."""
-    return F.when(
-        F.size(hashes) > 1,
-        F.zip_with(F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-    ).otherwise(F.transform(hashes, lambda a: F.struct(a.alias("a"), a.alias("b"))))
+def _band_windows(hashes: Column, stride: int) -> Column:
+    """(at, keys) of each window of WINDOW shingles; a key for each band."""
 
+    def over(rows: Column) -> Column:
+        def key(i: Column, band: int) -> Column:
+            return F.xxhash64(*[F.array_min(F.slice(rows[f"r{band * ROWS + k}"], i + 1, WINDOW)) for k in range(ROWS)])
 
-def _band_constants(seed: int = 42) -> list[int]:
-    """One for each band, from a multiplicative rule; as signed 64-bit numbers."""
-    out = []
-    for k in range(1, BANDS + 1):
-        x = (k * 0x9E3779B97F4A7C15 + seed * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-        out.append(x - 2**64 if x >> 63 else x)
-    return out
+        windows = F.sequence(F.lit(0), F.size(hashes) - WINDOW, F.lit(stride))
+        return F.transform(windows, lambda i: F.struct(i.alias("at"), F.array(*[key(i, b) for b in range(BANDS)]).alias("keys")))
 
+    def permuted(k: int) -> Column:
+        return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))
 
-def _minhash(window: Column, constant: int) -> Column:
-    return F.least(window["a"].bitwiseXOR(F.lit(constant)), window["b"].bitwiseXOR(F.lit(constant)))
+    rows = F.struct(*[permuted(k).alias(f"r{k}") for k in range(BANDS * ROWS)])
+    return F.when(F.size(hashes) >= WINDOW, let(rows, over)).otherwise(F.array().cast("array<struct<at:int,keys:array<bigint>>>"))
 
 
 def template_bands(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, license, shingles (their words), n, band, key: a row for each band of each window of each template."""
+    """template, license, shingles (distinct, by their words), n (with repeats), band (-1: a single shingle), key, offset: where in the template the window starts."""
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("text")) for k, (a, b) in enumerate(templates)])
     held = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("words", _words(F.col("text")))
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), _minhash(F.col("w"), c).alias("key")) for k, c in enumerate(_band_constants())])
-    return (
-        held.select("template", "license", _shingles(F.col("words"), _joined).alias("shingles"), F.explode(_windows(_shingles(F.col("words"), _hashed))).alias("w"))
-        .select("template", "license", "shingles", F.size("shingles").alias("n"), F.explode(keys).alias("k"))
-        .select("template", "license", "shingles", "n", "k.band", "k.key")
-        .distinct()
-    )
+    held = held.select("template", "license", _shingles(F.col("words"), _joined).alias("shingles"), _shingles(F.col("words"), _hashed).alias("hashes"))
+    banded = F.transform(_band_windows(F.col("hashes"), 1), lambda w: F.transform(w["keys"], lambda k, b: F.struct(b.alias("band"), k.alias("key"), w["at"].alias("offset"))))
+    single = F.transform("hashes", lambda h, i: F.struct(F.lit(-1).alias("band"), h.alias("key"), i.alias("offset")))
+    n = F.size("hashes")
+    return held.select(
+        "template", "license", F.array_distinct("shingles").alias("shingles"), n.alias("n"), F.explode(F.when(n < LONG, single).otherwise(F.flatten(banded))).alias("k")
+    ).select("template", "license", "shingles", "n", "k.*")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, license, containment, first_word: a row for each license found in each row of ``docs`` (doc_id, text).
 
     ``containment`` is the largest share of a template's shingles found together, rounded to four places;
-    ``first_word`` the place of the first candidate window that verified it and was no worse reading of another license's words. Null, empty and short texts have no license.
-    Rows repeated with the same doc_id and text give one set of rows; null doc_ids are kept. An empty table gives an empty result.
+    ``first_word`` the first word of the first place that has it. Of templates found at one place, one all of whose
+    shingles there belong to a better one is a worse reading of the same words and not reported there. Null, empty and
+    short texts have no license; texts of any length are read whole. Rows repeated with the same doc_id and text give
+    one set of rows; null doc_ids are kept. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bands = template_bands(spark, templates)
@@ -107,55 +94,63 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     wanted: dict[int, list[int]] = {}
     for x in bands.select("band", "key").distinct().collect():
         wanted.setdefault(x["band"], []).append(x["key"])
-    constants = _band_constants()
-
-    def agrees(window: Column) -> Column:
-        found = F.lit(False)
-        for band, keys in sorted(wanted.items()):
-            found = found | _minhash(window, constants[band]).isin(keys)
-        return found
-
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), _minhash(F.col("w"), c).alias("key")) for k, c in enumerate(constants)])
-    candidates = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), let(_words(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("words"), _hits_of(w, agrees).alias("hits"))).alias("x"))
-        .select("doc_id", "text_key", "x.words", "x.hits")
-        .where(F.size("hits") > 0)
-        .select("doc_id", "text_key", "words", F.explode("hits").alias("hit"))
-        .select("doc_id", "text_key", "words", "hit.at", F.col("hit.w").alias("w"))
-        .withColumn("k", F.explode(keys))
-        .select("doc_id", "text_key", "words", "at", "k.band", "k.key")
+
+    def hits(hashes: Column) -> Column:
+        """(at, band, key) of the windows that agree with a template's."""
+        single = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("at"), F.lit(-1).alias("band"), h.alias("key"))), lambda x: x["key"].isin(wanted.get(-1, [])))
+        agrees = lambda w: F.exists(w["keys"], lambda k: k.isin([k for b, keys in wanted.items() if b >= 0 for k in keys]))
+        banded = F.filter(_band_windows(hashes, STRIDE), agrees)
+        every = F.flatten(F.transform(banded, lambda w: F.transform(w["keys"], lambda k, b: F.struct(w["at"].alias("at"), b.alias("band"), k.alias("key")))))
+        return F.concat(single, every)
+
+    near = (
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64("text").alias("text_key"),
+            let(_words(F.coalesce("text", F.lit(""))), lambda w: F.struct(w.alias("words"), let(_shingles(w, _hashed), hits).alias("hits"))).alias("x"),
+        )
+        .where(F.size("x.hits") > 0)
+        .select("doc_id", "text_key", F.col("x.words").alias("words"), F.explode("x.hits").alias("hit"))
+        .select("doc_id", "text_key", "words", "hit.*")
+        .join(F.broadcast(bands), ["band", "key"])
+    )
+    # Where the template would lie, and a quarter of its length and a shingle on both sides. The windows of one copy agree on
+    # that place, so that it is read once; only its words are shuffled.
+    slack = F.ceil(F.col("n") / 4).cast("int") + SHINGLE
+    start = F.col("at") - F.col("offset")
+    begin = F.greatest(F.lit(0), start - slack)
+    places = (
+        near.select("doc_id", "text_key", "template", start.alias("start"), begin.alias("begin"), "at", F.slice("words", begin + 1, start + F.col("n") + slack - begin + SHINGLE - 1).alias("words"))
+        .groupBy("doc_id", "text_key", "template", "start", "begin")
+        .agg(F.collect_set("at").alias("at"), F.first("words").alias("words"))
     )
-    near = candidates.join(F.broadcast(bands), ["band", "key"])
-    first = F.greatest(F.lit(0), F.col("at") - F.ceil(F.col("n") * 1.25).cast("int"))
-    last = F.col("at") + F.ceil(F.col("n") * 1.25).cast("int") + SHINGLE + 1
-    stretch = _shingles(F.slice("words", first + 1, last - first), _joined)
-    share = F.size(F.array_intersect("shingles", stretch)) / F.size(F.array_distinct("shingles"))
-    verified = (
-        near.withColumn("containment", F.round(share, 4))
+    held = bands.select("template", "license", "shingles").dropDuplicates(["template"])
+    own = F.filter(F.transform("stretch", lambda x, i: F.when(F.array_contains(F.col("shingles"), x), i)), lambda i: i.isNotNull())
+    # Three uses follow; without a written table each would scan the texts again.
+    verified = materialise(
+        places.join(F.broadcast(held), "template")
+        .withColumn("stretch", _shingles(F.col("words"), _joined))
+        .withColumn("seen", F.array_intersect("shingles", "stretch"))
+        .withColumn("containment", F.round(F.size("seen") / F.size("shingles"), 4))
         .where(F.col("containment") >= CONTAINMENT)
-        .select("doc_id", "text_key", "at", "license", "containment", "shingles", F.array_intersect("shingles", stretch).alias("seen"))
+        .select("doc_id", "text_key", "template", "at", "license", "containment", "seen", (F.col("begin") + F.array_min(own)).cast("long").alias("first_word"))
     )
-    # Versions of one notice share shingles: at each place a template all of whose shingles found there belong to a
-    # better one's is a worse reading of the same words. At most as many as there are templates are collected.
-    here = F.collect_set(F.struct("containment", "shingles")).over(Window.partitionBy("doc_id", "text_key", "at"))
-    worse = F.exists("here", lambda x: (x["containment"] > F.col("containment")) & (F.size(F.array_except("seen", x["shingles"])) == 0))
-    return (
-        verified.withColumn("here", here)
-        .where(~worse)
-        .groupBy("doc_id", "text_key", "license")
-        .agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
-        .drop("text_key")
+    # A reading is worse than another that shares a window with it, explains all its shingles there and is better: the
+    # other's shingles are compared with the words that this one has seen. As many as there are templates are collected.
+    by_window = verified.withColumn("at", F.explode("at"))
+    others = by_window.groupBy("doc_id", "text_key", "at").agg(F.collect_set(F.struct("containment", "template")).alias("others"))
+    worse = (
+        by_window.join(others, ["doc_id", "text_key", "at"])
+        .select("doc_id", "text_key", "license", "containment", "first_word", "seen", F.explode("others").alias("other"))
+        .where(F.col("other.containment") > F.col("containment"))
+        .join(F.broadcast(held.select(F.col("template").alias("better"), F.col("shingles").alias("all"))), F.col("other.template") == F.col("better"))
+        .where(F.size(F.array_except("seen", "all")) == 0)
+        .select("doc_id", "text_key", "license", "containment", "first_word")
+        .distinct()
     )
-
-
-def _hits_of(words: Column, agrees) -> Column:
-    """(at, window) of the windows that agree with a template's."""
-    marked = lambda windows: F.filter(F.transform(windows, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: agrees(x["w"]))
-    return let(_windows_of(words), marked)
-
-
-def _windows_of(words: Column) -> Column:
-    return let(_shingles(words, _hashed), _windows)
+    best = F.max_by(F.struct("containment", "first_word"), F.struct("containment", -F.col("first_word")))
+    sound = verified.alias("v").join(worse.alias("w"), reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"w.{c}")) for c in worse.columns]), "left_anti")
+    return sound.groupBy("doc_id", "text_key", "license").agg(best.alias("best")).select("doc_id", "license", "best.*")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

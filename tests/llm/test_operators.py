@@ -455,13 +455,60 @@ def test_licenses_of_two_places(spark):
     texts = [f"{three} {filler} {two}", f"{two} {filler} {three}", f"{filler} {three}", f"{filler} {two}", f"{two} or {three} {filler}", f"{filler} {three} {three}"]
     found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = sorted((r["doc_id"], r["license"], r["containment"]) for r in found.collect())
-    both = [("GPL-2.0", 0.8), ("GPL-3.0", 1.0)]
+    both = [("GPL-2.0", 0.8), ("GPL-3.0", 1.0)]  # "distributed" instead of "licensed"
     beside = [("GPL-2.0", 1.0), ("GPL-3.0", 1.0)]  # one stretch holds both notices
     assert got == sorted((d, *x) for d, reported in enumerate([both, both, both[1:], both[:1], beside, both[1:]]) for x in reported)
     places = {(r["doc_id"], r["license"]): r["first_word"] for r in found.collect()}
     assert places[0, "GPL-3.0"] < 10 and places[0, "GPL-2.0"] > 300
 
 
+def _license_shingles(text):
+    w = re.findall(licenses.TOKEN, (text or "").lower())
+    return [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_licenses_against_brute_force(spark):
+    """Edited copies in filler: whatever license holds 0.8 of a template's shingles in some stretch of the text, place by place."""
+    rng = random.Random(21)
+    filler = [f"w{k}" for k in range(4000)]
+    data = []
+    for k in range(150):
+        _, text = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        words = text.split()
+        for _ in range(rng.randrange(1 + len(words) // 20)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["changed"], [words[at], "added"]])
+        before = rng.randrange(0, 300)
+        data.append((k, " ".join(rng.choices(filler, k=before) + words + rng.choices(filler, k=rng.randrange(200)))))
+    expected, exact = {}, {}
+    for k, t in data:
+        shingles = _license_shingles(t)
+        for name, template in licenses.TEMPLATES:
+            own = _license_shingles(template)
+            reach = len(own) + 2 * (-(-len(own) // 4) + 5)
+            held = max((len(set(own) & set(shingles[i : i + reach])) / len(set(own)) for i in range(max(1, len(shingles)))), default=0)
+            if held >= 0.8:
+                expected[k, name] = max(expected.get((k, name), 0), round(held, 4))
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert set(got) <= set(expected)
+    for k, t in data:
+        best = max((v for (d, _), v in expected.items() if d == k), default=None)
+        mine = {name: v for (d, name), v in expected.items() if d == k}
+        for name in mine:
+            if mine[name] == best:
+                assert got[k, name][0] == best, (k, name)
+                assert _license_shingles(t)[got[k, name][1]] in {x for n, y in licenses.TEMPLATES if n == name for x in _license_shingles(y)}
+    assert len(got) > 130
+
+
+def test_licenses_report_the_place_of_the_notice(spark):
+    two, three = "licensed under the GNU General Public License, version 2", "licensed under the GNU General Public License, version 3"
+    filler = " ".join(f"w{k}" for k in range(100))
+    df = spark.createDataFrame([(1, f"{two} {filler} {three}"), (1, f"{two} {filler} {three}"), (2, f"{three} {filler} {two} {filler} {three}")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(df).collect())
+    assert got == [(1, "GPL-2.0", 1.0, 0), (1, "GPL-3.0", 1.0, 109), (2, "GPL-2.0", 1.0, 109), (2, "GPL-3.0", 1.0, 0)]
+
+
 def _base(t):
     luhn = lambda d: sum((x if k % 2 == 0 else 2 * x - 9 * (x > 4)) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
     digits = lambda s: re.sub("[^0-9]", "", s)
