@@ -1,13 +1,12 @@
 """License scans by MinHash bands over overlapping text windows (DataFrame and SQL only).
 
-A text's 5-word shingles are hashed. Windows of WINDOW neighbouring shingles, STRIDE apart,
-have a MinHash for each of BANDS x ROWS hash functions; a window whose ROWS of a band all
+A text's 5-word shingles are hashed. Windows of WINDOW neighbouring shingles (8 words), STRIDE apart (so that
+they overlap by 4 words), have a MinHash for each of BANDS x ROWS hash functions; a window whose ROWS of a band all
 agree with those of a template's window (templates have one at every place) is a candidate. Windows of
 similarity J meet with probability 1 - (1 - J^ROWS)^BANDS, equal windows always. And a copy
 that holds 0.8 of the shingles of a template of 8 shingles or more always has an equal window: a changed,
 added or lost word in the middle costs 4 shingles at least, so n shingles have at most n / 20
-such places, and 7 shingles in a row are left somewhere, which hold a whole window at any stride of 2. Shorter
-notices are looked up by windows of one shingle, where 0.8 leaves at least one.
+such places, and 7 shingles in a row are left somewhere, which hold a whole window. Shorter notices are looked up by windows of one shingle, where 0.8 leaves at least one.
 
 Candidates are then verified: a license is reported where at least 0.8 of a template's distinct
 shingles are found, by their words, in the stretch of text where the template would lie.
@@ -24,7 +23,7 @@ from tessera.llm.common import let, materialise, table
 from tessera.llm.license_texts import TEMPLATES
 
 SHINGLE, CONTAINMENT = 5, 0.8
-WINDOW, STRIDE, BANDS, ROWS = 6, 2, 3, 2
+WINDOW, STRIDE, BANDS, ROWS = 4, 4, 2, 2
 #: Templates of fewer shingles are notices, which are looked up shingle by shingle.
 LONG = 8
 #: Words of the lower-cased text: runs of ASCII letters and digits and of non-ASCII characters.
