@@ -3,22 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-@F.pandas_udf(T.StringType())
-def _python_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: str(x) if isinstance(x, str) or (hasattr(x, "__len__") and len(x)) or (not hasattr(x, "__len__") and x) else None)
+def _plain(value):
+    """A value as plain Python has it: rows are dicts, at any depth."""
+    if isinstance(value, Row):
+        return {k: _plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, dict):
+        return {_plain(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(x) for x in value]
+    return bytes(value) if isinstance(value, bytearray) else value
+
+
+@F.udf(T.StringType())
+def _python_text(value):
+    plain = _plain(value)
+    return str(plain) if plain else None
+
+
+@F.udf(T.StringType())
+def _decimal_text(text):
+    """Of a decimal with all digits of its scale, which Spark does not hand over as they are."""
+    return None if text is None else str(Decimal(text))
 
 
 def truthy_text(name: str, kind: T.DataType) -> Column:
-    """The column as text where its value is truthy, else null: 0, False, empty and null values fall out, blanks stay."""
+    """The column as Python's text of its value where it is truthy, else null: 0, False, empty and null values fall out, blanks stay.
+
+    Strings, booleans and integers stay in the JVM; fractions, decimals, dates, times, bytes, arrays, maps and structs go
+    through Python, whose text Spark's casts do not give. Other types are refused by name.
+    """
     c = F.col(f"`{name}`")
     if isinstance(kind, T.StringType):
         return F.when(c != "", c)
@@ -26,11 +49,17 @@ def truthy_text(name: str, kind: T.DataType) -> Column:
         return F.when(c, F.lit("True"))
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.when(c != 0, c.cast("string"))
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
+    if isinstance(kind, T.FloatType):
         return F.when(c != 0, _python_text(c.cast("double")))
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+    if isinstance(kind, T.DoubleType):
+        return F.when(c != 0, _python_text(c))
+    if isinstance(kind, T.DecimalType):
+        return F.when(c != 0, _decimal_text(c.cast("string")))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)):
         return _python_text(c)
-    return c.cast("string")
+    if isinstance(kind, T.NullType):
+        return F.lit(None).cast("string")
+    raise TypeError(f"column {name}: no text for {kind.simpleString()}")
 
 
 def row_text(df: DataFrame) -> Column:

@@ -5,14 +5,19 @@ Stand-in models take the place of the segmenter, embedder, reranker and generato
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import config, models
-from tessera.functions.text import chunk_udf, not_blank, row_text
-from tessera.functions.vectors import cosine, token_bucket
-from tessera.operators import answer, cache, chunks, retrieve, sessions, store
+from tessera import config, ingest, models
+from tessera.functions.text import not_blank, row_text
+from tessera.functions.vectors import cosine, sparse_parts, token_bucket
+from tessera.operators import agent, answer, cache, chunks, retrieve, sessions, store
+from tessera.plans import chunk_sql
 from tessera.sources import loader
+from tessera.staging import Written, delete_path, shared_folder
+from tessera.streaming import endpoint, ttl
 
 #: Literal texts for the blank test: blanks of several kinds, then texts that are none.
 _BLANKS = ("", " ", "\t\n", "　", "\x1c\x1d", "\u0085", " ", "​", " a ")
@@ -44,7 +49,8 @@ def _sources(sf_dir: str) -> list[loader.Source]:
 
 def union_sources(spark, sf_dir):
     rows = loader.load(spark, _sources(sf_dir))
-    return rows.select("source_ord", F.array_join("doc_ord", "/").alias("doc_ord"), F.md5("text").alias("text_md5"))
+    keys = F.transform(F.slice("doc_ord", 2, 10), lambda x: (x.cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").cast("string"))
+    return rows.select("source_ord", F.array_join(keys, "/").alias("doc_ord"), F.md5("text").alias("text_md5"))
 
 
 def source_counts(spark, sf_dir):
@@ -53,6 +59,34 @@ def source_counts(spark, sf_dir):
     ).unionByName(loader.load(spark, _sources(sf_dir)).agg(F.count("*").alias("n_rows")).select(F.lit("corpus").alias("source"), "n_rows"))
 
 
+def partial_sources(spark, sf_dir):
+    """A source whose second piece cannot be read, one that cannot be read at all, and one that can."""
+    pages = f"{sf_dir}/pages.parquet"
+    broken = loader.parquet_source("pages", [pages, f"{sf_dir}/no_such_table.parquet", pages], ("page_id",))
+    _, report = loader.load_report(spark, [broken, loader.parquet_source("none", f"{sf_dir}/none.parquet", ("id",)), *_sources(sf_dir)])
+    return report
+
+
+def row_text_orders(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", F.md5(row_text(rows)).alias("text_md5"))
+
+
+def row_text_nested(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    rows = part.select(
+        "p_partkey",
+        F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
+        F.lit(0).cast("decimal(5,2)").alias("nothing"),
+        F.array("p_size", "p_partkey").alias("pair"),
+        F.array().cast("array<int>").alias("no_items"),
+        F.struct(F.col("p_size").alias("size"), F.array("p_brand").alias("brands"), F.lit(None).cast("int").alias("missing")).alias("described"),
+        F.create_map(F.col("p_brand"), F.col("p_size") > 25).alias("large"),
+        F.lit("2024-02-29").cast("date").alias("day"),
+    )
+    return rows.select("p_partkey", row_text(rows).alias("row_text"))
+
+
 def line_chunks(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
     numbered = chunks.number_pieces(docs, ["doc_id"], F.split("text", "\n"))
@@ -81,7 +115,7 @@ def dense_top9(spark, sf_dir):
 
 def dense_topk_batch(spark, sf_dir):
     points = _points(spark, sf_dir)
-    found = retrieve.dense_top_k(points.where("id % 25 = 0").select(F.col("id").alias("query_id"), "dense"), points, 9)
+    found = retrieve.dense_top_k(points.select(F.col("id").alias("query_id"), "dense"), points, 9)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -97,21 +131,28 @@ def sparse_weights(spark, sf_dir):
 
 
 def sparse_vectors(spark, sf_dir):
-    by_doc = sparse_weights(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
-    indices, values = F.transform("w", lambda x: x["bucket"].cast("int")), F.transform("w", lambda x: x["weight"].cast("float"))
-    return by_doc.select("doc_id", F.array_join(indices.cast("array<string>"), ",").alias("indices"), F.array_join(F.transform(values, lambda v: v.cast("int").cast("string")), ",").alias("vals"))
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: F.struct(x["bucket"].cast("string"), x["weight"]))
+    by_doc = sparse_weights(spark, sf_dir).groupBy("doc_id").agg(sparse_parts(F.map_from_entries(entries)).alias("s"))
+    texts = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",")
+    return by_doc.select("doc_id", texts(F.array_sort("s.indices")).alias("indices"), texts(_by_index("s")).alias("vals"))
+
 
+def _by_index(parts: str):
+    """The values in order of their indices."""
+    pairs = F.array_sort(F.arrays_zip(F.col(f"{parts}.indices").alias("indices"), F.col(f"{parts}.values").alias("values")))
+    return F.transform(pairs, lambda x: x["values"])
 
-def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), TOKENS))).alias("token")).where("token <> ''")
+
+def _questions(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def retrieve_rerank(spark, sf_dir):
-    """The reranker's stand-in as an inverted index: documents by the number of distinct tokens shared with a question."""
-    questions = _tokens(_table(spark, sf_dir, "benchmark"), "item_id", "text")
-    shared = _tokens(_table(spark, sf_dir, "documents"), "doc_id", "text").join(questions, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
-    best = F.row_number().over(retrieve.Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))
-    return shared.withColumn("rank", best.cast("long")).where("rank <= 3")
+    """Whole documents as passages: nine by vector, then three by the reranker."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    points = Written(store.points_of(docs)).read()
+    found = retrieve.search(_questions(spark, sf_dir), points, models.embed_udf())
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.col("rerank_score").cast("long").alias("overlap"))
 
 
 def prompt_build(spark, sf_dir):
@@ -121,16 +162,33 @@ def prompt_build(spark, sf_dir):
 
 
 def fallback_answer(spark, sf_dir):
-    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    passages = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), "text")
-    return answer.answers(questions, passages).select("query_id", "answer", F.size("contexts").cast("long").alias("n_contexts"))
+    """Each question as it is, with the document of its number as passage, and once more under a number that no document has."""
+    questions = _questions(spark, sf_dir)
+    passages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), "text")
+    asked = questions.unionByName(questions.withColumn("query_id", -1 - F.col("query_id")))
+    return answer.answers(asked, passages).select("query_id", "answer", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+#: Replies of a generator to each event: with a text, with null, without the field, with no text, no object, no JSON.
+_REPLIES = ("ok", "null", "absent", "empty", "list", "broken")
 
 
 def llm_parse(spark, sf_dir):
-    body = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(F.concat(F.lit("ok "), "event_type").alias("response")))).when(
-        F.col("event_id") % 4 == 1, F.lit('{"response":null}')
-    ).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.lit('{"response":""}'))
-    return _table(spark, sf_dir, "events").select("event_id", models.parsed_response(body).alias("answer"))
+    said = {"null": '{"response":null}', "empty": '{"response":""}', "list": "[1]", "broken": "{bad"}
+    replies = {"ok": F.to_json(F.struct(F.concat(F.lit("ok "), "event_type").alias("response"))), "absent": F.col("props")} | {k: F.lit(v) for k, v in said.items()}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), replies[k].alias("body")) for k in _REPLIES])).alias("reply")
+    return _table(spark, sf_dir, "events").select("event_id", kinds).select("event_id", "reply.kind", models.parsed_response(F.col("reply.body")).alias("answer"))
+
+
+def generator_messages(spark, sf_dir):
+    """A generator that fails for every third prompt."""
+
+    def generate(prompt: str) -> str:
+        if int(prompt) % 3 == 0:
+            raise ValueError(f"no {prompt}")
+        return models.response_text('{"error":"x"}' if int(prompt) % 3 == 1 else f'{{"response":"said {prompt}"}}')
+
+    return _table(spark, sf_dir, "events").select("event_id", models.generate_udf(generate)(F.col("event_id").cast("string")).alias("answer"))
 
 
 def upsert_last_wins(spark, sf_dir):
@@ -181,13 +239,118 @@ def context_numbers(spark, sf_dir):
     return sessions.numbered_contexts(answer.contexts_of(turns)).select("query_id", "number", F.md5("context").alias("context_md5"))
 
 
+def answer_cache(spark, sf_dir):
+    """All questions cached, every other one overwritten later, looked up after the first ones have expired."""
+    at = lambda seconds: F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))
+    asked = _table(spark, sf_dir, "conversations").groupBy(F.col("text").alias("query")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"))
+    held = cache.AnswerCache(spark, f"cache_{uuid.uuid4().hex}")
+    held.put(asked.select("query", F.concat(F.lit("first "), F.md5("query")).alias("answer")), at(0))
+    held.put(asked.where("query_id % 2 = 0").select("query", F.concat(F.lit("second "), F.md5("query")).alias("answer")), at(1800))
+    found = Written(held.get(asked, at(3600)).select("query_id", F.col("cached").alias("answer"))).read()
+    held.drop()
+    return found
+
+
+def session_append(spark, sf_dir):
+    """Each conversation with one more turn, which failed for every third."""
+    log = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = log.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
+    turns = last.select("conv_id", "turn", F.lit("and then?").alias("query"), F.when(F.col("conv_id") % 3 != 0, F.lit("nothing more")).alias("answer"))
+    return sessions.replay(sessions.appended(log, turns)).select("conv_id", "position", "role", F.md5("text").alias("text_md5"))
+
+
+def question_vectors(spark, sf_dir):
+    vectors = _questions(spark, sf_dir).select("query_id", F.posexplode(models.embed_udf()("query")["dense"]).alias("place", "v")).where("v <> 0")
+    return vectors.select("query_id", F.col("place").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+def _collection(spark, sf_dir) -> DataFrame:
+    """All documents as chunks and points, written once."""
+    made = chunks.chunk_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return Written(store.points_of(made)).read()
+
+
+def retrieve_passages(spark, sf_dir):
+    found = retrieve.search(_questions(spark, sf_dir), _collection(spark, sf_dir), models.embed_udf())
+    return found.select("query_id", "id", "rank", F.col("rerank_score").cast("long").alias("overlap"), F.md5("text").alias("text_md5"))
+
+
 def rag_answers(spark, sf_dir):
     """Documents to chunks to points; each benchmark text as a question: vector search, rerank, prompt, answer."""
-    made = chunks.chunk_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
-    embed = models.embed_udf()
-    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    passages = retrieve.search(questions, store.points_of(made, embed), embed)
-    return answer.answers(questions, passages).select("query_id", "answer", F.size("contexts").alias("n_contexts"))
+    made = agent.researcher(_collection(spark, sf_dir))(_questions(spark, sf_dir))
+    return made.select("query_id", "answer", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def empty_collection(spark, sf_dir):
+    """Questions to a collection without points: the fixed answer, whatever the generator."""
+    name = f"collection_{uuid.uuid4().hex}"
+    collection = store.Collection(spark, name, 64)
+    made = Written(agent.researcher(collection.read())(_questions(spark, sf_dir))).read()
+    collection.drop()
+    return made.select("query_id", "answer", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def chat_answers(spark, sf_dir):
+    """The questions asked twice: the agent answers, then the cache."""
+    collection, held = _collection(spark, sf_dir), cache.AnswerCache(spark, f"cache_{uuid.uuid4().hex}")
+    asked, rounds = _questions(spark, sf_dir), []
+    for turn in (1, 2):
+        made = agent.chat(asked, collection, held, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        rounds.append(Written(made.select(F.lit(turn).alias("round"), "query_id", "answer", "source", F.size("contexts").cast("long").alias("n_contexts"))).read())
+    held.drop()
+    return rounds[0].unionByName(rounds[1])
+
+
+def stream_chat(spark, sf_dir):
+    """The same over a stream: two micro-batches of the same questions."""
+    collection, held = _collection(spark, sf_dir), cache.AnswerCache(spark, f"cache_{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    asked = _questions(spark, sf_dir)
+    asked.coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = endpoint.serve(stream, lambda: collection, held, f"{folder}/out", f"{folder}/state")
+    query.processAllAvailable()
+    asked.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    query.processAllAvailable()
+    query.stop()
+    made = Written(spark.read.parquet(f"{folder}/out")).read()
+    held.drop()
+    delete_path(spark, folder)
+    return made.select((F.col("batch") + 1).cast("int").alias("round"), "query_id", "answer", "source", F.size("contexts").cast("long").alias("n_contexts"))
+
+
+def stream_ttl(spark, sf_dir):
+    """The cache with a fixed lifetime over a stream of four micro-batches, in order of time."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    requests = _requests(_table(spark, sf_dir, "events"))
+    last = requests.agg(F.max("event_id")).first()[0] or 0
+
+    def arrive(k: int) -> None:
+        low, high = k * (last + 1) // 4, (k + 1) * (last + 1) // 4 - 1
+        requests.where(F.col("event_id").between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    arrive(0)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = ttl.stream_hits(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    for k in range(1, 4):
+        query.processAllAvailable()
+        arrive(k)
+    query.processAllAvailable()
+    query.stop()
+    made = Written(spark.read.schema("event_id long, hit boolean").parquet(f"{folder}/out")).read()
+    delete_path(spark, folder)
+    return made
+
+
+def ingest_points(spark, sf_dir):
+    """The ingest entry point with two sources, run twice: ids are the same, so the second run replaces what the first one wrote."""
+    settings = config.Settings(collection=f"collection_{uuid.uuid4().hex}", dimension=64)
+    sources = [ingest.source_of(f"documents={sf_dir}/documents.parquet:doc_id"), ingest.source_of(f"conversations={sf_dir}/conversations.parquet:conv_id,turn:200")]
+    for _ in range(2):
+        collection = ingest.ingest(spark, sources, settings)
+    made = Written(collection.read().select("id", F.md5("payload.text").alias("text_md5"), F.size("dense").cast("long").alias("n_dense"), F.size("sparse.indices").cast("long").alias("n_sparse"))).read()
+    collection.drop()
+    return made
 
 
 QUERIES = {
@@ -195,9 +358,10 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            nonblank_docs, union_sources, source_counts, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, cosine_pairs,
+            row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, cosine_pairs,
             sparse_weights, sparse_vectors, retrieve_rerank, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
-            ttl_cache, cache_route, session_replay, context_numbers, rag_answers,
+            ttl_cache, cache_route, answer_cache, session_replay, session_append, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
+            empty_collection, chat_answers, stream_chat, stream_ttl, ingest_points,
         )
     },
 }
@@ -223,17 +387,37 @@ SQL = {
     "line_chunks": f"""SELECT id, md5(piece) AS text_md5 FROM (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS id, piece FROM
   (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> '')) WHERE {_SOLID.format('piece')}""",
     "dense_top9": f"SELECT id, rank, score FROM ({_TOP.format('q.vec_id = 0')})",
-    "dense_topk_batch": _TOP.format("q.vec_id % 25 = 0"),
+    "dense_topk_batch": _TOP.format("true"),
     "cosine_pairs": "SELECT b.vec_id AS id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "sparse_weights": _WEIGHTS,
     "sparse_vectors": f"SELECT doc_id, string_agg(bucket::VARCHAR, ',' ORDER BY bucket) AS indices, string_agg(weight::VARCHAR, ',' ORDER BY bucket) AS vals FROM ({_WEIGHTS}) GROUP BY 1",
-    "retrieve_rerank": f"""WITH q AS (SELECT DISTINCT * FROM ({_WORDS.format(key='item_id', table='benchmark')}) WHERE token <> ''), d AS (SELECT DISTINCT * FROM ({_WORDS.format(key='doc_id', table='documents')}) WHERE token <> ''),
-  s AS (SELECT item_id, doc_id, count(*) AS overlap FROM d JOIN q USING (token) GROUP BY 1, 2)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) WHERE rank <= 3""",
+    "retrieve_rerank": chunk_sql.RERANKED,
+    "recursive_chunks": chunk_sql.RECURSIVE_CHUNKS,
+    "question_vectors": chunk_sql.VECTORS,
+    "retrieve_passages": chunk_sql.PASSAGES,
+    "rag_answers": f"{chunk_sql.ANSWERS} SELECT query_id, answer, n_contexts FROM answered",
+    "chat_answers": chunk_sql.CHATS,
+    "stream_chat": chunk_sql.CHATS,
+    "ingest_points": chunk_sql.POINTS,
+    "empty_collection": f"SELECT item_id AS query_id, '{config.NO_DOCUMENT}' AS answer, 0::BIGINT AS n_contexts FROM benchmark",
+    "row_text_orders": "SELECT o_orderkey, md5(concat_ws(' ', CASE WHEN o_orderkey <> 0 THEN o_orderkey::VARCHAR END, CASE WHEN o_custkey <> 0 THEN o_custkey::VARCHAR END, nullif(o_orderstatus, ''), CASE WHEN o_totalprice <> 0 THEN o_totalprice::VARCHAR END, o_orderdate::VARCHAR, nullif(o_orderpriority, ''))) AS text_md5 FROM orders",
+    "row_text_nested": """SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey <> 0 THEN p_partkey::VARCHAR END, CASE WHEN p_retailprice <> 0 THEN p_retailprice::DECIMAL(12,2)::VARCHAR END,
+  '[' || p_size || ', ' || p_partkey || ']', '{''size'': ' || p_size || ', ''brands'': [''' || p_brand || '''], ''missing'': None}',
+  '{''' || p_brand || ''': ' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END || '}', '2024-02-29') AS row_text FROM part""",
+    "partial_sources": f"""SELECT * FROM (VALUES (0, 'pages', true), (1, 'none', true), (2, 'documents', false), (3, 'conversations', false)) s(source_ord, source, failed)
+  JOIN (SELECT 0 AS source_ord, count(*) AS n_rows, count(*) AS n_texts FROM pages UNION ALL SELECT 1, 0, 0 UNION ALL SELECT 2, count(*), (SELECT count(*) FROM ({_CORPUS}) WHERE source_ord = 0) FROM documents
+  UNION ALL SELECT 3, least(200, count(*)), (SELECT count(*) FROM ({_CORPUS}) WHERE source_ord = 1) FROM conversations) USING (source_ord)""",
+    "answer_cache": """SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'second ' || md5(text) END AS answer FROM (SELECT text, min(conv_id * 1000 + turn) AS query_id FROM conversations GROUP BY text)""",
+    "generator_messages": f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{config.LLM_FAILED}no ' || event_id WHEN 1 THEN '{config.LLM_MISSING}' ELSE 'said ' || event_id END AS answer FROM events",
+    "session_append": """WITH l AS (SELECT conv_id, max(turn) + 1 AS turn FROM conversations GROUP BY 1), a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, 'user', 'and then?' FROM l
+  UNION ALL SELECT conv_id, turn + 1, 'assistant', 'nothing more' FROM l WHERE conv_id % 3 <> 0)
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role, md5(text) AS text_md5 FROM a""",
     "prompt_build": f"SELECT conv_id AS query_id, md5('{config.PROMPT[0]}' || {_JOINED} || '{config.PROMPT[1]}' || conv_id || '{config.PROMPT[2]}') AS prompt_md5, count(*) AS n_contexts FROM conversations GROUP BY 1",
-    "fallback_answer": f"""SELECT item_id AS query_id, CASE WHEN doc_id IS NULL THEN '{config.NO_DOCUMENT}' ELSE 'answer ' || md5('{config.PROMPT[0]}' || d.text || '{config.PROMPT[1]}' || b.text || '{config.PROMPT[2]}') END AS answer,
-  (doc_id IS NOT NULL)::BIGINT AS n_contexts FROM benchmark b LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = b.item_id""",
-    "llm_parse": f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ok ' || event_type WHEN 1 THEN NULL WHEN 2 THEN '{config.LLM_MISSING}' ELSE '' END AS answer FROM events",
+    "fallback_answer": f"""SELECT query_id, CASE WHEN doc_id IS NULL THEN '{config.NO_DOCUMENT}' ELSE 'answer ' || md5('{config.PROMPT[0]}' || d.text || '{config.PROMPT[1]}' || b.text || '{config.PROMPT[2]}') END AS answer,
+  (doc_id IS NOT NULL)::BIGINT AS n_contexts FROM (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - item_id, text FROM benchmark) b LEFT JOIN documents d ON d.doc_id = query_id""",
+    "llm_parse": f"""SELECT event_id, kind, CASE kind WHEN 'ok' THEN 'ok ' || event_type WHEN 'absent' THEN '{config.LLM_MISSING}' WHEN 'empty' THEN ''
+  WHEN 'list' THEN '{config.LLM_FAILED}''list'' object has no attribute ''get''' WHEN 'broken' THEN '{config.LLM_FAILED}Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' END AS answer
+  FROM events, (VALUES {", ".join(f"('{k}')" for k in _REPLIES)}) r(kind)""",
     "upsert_last_wins": """WITH h AS (SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS balance FROM customer),
   a AS (SELECT *, 0 AS batch FROM h UNION ALL SELECT id, name, round(balance + 1, 2), 1 FROM h WHERE id % 3 = 0 UNION ALL SELECT id, name, round(balance + 2, 2), 2 FROM h WHERE id % 6 = 0
   UNION ALL SELECT id + 1000000, name, balance, 3 FROM h WHERE id % 300 = 0)
@@ -249,3 +433,4 @@ SQL = {
     "session_replay": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role, md5(text) AS text_md5 FROM conversations",
     "context_numbers": "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, md5(text) AS context_md5 FROM conversations",
 }
+SQL["stream_ttl"] = SQL["ttl_cache"]

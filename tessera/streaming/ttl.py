@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_hits(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """event_id, hit of a stream of requests (key, ts, event_id). Each key's state is when its entry expires.
+def stream_hits(requests: DataFrame, ttl_seconds: int = 3600, lateness: str = "1 day") -> DataFrame:
+    """event_id, hit of a stream of requests (key, ts, event_id). Each key's state is when its entry expires, and is dropped
+    once no request can find it alive: when the latest time seen is ``lateness`` past that. Requests that are later than ``lateness`` are dropped.
 
     Requests of a micro-batch are served in order of time; what comes in a later batch is served after it, whatever its time.
     """
     lifetime = ttl_seconds * 1_000_000
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         expires = state.get[0] if state.exists else None
         hits = []
@@ -27,7 +31,9 @@ def stream_hits(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
                 expires = int(at) + lifetime
             hits.append(hit)
         state.update((expires,))
+        state.setTimeoutTimestamp(expires // 1000 + 1)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "hit": hits})
 
-    timed = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
-    return timed.groupBy("key").applyInPandasWithState(serve, "event_id long, hit boolean", "expires long", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.select("key", F.col("ts").cast("timestamp").alias("time"), "event_id").withWatermark("time", lateness)
+    timed = timed.select("key", "time", F.unix_micros("time").alias("at"), "event_id")
+    return timed.groupBy("key").applyInPandasWithState(serve, "event_id long, hit boolean", "expires long", "append", GroupStateTimeout.EventTimeTimeout)
