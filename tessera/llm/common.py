@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.staging import Written, delete_path, shared_folder
+
+__all__ = ["WORD", "Written", "delete_path", "fresh", "let", "ln_factorial", "materialise", "numbers_below", "shared_folder", "table"]
+
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 #: ``bytes.split()`` without arguments cuts UTF-8 at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,34 +30,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-class Written:
-    """A table written as Parquet in the shared folder; ``drop`` removes it."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str) -> str:
     """A column name that no table has, for columns that stand beside those of a user's table."""
     return f"_{name}_{uuid.uuid4().hex[:12]}"

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shared_folder, table
+from tessera.llm.common import delete_path, materialise, shared_folder, table
 from tessera.llm.wordhash import _BASE, _mixed
 
 #: UTF-8 bytes of text in a chunk (one text may have more); bytes of questions that meet in a bucket.
@@ -317,8 +317,7 @@ class _Chunks:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 def _without_repeats(docs: DataFrame, digest: bool) -> DataFrame:
