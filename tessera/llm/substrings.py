@@ -161,15 +161,22 @@ def _found(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, inverse, low < high
 
 
+def _places(n: int, where: np.ndarray) -> np.ndarray:
+    """Distinct places below ``n``, in order."""
+    marked = np.zeros(n, bool)
+    marked[where] = True
+    return np.flatnonzero(marked)
+
+
 def _anchor_questions(c: Chunk, h: SimpleNamespace):
-    at = np.unique(h.anchor)
+    at = _places(len(c.row), h.anchor)
     own, inverse, twice = _found(h.h4[at], c.row[at])
     return at, own, inverse, twice
 
 
 def _half_questions(c: Chunk, h: SimpleNamespace, alive: np.ndarray):
     """Of the windows whose anchor is alive."""
-    at = np.unique(h.half[alive[h.anchor]]) if len(h.anchor) else h.anchor
+    at = _places(len(c.row), h.half[alive[h.anchor]])
     own, inverse, twice = _found(h.h8[at], c.row[at])
     return at, own, inverse, twice
 
@@ -265,8 +272,7 @@ def _finished(buckets: dict, digest: bool):
         asked, of_window = c.digests(windows)
         again = _answers(answered, asked["hi"], buckets["windows"])[of_window]
         windows = windows[again | (c.id_of[c.row[windows]] > asked["least"][of_window])]
-        row, ends = c.row[windows], None
-        ends = np.searchsorted(row, np.arange(len(c.ids) + 1))
+        ends = np.searchsorted(c.row[windows], np.arange(len(c.ids) + 1))
         n, removed, out, spans = [], [], [], []
         for k, words in enumerate(c.words):
             n.append(len(words))
