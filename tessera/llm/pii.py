@@ -277,5 +277,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # A lambda's second parameter, even one with a default, would be the place in the array.
+    def number(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return detect(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

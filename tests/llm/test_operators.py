@@ -755,3 +755,181 @@ def test_pipeline(spark, tmp_path):
     expected = [(d, known.encode_ordinary(t)) for d, t, *_ in after[3]]
     got = [(r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "ids").collect()]
     assert sorted(got) == sorted(expected)
+
+
+CLASHING = "key long, fp long, shard int, size long, part long, bucket long, steps string, path string, stratum string, row string, n long, draw long, _id long, _text string, _key string, turn int, same long, root long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows, tmp_path_factory):
+    """A folder of tables: nulls in any column, empty texts, texts of megabytes, repeated rows, shared ids, clashing columns; and one of empty tables."""
+    rng = random.Random(17)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    huge = say(300_000)
+    mine = [(d, t, lang, source) for d, t, lang, source, *_ in rows]
+    mine += [(500, huge, "en", "s1"), (501, f"{say(20)} {huge}", "en", "s1"), (502, "x" * 3_000_000, None, "s2"), (503, "中" * 400_000, "zh", None)]
+    mine += [(504, f"Released under the MIT License. {say(80)} mail a.b@c.org now", "en", "s0")] * 4 + [(500, say(60), "en", "s1"), (None, huge, "en", "s1"), (505, None, None, None)]
+    n = len(CLASHING.split(","))
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] else None, *[None] * n) for r in mine], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+    docs = docs.withColumn("_id", F.lit(7).cast("long")).withColumn("key", F.col("doc_id"))
+    vectors = [(k, np.random.default_rng(k).standard_normal(8).astype(np.float32).tolist(), 1, "x") for k in range(200)]
+    vectors += [(200, None, None, None), (220, [0.0] * 8, 1, "x"), (None, [1.0] * 8, 1, "x"), (40, vectors[40][1], 1, "x"), (240, [float("inf")] * 8, 1, "x"), (260, [], 1, "x")]
+    labels = [(k, k % 2, int(k % 5 == 0)) for k in range(40)] + [(3, None, None), (None, 1, 1), (4, 0, 0), (500, 1, 0), (504, 1, 1)]
+    tables = {
+        "documents": docs.repartition(3),
+        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>, block int, rank string"),
+        "labels": spark.createDataFrame([(*x, "k") for x in labels], "doc_id long, quality int, toxic int, text string"),
+    }
+    full, bare = (str(tmp_path_factory.mktemp(x)) for x in ("odd", "bare"))
+    for name, df in tables.items():
+        df.write.parquet(f"{full}/{name}.parquet")
+        df.limit(0).write.parquet(f"{bare}/{name}.parquet")
+    return full, bare, mine
+
+
+def _registered(spark, folder, name):
+    from tessera.llm import registry
+
+    return [r.asDict() for r in registry.QUERIES[name](spark, folder).collect()]
+
+
+def _all_queries():
+    from tessera.llm import registry
+
+    return sorted(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", _all_queries())
+def test_registered_queries_of_empty_tables(spark, odd, name):
+    assert _registered(spark, odd[1], name) == []
+
+
+def test_registered_op1(spark, odd):
+    got = _registered(spark, odd[0], "op1_ann")
+    x = {k: np.random.default_rng(k).standard_normal(8).astype(np.float32).astype(float) for k in range(200)}
+    hits = 0
+    for q in range(0, 200, 20):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        exact = {k: float(ann.inner_products(x[q], x[k][None])[0]) for k in x if k != q}
+        assert all(exact[v] == s for _, v, s in mine) and [v for _, v, _ in mine] == [v for _, v, _ in sorted(mine, key=lambda y: (-y[2], y[1]))]
+        hits += len({v for _, v, _ in mine} & set(sorted(exact, key=lambda k: (-exact[k], k))[:20]))
+    assert len(got) == 200 and hits >= 180
+
+
+def test_registered_op2(spark, odd):
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in _registered(spark, odd[0], "op2_substrings")]
+    assert _sorted(got) == _sorted((d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in _kept([r[:2] for r in odd[2]]))
+
+
+def test_registered_op3(spark, odd):
+    got, again = _registered(spark, odd[0], "op3_mixing"), _registered(spark, odd[0], "op3_mixing")
+    plain = lambda x: sorted(str((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"])) for r in x)
+    assert plain(got) == plain(again)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert _sorted((r["doc_id"], r["size"]) for r in got) == _sorted((d, size(t)) for d, t, *_ in odd[2])
+    sums, largest = Counter(), Counter()
+    for _, t, _, s in odd[2]:
+        sums[s] += size(t)
+        largest[s] = max(largest[s], size(t))
+    targets = {round(t, 6): s for s, t in _targets(sums).items()}
+    assert all(r["taken"] <= 2 * r["size"] and r["source_size"] == sums[targets[round(r["target"], 6)]] for r in got)
+    for target, s in targets.items():
+        assert abs(sum(r["taken"] for r in got if round(r["target"], 6) == target) - target) <= largest[s]
+
+
+def test_registered_op4(spark, odd):
+    got = _registered(spark, odd[0], "op4_quality")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert _sorted(tuple(r[c] for c in columns) for r in got) == _sorted((d, *_quality(t)) for d, t, *_ in odd[2])
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def test_registered_op5(spark, odd):
+    import public_tokenizers
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.vocabulary_path()), special_tokens={})
+    sha, known = lambda b: hashlib.sha256(b).hexdigest(), {}
+    for _, t, *_ in odd[2]:
+        if t and len(t) > 1_000_000 and " " not in t:
+            continue  # a word of megabytes takes the reference library minutes; its round trip is checked below
+        ids = own.encode_ordinary(t or "")
+        known[t] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
+    got = _registered(spark, odd[0], "op5_bpe")
+    whole = sha(("x" * 3_000_000).encode())
+    assert sum(r["decoded_sha256"] == whole for r in got) == 1
+    expected = [(d, *known[t]) for d, t, *_ in odd[2] if t in known]
+    assert _sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got if r["decoded_sha256"] != whole) == _sorted(expected)
+
+
+def test_registered_op6(spark, odd):
+    prints = {t: _fingerprint(t) for _, t, *_ in odd[2]}
+    group = {f: f for f in prints.values()}
+    for a in list(group):
+        for b in list(group):
+            if a < b and (a ^ b).bit_count() <= 3:
+                low, high = group[a], group[b]
+                group = {f: low if g == high else g for f, g in group.items()}
+    least = {}
+    for d, t, *_ in odd[2]:
+        g = group[prints[t]]
+        least[g] = min((x for x in (d, least.get(g)) if x is not None), default=None)
+    expected = [(d, f"{prints[t]:016x}", least[group[prints[t]]]) for d, t, *_ in odd[2]]
+    assert _sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in _registered(spark, odd[0], "op6_simhash")) == _sorted(expected)
+
+
+def test_registered_op7(spark, odd):
+    got = _registered(spark, odd[0], "op7_licenses")
+    assert [(r["doc_id"], r["license"], r["containment"], r["first_word"]) for r in got] == [(504, "MIT", 1.0, 0)]
+
+
+def test_registered_op8(spark, odd):
+    kinds, expected = pii.KINDS, []
+    for d, t, *_ in odd[2]:
+        base = _base(t or "") if len(t or "") < 2_500_000 else []
+        said = [f"{kinds[k]}:{a}:{b}" for k, a, b in base]
+        expected.append((d, *[sum(k == n for k, *_ in base) for n in range(4)], hashlib.sha256(",".join(said).encode()).hexdigest()))
+    got = _registered(spark, odd[0], "op8_pii")
+    assert _sorted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == _sorted(expected)
+    for r in got:
+        spans = [(kinds.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert spans == sorted(spans) and sum(r[f"n_{k}"] for k in kinds) <= len(spans)
+
+
+def test_registered_op9(spark, odd):
+    got = _registered(spark, odd[0], "op9_sharding")
+    utf = lambda t: (t or "").encode()
+    assert _sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == _sorted((d, len(utf(t)) + 1, zlib.crc32(utf(t))) for d, t, *_ in odd[2])
+    for s in range(8):
+        mine = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert mine == list(range(len(mine)))
+    together = {}
+    for r in got:
+        assert together.setdefault((r["size"], r["text_crc32"]), r["shard"]) == r["shard"]
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_registered_op10(spark, odd):
+    got = _registered(spark, odd[0], "op10_toxicity")
+    assert len(got) == len(odd[2])
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    same = [r["score"] for r in got if r["doc_id"] == 504]
+    assert len(same) == 4 and len(set(same)) == 1
+
+
+def test_pipeline_of_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd[0]}/documents.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, odd[0])
+    assert _sorted((r["doc_id"], r["text"]) for r in kept.collect()) == _sorted((d, t) for d, t, *_ in odd[2] if not _quality(t)[-1])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, odd[0])
+        assert made.columns == docs.columns
+        docs = spark.createDataFrame(made.collect(), docs.schema)
+    assert docs.count() > 0
+    out = corpus_pipeline.run(spark, odd[0])
+    assert out.count() == docs.count() and corpus_pipeline.run(spark, odd[1]).count() == 0
