@@ -41,8 +41,8 @@ WINDOW, HALF, QUARTER = 13, 8, 4
 #: Questions that each level is expected to ask for each byte of text, in bytes; they only set the number of buckets.
 _ASKED = {"anchors": 0.13, "halves": 0.08, "windows": 0.8}
 _DIGEST = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("least", "<i8")])
-_SENT = "bucket long, part long, asked binary"
-_ANSWERED = "part long, bucket long, bits binary"
+_SENT = "bucket int, part long, asked binary"
+_ANSWERED = "part long, bucket int, bits binary"
 
 
 def _paired(h: np.ndarray, by: int) -> np.ndarray:
@@ -123,14 +123,14 @@ def _dealt(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(part: int, asked: np.ndarray, own: np.ndarray, buckets: int, memo: np.ndarray | None = None) -> pa.Table:
-    """What a chunk sends: a row for each bucket, and what it will know again (bits) under a bucket of its own below 0."""
+    """What a chunk sends: a row for each bucket, and what it will know again (bits) under a bucket below 0."""
     order, ends = _dealt(own, buckets)
     held = np.flatnonzero(np.diff(ends))
     payload = [asked[order[ends[b] : ends[b + 1]]].tobytes() for b in held]
     where = held.tolist()
     if memo is not None:
-        where, payload = [*where, -1 - part], [*payload, np.packbits(memo).tobytes()]
-    return pa.table({"bucket": pa.array(where, pa.int64()), "part": pa.array([part] * len(where), pa.int64()), "asked": pa.array(payload, pa.binary())})
+        where, payload = [*where, -1 - ((part >> 24) * 7919 + part % (1 << 24)) % (1 << 30)], [*payload, np.packbits(memo).tobytes()]
+    return pa.table({"bucket": pa.array(where, pa.int32()), "part": pa.array([part] * len(where), pa.int64()), "asked": pa.array(payload, pa.binary())})
 
 
 def _answers(answered: pa.Table, own: np.ndarray, buckets: int) -> np.ndarray:
@@ -245,14 +245,14 @@ def _smaller(rows: pa.Table) -> pa.Table:
 def _bucket(rows: pa.Table, kind: np.dtype, answer) -> pa.Table:
     bucket, part, asked = (rows.column(x) for x in ("bucket", "part", "asked"))
     asked = asked.to_pylist()
-    if bucket[0].as_py() < 0:  # a chunk's memo goes back as it is
+    if bucket[0].as_py() < 0:  # chunks' memos go back as they are
         bits = asked
     else:
         parts = [np.frombuffer(x, kind) for x in asked]
         size = [len(x) for x in parts]
         out = answer(np.concatenate(parts), np.repeat(part.to_numpy(), size))
         bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
-    return pa.table({"part": part.cast(pa.int64()), "bucket": bucket.cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"part": part.cast(pa.int64()), "bucket": bucket.cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def removed_words(n_words: int, windows: np.ndarray) -> np.ndarray:
@@ -332,8 +332,11 @@ def _without_repeats(docs: DataFrame, digest: bool) -> DataFrame:
     chunks = _Chunks(docs, total)
     texts = chunks.read().groupBy("part")
 
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def answered(sent: DataFrame, by) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(by, _ANSWERED)
+        # Buckets in turn instead of by a hash, which would put twice the mean into some task.
+        return sent.repartitionById(partitions, F.col("bucket")).groupBy("bucket").applyInArrow(by, _ANSWERED)
 
     first = answered(texts.applyInArrow(_level_4(buckets), _SENT), _repeated)
     second = answered(texts.cogroup(first.groupBy("part")).applyInArrow(_level_8(buckets), _SENT), _repeated)
