@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialise, table
+from tessera.llm.common import Written, fresh, materialise, table
 
 RADIUS = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -209,10 +209,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is a large-star and a small-star step (Kiveris et al., 2014): a node points its larger
     neighbours, then itself and its smaller ones, at the least of them. Hubs are only aggregated to a
-    minimum and joined, which Spark may split.
+    minimum and joined, which Spark may split. Each round's edges are written and those of the round before dropped.
     """
-    current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    signature = None
+    held = Written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current, signature = held.read(), None
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -225,7 +225,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = materialise(small)
+        after = Written(small)
+        held.drop()
+        held, current = after, after.read()
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if now == signature:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
