@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup and quality rules.
+"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup, quality rules and sharding.
 
 Both spell out the contract and share nothing with the operators but the fixed values of the rules.
 """
@@ -6,6 +6,7 @@ Both spell out the contract and share nothing with the operators but the fixed v
 from __future__ import annotations
 
 from tessera.llm.quality import ALPHA, DELTA, PATHS, PRICE, RULES
+from tessera.llm.sharding import BUNDLES, SLOT_ROWS
 from tessera.llm.substrings import WINDOW
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -68,3 +69,28 @@ chosen AS (SELECT lang, arg_max(path, {{'gain': gain, 'path': -path, 'step': -st
 rejected AS (SELECT DISTINCT s.doc_id FROM shares s JOIN chosen c ON s.lang IS NOT DISTINCT FROM c.lang JOIN steps x ON x.doc_id = s.doc_id AND x.path = c.path WHERE x.step <= c.last)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM shares"""
+
+
+#: The table of CRC-32, by its rule: eight steps of its polynomial from each byte.
+_CRC = ", ".join(
+    f"crc{k + 1} AS (SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM crc{k})" for k in range(8)
+)
+
+#: Groups by size to the least-loaded of eight shards (ties: lower shard), one after the other; slots by doc_id within parts.
+SHARDING = f"""
+WITH RECURSIVE crc0 AS (SELECT i::BIGINT AS i, i::BIGINT AS c FROM range(256) t(i)), {_CRC}, crc AS (SELECT list(c ORDER BY i) AS places FROM crc8),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(md5(text), '-') AS same, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+bytes AS (SELECT DISTINCT same, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM docs),
+sums AS (SELECT same, CASE WHEN len(b) = 0 THEN 0 ELSE xor(list_reduce(b, lambda c, x: xor(c >> 8, places[xor(c, x) % 256 + 1]), 4294967295::BIGINT), 4294967295) END AS sum FROM bytes, crc),
+groups AS (SELECT same, sum(size) AS size FROM docs GROUP BY same),
+item_of AS (SELECT same, size, CASE WHEN size > (SELECT sum(size) FROM docs) / {BUNDLES}::DOUBLE THEN same
+    ELSE 'bundle ' || (CASE same WHEN '-' THEN 0 ELSE ('0x' || same[1:8])::BIGINT END % {BUNDLES}) END AS item FROM groups),
+items AS (SELECT item, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY sum(size) DESC, item) AS n FROM item_of GROUP BY item),
+placed AS (SELECT 0::BIGINT AS n, '' AS item, 0::BIGINT AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads
+    UNION ALL SELECT i.n, i.item, list_position(loads, list_min(loads)) - 1,
+        list_transform(loads, lambda x, k: x + CASE WHEN k = list_position(loads, list_min(loads)) THEN i.size ELSE 0 END) FROM placed p JOIN items i ON i.n = p.n + 1),
+rows AS (SELECT d.doc_id, d.size, d.same, p.shard, ('0x' || md5(concat_ws(':', d.doc_id, d.same))[1:8])::BIGINT
+    % greatest(1, ceil((SELECT count(*) FROM (SELECT DISTINCT doc_id, same FROM docs)) / {SLOT_ROWS} / 8))::BIGINT AS part
+    FROM docs d JOIN item_of USING (same) JOIN placed p USING (item))
+SELECT doc_id, size::BIGINT AS size, sum::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, same) - 1 AS slot, NULL::INT AS grown_shard FROM rows JOIN sums USING (same)"""

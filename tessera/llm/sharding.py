@@ -10,12 +10,16 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, numbers_below, table
 
 
+#: Hashed bundles of small groups; rows of a shard that are numbered in one task.
+BUNDLES, SLOT_ROWS = 16384, 4096
+
+
 def schedule(items: list[tuple[str, int]], n_shards: int) -> list[tuple[str, int]]:
     """(item, shard): items from the largest on, each to the shard with the least load (ties: lower shard, lesser key)."""
     loads = [(0, shard) for shard in range(n_shards)]
@@ -27,7 +31,12 @@ def schedule(items: list[tuple[str, int]], n_shards: int) -> list[tuple[str, int
     return placed
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, slot_rows: int = 4096) -> DataFrame:
+def _number(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest; 0 for "-"."""
+    return F.coalesce(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(0))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = BUNDLES, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs`` (doc_id, text).
 
     Sizes are UTF-8 bytes plus one. A null text has size 1 and crc32 0, and all null texts are one
@@ -46,7 +55,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, sl
         .agg(F.count("*").alias("n"))
     )
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("same_text"), F.lit(bundles)))
+    bundle = F.concat(F.lit("bundle "), _number(F.col("same_text")) % bundles)
     items = (
         slim.groupBy("same_text")
         .agg(F.sum(F.col("size") * F.col("n")).alias("size"))
@@ -66,7 +75,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 16384, sl
         .select(
             *slim.columns,
             F.coalesce("shard_alone", "shard_bundled").alias("shard"),
-            F.pmod(F.xxhash64("doc_id", "same_text"), F.lit(parts)).alias("part"),
+            (_number(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "same_text"))) % parts).alias("part"),
         )
     )
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
