@@ -1,10 +1,12 @@
-"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup, quality rules and sharding.
+"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup, quality rules, license scans and sharding.
 
 Both spell out the contract and share nothing with the operators but the fixed values of the rules.
 """
 
 from __future__ import annotations
 
+from tessera.llm.license_texts import TEMPLATES
+from tessera.llm.licenses import CONTAINMENT, SHINGLE, TOKEN
 from tessera.llm.quality import ALPHA, DELTA, PATHS, PRICE, RULES
 from tessera.llm.sharding import BUNDLES, SLOT_ROWS
 from tessera.llm.substrings import WINDOW
@@ -94,3 +96,21 @@ rows AS (SELECT d.doc_id, d.size, d.same, p.shard, ('0x' || md5(concat_ws(':', d
     FROM docs d JOIN item_of USING (same) JOIN placed p USING (item))
 SELECT doc_id, size::BIGINT AS size, sum::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
     row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, same) - 1 AS slot, NULL::INT AS grown_shard FROM rows JOIN sums USING (same)"""
+
+_LICENSES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+_REACH = f"(ceil(n / 4.0) + {SHINGLE})::BIGINT"
+
+#: Every place where a text and a template share a shingle; the template's shingles are then counted around it.
+LICENSES = f"""
+WITH docs AS (SELECT DISTINCT doc_id, md5(text) AS k, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM documents),
+shingles AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, k, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS i FROM docs)),
+templates AS (SELECT template, license, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM (VALUES {_LICENSES}) t(template, license, text)),
+cut AS (SELECT template, license, o, array_to_string(w[o + 1 : o + {SHINGLE}], ' ') AS s FROM (SELECT template, license, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS o FROM templates)),
+whole AS (SELECT template, license, count(*) AS n, list(DISTINCT s) AS held FROM cut GROUP BY 1, 2),
+places AS (SELECT DISTINCT doc_id, k, template, i - o AS start FROM shingles JOIN cut USING (s)),
+found AS (SELECT doc_id, k, template, license, start, n, held, list(DISTINCT s) AS seen, min(i) AS first_word FROM places JOIN whole USING (template) JOIN shingles USING (doc_id, k)
+    WHERE i >= start - {_REACH} AND i < start + n + {_REACH} AND list_contains(held, s) GROUP BY ALL),
+readings AS (SELECT *, round(len(seen)::DOUBLE / len(held), 4) AS containment FROM found WHERE round(len(seen)::DOUBLE / len(held), 4) >= {CONTAINMENT}),
+sound AS (SELECT * FROM readings a WHERE NOT EXISTS (SELECT 1 FROM readings b WHERE a.doc_id = b.doc_id AND a.k = b.k AND b.containment > a.containment
+    AND a.start < b.start + b.n AND b.start < a.start + a.n AND list_has_all(b.held, a.seen)))
+SELECT doc_id, license, max(containment) AS containment, arg_max(first_word, {{'c': containment, 'w': -first_word}})::BIGINT AS first_word FROM sound GROUP BY doc_id, k, license"""
