@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup, quality rules, license scans and sharding.
+"""DuckDB SQL for the queries whose rows SQL can express whole: substring dedup, quality rules, SimHash, license scans and sharding.
 
 Both spell out the contract and share nothing with the operators but the fixed values of the rules.
 """
@@ -10,6 +10,7 @@ from tessera.llm.licenses import CONTAINMENT, SHINGLE, TOKEN
 from tessera.llm.quality import ALPHA, DELTA, PATHS, PRICE, RULES
 from tessera.llm.sharding import BUNDLES, SLOT_ROWS
 from tessera.llm.substrings import WINDOW
+from tessera.llm.xxh_sql import xxh64
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -114,3 +115,20 @@ readings AS (SELECT *, round(len(seen)::DOUBLE / len(held), 4) AS containment FR
 sound AS (SELECT * FROM readings a WHERE NOT EXISTS (SELECT 1 FROM readings b WHERE a.doc_id = b.doc_id AND a.k = b.k AND b.containment > a.containment
     AND a.start < b.start + b.n AND b.start < a.start + a.n AND list_has_all(b.held, a.seen)))
 SELECT doc_id, license, max(containment) AS containment, arg_max(first_word, {{'c': containment, 'w': -first_word}})::BIGINT AS first_word FROM sound GROUP BY doc_id, k, license"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BITS = " | ".join(f"(CASE WHEN 2 * sum(((h >> {k}) & 1)::BIGINT) > count(*) THEN {2**k}::UBIGINT ELSE 0::UBIGINT END)" for k in range(64))
+
+#: Fingerprints from the shingles' hashes; all pairs of distinct fingerprints are compared, and links followed until nothing new is reached.
+SIMHASH = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, md5(coalesce(text, '')) AS k, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+texts AS (SELECT DISTINCT k, w FROM docs),
+shingles AS (SELECT k, array_to_string(w[i + 1 : i + 3], ' ') AS s FROM (SELECT k, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 2) END)) AS i FROM texts)),
+hashes AS (SELECT s, {xxh64("regexp_extract_all(hex(encode(s)), '..')")}::UBIGINT AS h FROM (SELECT DISTINCT s FROM shingles)),
+prints AS (SELECT k, {_BITS} AS fp FROM shingles JOIN hashes USING (s) GROUP BY k),
+of_doc AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM docs LEFT JOIN prints USING (k)),
+nodes AS (SELECT fp, min(doc_id) AS least FROM of_doc GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::BITSTRING) <= 3),
+reach AS (SELECT fp AS a, fp AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS fp, min(nodes.least) AS component_id FROM reach JOIN nodes ON nodes.fp = reach.b GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM of_doc JOIN least USING (fp)"""

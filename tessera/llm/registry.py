@@ -6,7 +6,7 @@ from tessera.llm.ann import op1_ann
 from tessera.llm.bpe import op5_bpe
 from tessera.llm.licenses import op7_licenses
 from tessera.llm.mixing import op3_mixing
-from tessera.llm.oracles import LICENSES, QUALITY, SHARDING, SUBSTRINGS
+from tessera.llm.oracles import LICENSES, QUALITY, SHARDING, SIMHASH, SUBSTRINGS
 from tessera.llm.pii import op8_pii
 from tessera.llm.quality import op4_quality
 from tessera.llm.sharding import op9_sharding
@@ -18,4 +18,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ann, op2_substrings, op3_mixing, op4_quality, op5_bpe, op6_simhash, op7_licenses, op8_pii, op9_sharding, op10_toxicity)
 }
-SQL: dict[str, str] = {"op2_substrings": SUBSTRINGS, "op4_quality": QUALITY, "op7_licenses": LICENSES, "op9_sharding": SHARDING}
+SQL: dict[str, str] = {"op2_substrings": SUBSTRINGS, "op4_quality": QUALITY, "op6_simhash": SIMHASH, "op7_licenses": LICENSES, "op9_sharding": SHARDING}

@@ -673,7 +673,7 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert max(len(r["text"]) for r in got) <= 300
 
 
-@pytest.mark.parametrize("name", ["op2_substrings", "op4_quality", "op7_licenses", "op9_sharding"])
+@pytest.mark.parametrize("name", ["op2_substrings", "op4_quality", "op6_simhash", "op7_licenses", "op9_sharding"])
 def test_rows_of_sql(spark, name):
     """The SQL spells out the contract apart from the operators; 200 whole documents."""
     import duckdb
