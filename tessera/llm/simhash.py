@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -279,80 +278,77 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def verified_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (places in ``sets``) that connect whatever is connected by pairs that share a key and are so similar."""
-    parent = list(range(len(sets)))
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity
 
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    def alike(x: int, y: int) -> bool:
-        a, b = len(sets[x]), len(sets[y])
-        return min(a, b) >= similarity * max(a, b) and jaccard(sets[x], sets[y]) >= similarity
 
-    buckets: dict[int, list[int]] = {}
-    for x, hashes in enumerate(sets):
-        for key in minhash_keys(hashes).tolist():
-            buckets.setdefault(key, []).append(x)
+def joining_edges(sets: list[np.ndarray], clusters: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Edges (places in ``sets``) that connect whatever clusters are connected by so similar pairs; of clusters that are connected already, one likeness joins them all."""
+    parts: dict[int, list[int]] = {}
+    for x, cluster in enumerate(clusters):
+        parts.setdefault(cluster, []).append(x)
     edges: list[tuple[int, int]] = []
-    for bucket in buckets.values():
-        # Of a bucket's members that are connected already, one likeness joins them all.
-        parts: dict[int, list[int]] = {}
-        for x in bucket:
-            parts.setdefault(top(x), []).append(x)
-        done: list[list[int]] = []
-        for part in parts.values():
-            apart = []
-            for other in done:
-                found = next(((x, y) for x in part for y in other if alike(x, y)), None)
-                if found is None:
-                    apart.append(other)
-                else:
-                    edges.append(found)
-                    parent[top(found[0])] = top(found[1])
-                    part = other + part
-            done = [*apart, part]
+    done: list[list[int]] = []
+    for part in parts.values():
+        apart = []
+        for other in done:
+            found = next(((x, y) for x in part for y in other if alike(sets[x], sets[y], similarity)), None)
+            if found is None:
+                apart.append(other)
+            else:
+                edges.append(found)
+                part = other + part
+        done = [*apart, part]
     return edges
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b): edges between the fingerprints of texts whose sets of shingles are so similar; ``rows`` are the sketches of ``docs``.
 
-    Pairs that agree in a band are candidates; the candidates' components are met in one task each,
-    where links are verified on the whole sets. Equal sets are held once and need no verification.
+    Sets that agree in a band are candidates of one bucket. Every member is compared with its bucket's least one, pair by
+    pair, which settles buckets whose members are all like it, however many they are. Only buckets that are then still in
+    several clusters meet in a task each, where members of different clusters are compared. Likeness is computed on the
+    whole sets. Equal sets are held once and need no comparison.
     """
     sets = materialise(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
     equal = rows.select("same", F.col("fp").alias("a")).join(sets.select("same", F.col("fp").alias("b")), "same").select("a", "b").where("a <> b").distinct()
-    banded = sets.select(F.col("same").alias("a"), F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    near = components(banded.join(hubs, "key").select("a", "b"))
-    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-    needed = sets.select("same", "doc_id", "fp").join(members.withColumnRenamed("node", "same"), "same")
-    texts = docs.selectExpr("bigint(doc_id) doc_id", "text").join(needed, "doc_id").select("root", "same", "fp", "text")
+    banded = sets.select("same", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("same").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = Written(banded.join(hubs, "key")).read()
+    needed = sets.select("same", "doc_id", "fp").join(buckets.select("same").distinct(), "same")
+    texts = docs.selectExpr("bigint(doc_id) doc_id", "text").join(needed, "doc_id").select("same", "fp", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                held = [np.unique(shingle_hashes(x or "", SHINGLE)) for x in part.column(3).to_pylist()]
+                held = [np.unique(shingle_hashes(x or "", SHINGLE)) for x in part.column(2).to_pylist()]
                 # Other rows under the same doc_id may have another text.
-                keep = [k for k, (h, x) in enumerate(zip(held, part.column(1).to_pylist())) if len(h) and _same(h) == x]
+                keep = [k for k, (h, x) in enumerate(zip(held, part.column(0).to_pylist())) if len(h) and _same(h) == x]
                 cut = part.take(pa.array(keep, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [cut.column(0), cut.column(1), cut.column(2), pa.array([held[k].tobytes() for k in keep], pa.binary())], ["root", "same", "fp", "hashes"]
-                )
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([held[k].tobytes() for k in keep], pa.binary())], ["same", "fp", "hashes"])
 
-    def verify(group):
-        group = group.drop_duplicates("same").sort_values("same")
-        edges = verified_edges([np.frombuffer(x, np.uint64) for x in group["hashes"]], similarity)
-        fp = group["fp"].to_numpy(np.int64)
-        pairs = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+    def compared(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (4, 5))
+            keep = pa.array([alike(x, y, similarity) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], ["same", "hub", "a", "b"])
 
-    held = texts.mapInArrow(shingled, "root long, same long, fp long, hashes binary")
-    return held.groupBy("root").applyInPandas(verify, "a long, b long").unionByName(equal)
+    def joined(group: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        fp, edges = group.column("fp").to_numpy(), joining_edges(hashes, group.column("cluster").to_pylist(), similarity)
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+
+    held = Written(texts.mapInArrow(shingled, "same long, fp long, hashes binary").dropDuplicates(["same"])).read()
+    of_hub = held.select(F.col("same").alias("hub"), F.col("fp").alias("hub_fp"), F.col("hashes").alias("hub_hashes"))
+    pairs = buckets.where("same <> hub").select("same", "hub").distinct().join(held, "same").join(of_hub, "hub")
+    near = Written(pairs.select("same", "hub", "fp", "hub_fp", "hashes", "hub_hashes").mapInArrow(compared, "same long, hub long, a long, b long")).read()
+    clusters = components(near.select(F.col("same").alias("a"), F.col("hub").alias("b")))
+    inside = buckets.where("n > 2").join(clusters.withColumnRenamed("node", "same"), "same", "left").withColumn("cluster", F.coalesce("root", "same"))
+    apart = inside.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("key")
+    rest = inside.join(apart, "key").select("key", "same", "cluster").join(held, "same").groupBy("key").applyInArrow(joined, "a long, b long")
+    return near.select("a", "b").unionByName(rest).unionByName(equal)
 
 
 def _members(docs: DataFrame, similarity: float | None) -> DataFrame:

@@ -404,6 +404,26 @@ def test_near_copies_of_the_pipeline_against_brute_force(spark, none):
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_near_copies_that_are_unlike_the_least_of_their_bucket(spark):
+    """Chains of edits: neighbours are alike, far ones are not, and copies of a middle link make its buckets large."""
+    rng, texts = random.Random(31), {}
+    for k in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for n in range(25):
+            texts[100 * k + n] = " ".join(words)
+            for at in rng.sample(range(200), 3):
+                words[at] = f"x{rng.randrange(10**6)}"
+    df = spark.createDataFrame([*texts.items(), *[(10_000 + k, texts[312]) for k in range(50)]], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(df, 0.8).collect()}
+    assert kept == _first_of_groups(texts)
+
+
+def test_joining_edges():
+    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 1, 2, 3, 50, 51, 200)]
+    edges = simhash.joining_edges(sets, [0, 0, 1, 2, 3, 4, 5], 0.8)
+    assert sorted(tuple(sorted(x)) for x in edges) in ([(0, 2), (2, 3), (4, 5)], [(1, 2), (1, 3), (4, 5)], [(0, 2), (1, 3), (4, 5)], [(1, 2), (2, 3), (4, 5)])
+
+
 def test_texts_under_one_id_go_their_own_ways(spark):
     rng = random.Random(9)
     say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
