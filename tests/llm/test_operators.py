@@ -233,6 +233,21 @@ def test_mixing(docs, rows, none):
     assert sum(drawn.values()) == sum(len(r["placements"]) for r in mixing.mix(docs).collect())
 
 
+def test_one_row_repeated_by_the_thousand(spark):
+    """A third of all rows equal, without an id: each counts and is placed, and none of them is shuffled by itself."""
+    same = spark.range(25_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    others = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "s").alias("source"), F.lit("en").alias("lang"))
+    df = same.unionByName(others)
+    mixed = mixing.mix(df).select("doc_id", "source", F.size("placements").alias("n"), "size", "target")
+    by_source = mixed.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert {r["source"]: r["rows"] for r in by_source} == {"s": 50_000, None: 25_000}
+    assert all(abs(r["taken"] - r["target"]) <= 4 for r in by_source)
+    assert mixing.mixed_documents(df).count() == mixed.agg(F.sum("n")).first()[0]
+    placed = sharding.shard_documents(df).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert sum(r["n"] for r in placed) == 75_000 and all(r["n"] == r["slots"] == r["last"] + 1 for r in placed)
+    assert sharding.shard_documents(same).select("shard").distinct().count() == 1
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), ("c", 0), ("d", 1)], "skey string, quota long")
     got = mixing.split_quotas(quotas, 8, 1).collect()
