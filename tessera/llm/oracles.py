@@ -8,6 +8,7 @@ from __future__ import annotations
 from tessera.llm.license_texts import TEMPLATES
 from tessera.llm.licenses import CONTAINMENT, SHINGLE, TOKEN
 from tessera.llm.quality import ALPHA, DELTA, PATHS, PRICE, RULES
+from tessera.llm.secret_scan import AROUND, BASE, BEFORE, CLASSES, INSIDE, LEAST_ACCESS, LEAST_ASSIGNED, STEPS, UUID, WORDS
 from tessera.llm.sharding import BUNDLES, SLOT_ROWS
 from tessera.llm.substrings import WINDOW
 from tessera.llm.xxh_sql import xxh64
@@ -132,3 +133,75 @@ links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON a.fp <> b.fp
 reach AS (SELECT fp AS a, fp AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
 least AS (SELECT a AS fp, min(nodes.least) AS component_id FROM reach JOIN nodes ON nodes.fp = reach.b GROUP BY a)
 SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM of_doc JOIN least USING (fp)"""
+
+
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in pattern)
+
+
+_ASSIGNED = _either_case("(?:password|passwd|secret|token|api_?key)").replace("'", "''") + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_CLASSES = ", ".join(f"({len(BASE) + k}, '{c.name}', {c.window}, {c.bits}::DOUBLE)" for k, c in enumerate(CLASSES))
+_CASES = {c.name: f"[{c.characters.replace('-', '')}-]{{{c.window},}}" if "-" in c.characters else f"[{c.characters}]{{{c.window},}}" for c in CLASSES}
+
+
+def _matches(kind: int, name: str, pattern: str, keep: str) -> str:
+    """Each match of a pattern and its place, from what lies between the matches."""
+    return f"""SELECT doc_id, n, {kind} AS kind, '{name}' AS name, list_sum(list_transform(b[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0) AS start, m[k] AS said
+  FROM (SELECT doc_id, n, m, b, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, n, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS b FROM docs)) WHERE {keep}"""
+
+
+_PLAIN_WORDS = WORDS.replace("}+", "}").replace("++", "+").replace("*+", "*")
+#: Matches by what lies between them; each window's entropy from the counts of its characters; joined windows that the allow-list does not know.
+SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({_matches(0, "assign", _ASSIGNED, f"length(regexp_extract(m[k], '{_ASSIGNED}', 1)) >= {LEAST_ASSIGNED}")}
+  UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+", f"length(m[k]) >= {LEAST_ACCESS}")} UNION ALL {_matches(2, "hex", "[0-9a-f]+", "length(m[k]) >= 16")}),
+classes(kind, name, width, bits) AS (VALUES {_CLASSES}),
+runs AS ({" UNION ALL ".join(_matches(len(BASE) + k, c.name, _CASES[c.name], "true") for k, c in enumerate(CLASSES))}),
+windows AS (SELECT r.*, width, bits, unnest(range(0, length(said) - width + 1)) AS i FROM runs r JOIN classes USING (kind)),
+counted AS (SELECT *, list_sum(list_transform(map_values(list_aggregate(string_split(said[i + 1 : i + width], ''), 'histogram')), lambda c: round(c * log2(c) * 1048576))) AS total FROM windows),
+dense AS (SELECT *, i - lag(i) OVER w > width AS gap FROM counted WHERE total <= floor(width * (log2(width) - bits) * 1048576) WINDOW w AS (PARTITION BY n, kind, start ORDER BY i)),
+islands AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY n, kind, start ORDER BY i) AS island FROM dense),
+joined AS (SELECT doc_id, n, kind, name, start + min(i) AS start, start + max(i) + any_value(width) AS stop FROM islands GROUP BY doc_id, n, kind, name, start, island),
+read AS (SELECT j.*, d.text[j.start + 1 : j.stop] AS said, d.text[greatest(0, j.start - {AROUND}) + 1 : j.start] AS around FROM joined j JOIN docs d USING (n)),
+unknown AS (SELECT * FROM read WHERE list_sum(list_transform(range(1, length(said)), lambda k: (ord(said[k + 1 : k + 1]) - ord(said[k : k]) = 1)::INT)) < {STEPS}::DOUBLE * (length(said) - 1)
+  AND NOT regexp_full_match(said, '{_PLAIN_WORDS}') AND NOT regexp_full_match(said, '{UUID}') AND NOT regexp_matches(said, '{INSIDE[0]}') AND NOT regexp_matches(around, '{BEFORE[0].replace("'", "''")}')),
+added AS (SELECT doc_id, n, kind, name, start, stop FROM unknown u WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.n = u.n AND b.start <= u.start AND u.stop <= b.start + length(b.said))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY stop - start DESC, kind) AS k FROM added),
+alone AS (SELECT * FROM ordered a WHERE NOT EXISTS (SELECT 1 FROM ordered b WHERE a.n = b.n AND b.k <> a.k AND b.start <= a.start AND a.stop <= b.stop AND (b.start < a.start OR b.kind < a.kind))),
+spans AS (SELECT n, kind, name, start, start + length(said) AS stop, true AS is_base FROM base UNION ALL SELECT n, kind, name, start, stop, false FROM alone),
+said AS (SELECT n, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
+  string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) FILTER (is_base) AS base, string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN said USING (n)"""
+
+
+_CONVERSATION_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, places[xor(c, x) % 256 + 1])), 4294967295)"
+
+#: Nodes are the distinct lists of first turns themselves; every node is counted at each of its ancestors.
+TRIE = f"""
+WITH RECURSIVE crc0 AS (SELECT i::BIGINT AS i, i::BIGINT AS c FROM range(256) t(i)), {_CRC}, crc AS (SELECT list(c ORDER BY i) AS places FROM crc8),
+convs AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, turns, ({_CONVERSATION_CRC}) % 9 AS h FROM convs, crc),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1 : c.h], c.turns[c.h + 1 :]) AS turns FROM heads c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, d, turns[1 : d] AS said, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, said, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(any_value(said[d].text)), 0) AS saved,
+  string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids FROM prefixes GROUP BY d, said),
+children AS (SELECT d - 1 AS d, said[1 : d - 1] AS said, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+marked AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.said = n.said),
+above AS (SELECT e, said[1 : e] AS said, saved, n_children = 0 AS leaf FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM marked)),
+sums AS (SELECT e, said, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM above GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM marked n JOIN sums s ON s.e = n.d AND s.said = n.said LEFT JOIN nodes p ON p.d = n.d - 1 AND p.said = n.said[1 : n.d - 1]"""
+
+#: All anchors against all rows.
+NEGATIVES = """
+WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM
+  (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scores WHERE same) WHERE n <= 5),
+ranked AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""

@@ -810,9 +810,11 @@ def odd(spark, rows, tmp_path_factory):
     vectors = [(k, np.random.default_rng(k).standard_normal(8).astype(np.float32).tolist(), 1, "x") for k in range(200)]
     vectors += [(200, None, None, None), (220, [0.0] * 8, 1, "x"), (None, [1.0] * 8, 1, "x"), (40, vectors[40][1], 1, "x"), (240, [float("inf")] * 8, 1, "x"), (260, [], 1, "x")]
     labels = [(k, k % 2, int(k % 5 == 0)) for k in range(40)] + [(3, None, None), (None, 1, 1), (4, 0, 0), (500, 1, 0), (504, 1, 1)]
+    vectors = [(*x, k % 4) for k, x in enumerate(vectors)]
     tables = {
         "documents": docs.repartition(3),
-        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>, block int, rank string"),
+        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>, block int, rank string, label int"),
+        "conversations": spark.createDataFrame([(1, 0, "user", "hello")], "conv_id long, turn long, role string, text string"),
         "labels": spark.createDataFrame([(*x, "k") for x in labels], "doc_id long, quality int, toxic int, text string"),
     }
     full, bare = (str(tmp_path_factory.mktemp(x)) for x in ("odd", "bare"))
