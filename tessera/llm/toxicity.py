@@ -34,6 +34,9 @@ SHRINK = 10
 THRESHOLD = 0.3
 #: Texts of so many bytes are scored at once.
 BLOCK_BYTES = 1 << 20
+#: Words and windows go through matrix products so many at a time, the last ones filled up: a product rounds by its shape, and
+#: a text's score must not hang on the texts beside it.
+ROWS = 2048
 
 _ASCII = np.arange(128)
 _LETTER = ((_ASCII | 32) >= 97) & ((_ASCII | 32) <= 122)
@@ -120,14 +123,21 @@ def _inputs(m: Model, hashes: np.ndarray, grams: np.ndarray, first: np.ndarray)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.clip(x, -80, 80)))
+
+
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, by ROWS rows at a time."""
+    out = np.zeros((-(-len(x) // ROWS) * ROWS, x.shape[1]), x.dtype)
+    out[: len(x)] = x
+    return (out.reshape(-1, ROWS, x.shape[1]) @ w).reshape(-1, w.shape[1])[: len(x)]
 
 
 def _gates(m: Model, x: np.ndarray, side: str) -> np.ndarray:
     """What the words give to the gates (keep, reset, new); a last row for padding keeps the state."""
     pad = np.zeros((1, 3 * HIDDEN), np.float32)
     pad[0, :HIDDEN] = 30
-    return np.concatenate([x @ m.p["w" + side] + m.p["b" + side], pad]).astype(np.float32)
+    return np.concatenate([_product(x, m.p["w" + side]) + m.p["b" + side], pad]).astype(np.float32)
 
 
 def _run(gates: np.ndarray, u: np.ndarray, index: np.ndarray, backwards: bool, saved: list | None = None) -> np.ndarray:
@@ -156,15 +166,17 @@ def _pooled(m: Model, states: np.ndarray, real: np.ndarray) -> tuple[np.ndarray,
     return a, pooled, pooled @ m.p["out"] + m.p["bias"][0]
 
 
-def logits(m: Model, block: Block, rows: int = 8192) -> np.ndarray:
+def logits(m: Model, block: Block) -> np.ndarray:
     """The logit of each window."""
     _, x = _inputs(m, block.hashes, block.grams, block.first[:-1])
     gates = [_gates(m, x, side) for side in "fb"]
     out = np.empty(len(block.windows), np.float32)
-    for at in range(0, len(out), rows):
-        index = block.windows[at : at + rows]
+    for at in range(0, len(out), ROWS):
+        index = np.full((ROWS, WINDOW), len(block.hashes), block.windows.dtype)
+        part = block.windows[at : at + ROWS]
+        index[: len(part)] = part
         states = np.concatenate([_run(g, m.p["u" + side], index, side == "b") for g, side in zip(gates, "fb")], 2)
-        out[at : at + rows] = _pooled(m, states, (index < len(block.hashes)).T)[2]
+        out[at : at + ROWS] = _pooled(m, states, (index < len(block.hashes)).T)[2][: len(part)]
     return out
 
 
