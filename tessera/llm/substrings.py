@@ -297,8 +297,10 @@ class _Chunks:
     def __init__(self, docs: DataFrame, total: int):
         self.spark = docs.sparkSession
         self.name = f"substrings_{uuid.uuid4().hex}"
-        # With fewer buckets than shuffle partitions the planner would shuffle the texts after all.
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES))
+        # With fewer buckets than shuffle partitions the planner would shuffle the texts after all. Beyond the most that a table may
+        # have, several chunks share a bucket; chunks are told apart by part.
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        n = min(most, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK_BYTES)))
         size = CHUNK_BYTES
 
         def numbered(batches):
