@@ -21,6 +21,7 @@ every collision would be shuffled (about 0.3 x lines x queries x vectors rows).
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +30,29 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-LINES = 192
+#: So many lines at least, and so many whole sets of them: a set has as many lines as the space has dimensions, and fewer would not see all of it.
+LINES, SETS = 192, 2
 THRESHOLD = 0.85
 GROWTH = 1.02
 #: Windows stop growing when so many times the neighbours asked for, and this share of the block besides, are candidates.
 CANDIDATES = 4
 FALSE_POSITIVES = 0.03
-#: Vectors and queries of a group.
+#: Vectors and queries of a group; wide vectors have so many places on all lines together at most.
 BLOCK_ROWS, QUERY_ROWS = 16384, 65536
+BLOCK_PLACES = 1 << 24
+#: Lines that are projected on at once.
+AT_ONCE = 256
 #: Within a range of norms the largest is at most so many times the least, so that the added coordinate does not hide the angles.
 NORM_RATIO = 1.1
 
 
-def orthogonal_lines(n: int, width: int, seed: int) -> np.ndarray:
-    """``n`` lines of length sqrt(width): random orthonormal bases, one after the other."""
+@lru_cache(maxsize=2)
+def orthogonal_lines(width: int, seed: int) -> np.ndarray:
+    """LINES and more lines of length sqrt(width): whole random orthonormal bases, one after the other, made once a worker."""
     rng, bases = np.random.default_rng(seed), []
-    for _ in range(-(-n // width)):
+    for _ in range(max(SETS, -(-LINES // width))):
         bases.append(np.linalg.qr(rng.standard_normal((width, width)))[0].T * math.sqrt(width))
-    return np.concatenate(bases)[:n]
+    return np.concatenate(bases)
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -60,21 +66,28 @@ class Index:
 
     def __init__(self, vectors: np.ndarray, largest: float, seed: int = 42):
         self.vectors, self.largest, self.n = vectors, largest, len(vectors)
-        self.lines = orthogonal_lines(LINES, vectors.shape[1] + 1, seed)
+        self.lines = orthogonal_lines(vectors.shape[1] + 1, seed)
+        self.n_lines = len(self.lines)
         extra = np.sqrt(np.maximum(0.0, largest**2 - (vectors**2).sum(1)))
-        projected = self.lines[:, :-1] @ vectors.T + self.lines[:, -1:] * extra
-        order = np.argsort(projected, axis=1)
-        held = np.take_along_axis(projected, order, 1)
-        self.order = order.astype(np.int32)
+        self.order = np.empty((self.n_lines, self.n), np.int32)
+        held = np.empty((self.n_lines, self.n))
+        sample = []
+        for at in range(0, self.n_lines, AT_ONCE):
+            some = slice(at, at + AT_ONCE)
+            projected = self.lines[some, :-1] @ vectors.T + self.lines[some, -1:] * extra
+            self.order[some] = np.argsort(projected, axis=1)
+            held[some] = np.take_along_axis(projected, self.order[some], 1)
+            sample.append(projected[:, :: max(1, self.n // 32)].copy())
         # Lines end to end, shifted apart, so that one search finds the windows on all of them.
         self.bound = float(np.abs(held).max()) + 0.25
-        self.shift = np.arange(LINES) * (4.0 * self.bound)
-        self.flat = (held + self.shift[:, None]).ravel()
-        self.sample = projected[:, :: max(1, self.n // 32)].copy()
+        self.shift = np.arange(self.n_lines) * (4.0 * self.bound)
+        held += self.shift[:, None]
+        self.flat = held.ravel()
+        self.sample = np.concatenate(sample)
 
     def _windows(self, projection: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """First and last place (exclusive) of each line's window."""
-        first = np.arange(LINES) * self.n
+        first = np.arange(self.n_lines) * self.n
         low = self.flat.searchsorted(np.clip(projection - width, -self.bound, self.bound) + self.shift) - first
         high = self.flat.searchsorted(np.clip(projection + width, -self.bound, self.bound) + self.shift, "right") - first
         return np.clip(low, 0, self.n), np.clip(high, 0, self.n)
@@ -87,12 +100,12 @@ class Index:
         if enough >= self.n:
             return np.arange(self.n)
         projection = self.lines[:, :-1] @ query
-        spared = LINES - math.ceil(THRESHOLD * LINES)
+        spared = self.n_lines - math.ceil(THRESHOLD * self.n_lines)
         # Start where a line's window holds a share that lets few vectors over the threshold.
-        share = THRESHOLD - 2.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / LINES)
+        share = THRESHOLD - 2.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / self.n_lines)
         width = max(float(np.quantile(np.abs(self.sample - projection[:, None]), share)), 1e-6 * self.bound)
         low, high = self._windows(projection, width)
-        # Windows cover most of a line, so what lies outside is counted: collisions are LINES less these.
+        # Windows cover most of a line, so what lies outside is counted: collisions are the lines less these.
         parts = [x for line, a, b in zip(self.order, low.tolist(), high.tolist()) for x in (line[:a], line[b:])]
         outside = np.bincount(np.concatenate(parts), minlength=self.n)
         while True:
@@ -118,11 +131,11 @@ def norm_ranges(norms: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query_id, vec_id, score of the ``k`` best found of each query, how many vectors were verified): ranges of like norms, each with its own largest norm.
 
     Ranges whose largest norm cannot reach a query's k-th score are passed over. No vector or query is zero; those whose
-    squares vanish beside the block's largest component count as zero for the search, not for the score.
+    squares vanish beside the block's largest component count as zero for the search, not for the score. ``exact`` verifies every vector.
     """
     x = scaled(vectors)
     q = np.array([scaled(y) for y in queries]).reshape(queries.shape)
@@ -137,7 +150,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         if not asked:
             continue
         enough = min(len(part), CANDIDATES * k + int(FALSE_POSITIVES * len(part)))
-        index = Index(x[part], largest) if enough < len(part) else None
+        index = Index(x[part], largest) if enough < len(part) and not exact else None
         for n in asked:
             found = part[index.candidates(q[n] * largest, enough)] if index else part
             verified += len(found)
@@ -190,13 +203,14 @@ def _side(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[once], out[once]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int | None = None, query_rows: int = QUERY_ROWS, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose id is divisible by ``every``.
 
     ``vectors`` has vec_id and embedding. Ids or vectors that are null, vectors that are zero, empty or hold a
     null or non-finite component take no part. Shorter vectors count as filled with zeros. Of rows repeated under one
     vec_id one counts (the least vector). Ties go to the smaller vec_id; an empty table gives an empty result. Other
-    columns are ignored. Vectors travel once for each ``query_rows`` queries, queries once for each ``block_rows`` vectors.
+    columns are ignored. Vectors travel once for each ``query_rows`` queries, queries once for each ``block_rows`` vectors
+    (BLOCK_ROWS, fewer of wide vectors). ``exact`` scores all pairs instead of those that collide.
     """
     v = F.col("embedding")
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & _takes_part(F.col("v")))
@@ -204,6 +218,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int =
     if not rows or not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = int(width)
+    lines = max(SETS, -(-LINES // (width + 1))) * (width + 1)
+    block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_PLACES // lines))
     blocks, query_blocks = math.ceil(rows / block_rows), math.ceil(asked / query_rows)
     place = F.xxhash64("vec_id")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -214,7 +230,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int =
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         (query_ids, query_matrix), (ids, matrix) = _side(asked, width), _side(held, width)
-        found = search_block(ids, matrix, query_ids, query_matrix, k)[:3] if len(ids) and len(query_ids) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        found = search_block(ids, matrix, query_ids, query_matrix, k, exact)[:3] if len(ids) and len(query_ids) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = queries.groupBy("block", "query_block").cogroup(base.groupBy("block", "query_block")).applyInArrow(search, "query_id long, vec_id long, score double")

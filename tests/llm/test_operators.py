@@ -108,22 +108,50 @@ def test_nearest_with_spread_norms(spread):
         assert verified < 0.1 * len(queries) * len(x)
 
 
-@pytest.mark.parametrize("table", ["sf0.1/embeddings.parquet", "check_s/embeddings.parquet"])
-def test_nearest_verifies_few_and_finds_most(table):
-    """On whole given tables (blocks of op1's own size): recall 0.9 at least, less than a tenth of all vectors verified."""
-    import pyarrow.dataset as ds
-
-    t = ds.dataset(f"/root/testdata/{table}").to_table(["vec_id", "embedding"])
-    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
-    queries = np.flatnonzero(ids % 20 == 0)
-    asked, found, _, verified = ann.search_block(ids, x, ids[queries], x[queries], 20)
+def _recall(ids, x, queries, k=20):
+    asked, found, _, verified = ann.search_block(ids, x, ids[queries], x[queries], k)
     hits = 0
     for q in queries:
         s = x @ x[q]
         s[q] = -np.inf
-        hits += len(set(ids[np.argsort(-s)[:20]]) & set(found[asked == ids[q]]))
-    print(f"{table}: {len(ids)} vectors, recall {hits / 20 / len(queries):.4f}, verified {verified / len(queries) / len(ids):.4f}")
-    assert hits >= 0.9 * 20 * len(queries) and verified < 0.1 * len(queries) * len(ids)
+        hits += len(set(ids[np.argsort(-s)[:k]]) & set(found[asked == ids[q]]))
+    return hits / k / len(queries), verified / len(queries) / len(ids)
+
+
+def _directions(n, width, rank=None, noise=0.0):
+    rng = np.random.default_rng(width)
+    x = rng.standard_normal((n, rank or width)) @ (rng.standard_normal((rank, width)) if rank else np.eye(width)) + noise * rng.standard_normal((n, width))
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def test_nearest_verifies_few_and_finds_most():
+    """On a whole given table and on random directions: recall 0.9 at least, less than a tenth of all vectors verified."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    given = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+    for ids, x in (given, (np.arange(10_000), _directions(10_000, 64))):
+        recall, verified = _recall(ids, x, np.flatnonzero(ids % 20 == 0)[:200])
+        print(f"{len(ids)} vectors: recall {recall:.4f}, verified {verified:.4f}")
+        assert recall >= 0.9 and verified < 0.1
+
+
+@pytest.mark.parametrize(("width", "rank"), [(128, None), (192, None), (256, None), (384, None), (768, None), (1024, None), (1024, 64)])
+def test_nearest_of_wide_vectors(width, rank):
+    """Lines grow with the width: random directions, and a few directions that matter beside noise."""
+    recall, verified = _recall(np.arange(8192), _directions(8192, width, rank, 0.3 if rank else 0.0), np.arange(0, 8192, 400))
+    print(f"{width} wide, rank {rank}: recall {recall:.4f}, verified {verified:.4f}")
+    assert recall >= 0.9 and verified < 0.3
+
+
+def test_nearest_of_wide_vectors_over_blocks_and_exactly(spark):
+    x = _directions(1500, 384)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    best = {q: np.argsort(-np.where(np.arange(1500) == q, -np.inf, x @ x[q]), kind="stable")[:20] for q in range(0, 1500, 20)}
+    for exact, least in ((False, 0.9), (True, 1.0)):
+        got = ann.nearest(df, block_rows=400, query_rows=40, exact=exact).collect()
+        hits = sum(r["vec_id"] in best[r["query_id"]] for r in got)
+        assert len(got) == 20 * len(best) and hits >= least * len(got)
 
 
 def test_nearest_in_several_blocks(spark):
@@ -665,6 +693,27 @@ def test_toxicity(spark, docs, none, labels):
     assert toxicity.score(docs, toxicity.fit(none, labels)).count() == docs.count()
 
 
+def test_toxicity_scores_do_not_hang_on_neighbours(spark, rows):
+    """The same bits for a text alone, among others in any order, and over any partitions."""
+    rng = random.Random(3)
+    texts = [t for _, t, *_ in rows] + [" ".join(rng.choices(["alpha", "Beta", "gamma", "mist", "zorn", "of", "the"], k=rng.randint(1, 900))) for _ in range(60)]
+    model = toxicity.train(texts, np.array([k % 3 == 0 for k in range(len(texts))]), 0.3)
+
+    def scored(some):
+        encoded = [(x or "").encode() for x in some]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
+        return toxicity.highest(model, toxicity.read_block(np.frombuffer(b"".join(encoded), np.uint8), offsets))[0]
+
+    alone = np.array([scored([t])[0] for t in texts])
+    assert (scored(texts) == alone).all()
+    for _ in range(4):
+        order = rng.sample(range(len(texts)), rng.randint(2, len(texts)))
+        assert (scored([texts[k] for k in order]) == alone[order]).all()
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    runs = [{r["doc_id"]: r["score"] for r in toxicity.score(df.repartition(n), model).collect()} for n in (1, 3, 17)]
+    assert runs[0] == runs[1] == runs[2] and all(runs[0][k] == runs[0][k + len(texts)] for k in range(2 * len(texts)))
+
+
 def test_toxicity_gradients_are_those_of_the_loss():
     rng = random.Random(3)
     words = [f"word{k}" for k in range(30)]
@@ -795,6 +844,17 @@ def test_pipeline(spark, tmp_path):
 CLASHING = "key long, fp long, shard int, size long, part long, bucket long, steps string, path string, stratum string, row string, n long, draw long, _id long, _text string, _key string, turn int, same long, root long"
 
 
+def test_substrings_with_several_chunks_a_bucket(spark, docs, rows, none, monkeypatch):
+    """Where a table may have fewer buckets than there are chunks."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 2000)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        got = [tuple(r)[:3] for r in substrings.kept_words(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert _sorted(got) == _sorted(r[:3] for r in _kept([x[:2] for x in rows]))
+
+
 @pytest.fixture(scope="module")
 def odd(spark, rows, tmp_path_factory):
     """A folder of tables: nulls in any column, empty texts, texts of megabytes, repeated rows, shared ids, clashing columns; and one of empty tables."""
