@@ -37,6 +37,8 @@ BLOCK_BYTES = 1 << 20
 #: Words and windows go through matrix products so many at a time, the last ones filled up: a product rounds by its shape, and
 #: a text's score must not hang on the texts beside it.
 ROWS = 2048
+#: Documents of the sample that are counted at once.
+SLICE = 256
 
 _ASCII = np.arange(128)
 _LETTER = ((_ASCII | 32) >= 97) & ((_ASCII | 32) <= 122)
@@ -107,6 +109,29 @@ def read_block(data: np.ndarray, offsets: np.ndarray) -> Block:
     return Block(own, grams, gram_first, padded[index], doc, n)
 
 
+def read_blocks(data: np.ndarray, offsets: np.ndarray) -> Block:
+    """As ``read_block``, which takes some 30 times the memory of its texts, about BLOCK_BYTES at a time."""
+    parts, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        to = min(max(int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1, at + 1), n)
+        parts.append(read_block(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+        at = to
+    if len(parts) < 2:
+        return parts[0] if parts else read_block(data, offsets)
+    own, place, of_word = np.unique(np.concatenate([x.hashes for x in parts]), return_index=True, return_inverse=True)
+    count = np.concatenate([np.diff(x.first) for x in parts])
+    start = (np.cumsum(count) - count)[place]
+    count = count[place]
+    first = np.concatenate([[0], np.cumsum(count)])
+    grams = np.concatenate([x.grams for x in parts])[np.repeat(start - first[:-1], count) + np.arange(first[-1])]
+    windows, docs, words, texts = [], [], 0, 0
+    for x in parts:
+        windows.append(np.append(of_word[words : words + len(x.hashes)], len(own)).astype(np.int32)[x.windows])
+        docs.append(x.doc + texts)
+        words, texts = words + len(x.hashes), texts + x.n
+    return Block(own, grams, first, np.concatenate(windows), np.concatenate(docs), texts)
+
+
 def _rows(block: Block, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(character rows of some distinct words end to end, where each word's start)."""
     count = np.diff(block.first)[own]
@@ -231,18 +256,27 @@ def _gradients(m: Model, block: Block, index: np.ndarray, target: np.ndarray) ->
     return g
 
 
+def _words_of(block: Block, a: int, b: int) -> np.ndarray:
+    """(document, word) of each word that the windows from ``a`` to ``b`` hold, once."""
+    windows = block.windows[a:b]
+    real = windows < len(block.hashes)
+    both = np.unique(np.broadcast_to(block.doc[a:b, None], real.shape)[real] * np.int64(len(block.hashes) + 1) + windows[real])
+    return np.stack(np.divmod(both, len(block.hashes) + 1), 1).astype(np.int32)
+
+
 def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 42) -> Model:
     """``share``: the true share of toxic documents, to which scores are calibrated."""
     rng = np.random.default_rng(seed)
     encoded = [(x or "").encode() for x in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
-    block = read_block(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+    block = read_blocks(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+    del encoded
     toxic = np.asarray(toxic, bool)
     aside = rng.random(block.n) < 0.2  # for calibration alone
     learn = ~aside
-    real = block.windows < len(block.hashes)
-    both = np.unique(np.broadcast_to(block.doc[:, None], real.shape)[real] * np.int64(len(block.hashes) + 1) + block.windows[real])
-    pairs = np.divmod(both, len(block.hashes) + 1)
+    # Each word once a document, for some documents (whose windows lie together) at a time.
+    cuts = np.searchsorted(block.doc, range(0, block.n + SLICE, SLICE))
+    pairs = np.concatenate([np.empty((0, 2), np.int32), *(_words_of(block, a, b) for a, b in zip(cuts, cuts[1:]))]).T
     in_toxic = np.bincount(pairs[1][(toxic & learn)[pairs[0]]], minlength=len(block.hashes))
     in_clean = np.bincount(pairs[1][(~toxic & learn)[pairs[0]]], minlength=len(block.hashes))
     often = in_toxic + in_clean
@@ -270,11 +304,14 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 42) ->
     m.p["word"] = np.zeros((len(chosen) + 1, WORD_DIM), np.float32)
     m.p["word"][:-1, 0] = shrunk(odds, often)[chosen]
     m.p["word"][:, 1:] = rng.standard_normal((len(chosen) + 1, WORD_DIM - 1)) * 0.05
-    rows, start = _rows(block, pairs[1])
-    of_doc = np.repeat(pairs[0], np.diff(start, append=len(rows)))
-    seen = np.unique(of_doc.astype(np.int64) * GRAMS + rows)
-    doc, row = seen // GRAMS, seen % GRAMS
-    in_toxic, in_clean = (np.bincount(row[(y & learn)[doc]], minlength=GRAMS) for y in (toxic, ~toxic))
+    in_toxic, in_clean = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
+    cuts = np.searchsorted(pairs[0], range(0, block.n + SLICE, SLICE))
+    for a, b in zip(cuts, cuts[1:]):
+        rows, start = _rows(block, pairs[1][a:b])
+        seen = np.unique(np.repeat(pairs[0][a:b], np.diff(start, append=len(rows))).astype(np.int64) * GRAMS + rows)
+        doc, row = seen // GRAMS, seen % GRAMS
+        in_toxic += np.bincount(row[(toxic & learn)[doc]], minlength=GRAMS)
+        in_clean += np.bincount(row[(~toxic & learn)[doc]], minlength=GRAMS)
     char_odds = np.log((in_toxic + 0.5) / ((toxic & learn).sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic & learn).sum() + 1))
     m.p["char"] = (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.02).astype(np.float32)
     m.p["char"][:, 0] = 0.3 * shrunk(char_odds, in_toxic + in_clean)

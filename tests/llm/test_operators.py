@@ -714,6 +714,17 @@ def test_toxicity_scores_do_not_hang_on_neighbours(spark, rows):
     assert runs[0] == runs[1] == runs[2] and all(runs[0][k] == runs[0][k + len(texts)] for k in range(2 * len(texts)))
 
 
+def test_toxicity_reads_texts_alike_in_any_blocks(rows, monkeypatch):
+    encoded = [(t or "").encode() for _, t, *_ in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    whole = toxicity.read_block(data, offsets)
+    for size in (1, 500, 1 << 30):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", size)
+        got = toxicity.read_blocks(data, offsets)
+        assert all(np.array_equal(getattr(got, x), getattr(whole, x)) for x in ("hashes", "grams", "first", "windows", "doc", "n"))
+
+
 def test_toxicity_gradients_are_those_of_the_loss():
     rng = random.Random(3)
     words = [f"word{k}" for k in range(30)]
