@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import FROM_AGENT, FROM_CACHE, LLM_FAILED, LLM_MISSING, NO_DOCUMENT
-from tessera.operators.store import Snapshots
+from tessera.operators.store import Keyed
 from tessera.staging import Written
 
 ENTRY = "key string, answer string, expires_at timestamp"
@@ -50,11 +50,11 @@ def cache_aside(questions: DataFrame, cache: DataFrame, agent: Callable[[DataFra
     return hits.unionByName(answered), entries
 
 
-class AnswerCache(Snapshots):
-    """Entries by key, in a table. Writing a key again overwrites its answer and starts its lifetime anew."""
+class AnswerCache(Keyed):
+    """Entries by key, in a table. Writing a key again overwrites its answer and starts its lifetime anew; only the parts of the keys that are written change."""
 
-    def __init__(self, spark: SparkSession, name: str, ttl_seconds: int = 3600):
-        super().__init__(spark, name, ENTRY)
+    def __init__(self, spark: SparkSession, name: str, ttl_seconds: int = 3600, parts: int = 16):
+        super().__init__(spark, name, ENTRY, "key", parts)
         self.ttl_seconds = ttl_seconds
 
     def get(self, questions: DataFrame, now: Column) -> DataFrame:
@@ -63,21 +63,22 @@ class AnswerCache(Snapshots):
     def put(self, answers: DataFrame, now: Column) -> None:
         """``answers``: query, answer, one row a query."""
         expires = now + F.make_dt_interval(secs=F.lit(self.ttl_seconds))
-        self.write(answers.where("answer IS NOT NULL").select(cache_key(F.col("query")).alias("key"), "answer", expires.alias("expires_at")), now)
+        self.write_entries(answers.where("answer IS NOT NULL").select(cache_key(F.col("query")).alias("key"), "answer", expires.alias("expires_at")), now)
 
-    def write(self, entries: DataFrame, now: Column) -> None:
-        """Entries that have expired by ``now`` are left behind."""
-        self.upsert(entries, "key", now)
+    def write_entries(self, entries: DataFrame, now: Column) -> None:
+        """Entries that have expired by ``now`` are left behind in the parts that are written; ``swept`` leaves them behind everywhere."""
+        self.upsert(entries, F.col("expires_at") > now)
 
-    def upsert(self, rows: DataFrame, key: str = "key", now: Column | None = None) -> None:
-        held = self.read() if now is None else self.read().where(F.col("expires_at") > now)
-        new = self._typed(rows)
-        self.replace(held.join(new, key, "left_anti").unionByName(new))
+    def swept(self, now: Column) -> None:
+        """Parts that hold entries which have expired by ``now`` are written without them."""
+        gone = [r["part"] for r in self.read().where(F.col("expires_at") <= now).select(self._part()).distinct().collect()]
+        if gone:
+            self.write(self.rows(gone).where(F.col("expires_at") > now).withColumn("part", self._part()), gone)
 
     def respond(self, questions: DataFrame, agent: Callable[[DataFrame], DataFrame], now: Column, keep_errors: bool = True) -> DataFrame:
         """query_id, answer, source, contexts; new answers are in the table before they are returned."""
         responses, entries = cache_aside(questions, self.read(), agent, now, self.ttl_seconds, keep_errors)
-        self.write(entries, now)
+        self.write_entries(entries, now)
         return responses
 
 

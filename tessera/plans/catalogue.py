@@ -7,17 +7,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import config, ingest, models
 from tessera.functions.text import not_blank, row_text
 from tessera.functions.vectors import cosine, sparse_parts, token_bucket
 from tessera.operators import agent, answer, cache, chunks, retrieve, sessions, store
+from tessera.operators.index import CellIndex
 from tessera.plans import chunk_sql
 from tessera.sources import loader
 from tessera.staging import Written, delete_path, shared_folder
-from tessera.streaming import endpoint, ttl
+from tessera.streaming import cached, endpoint, ttl
 
 #: Literal texts for the blank test: blanks of several kinds, then texts that are none.
 _BLANKS = ("", " ", "\t\n", "　", "\x1c\x1d", "\u0085", " ", "​", " a ")
@@ -89,7 +90,7 @@ def row_text_nested(spark, sf_dir):
 
 def line_chunks(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
-    numbered = chunks.number_pieces(docs, ["doc_id"], F.split("text", "\n"))
+    numbered = chunks.number_pieces(docs.select("doc_id", "text"), ["doc_id"], F.split("text", "\n"), F.col("text"))
     return numbered.where(not_blank(F.col("piece"))).select("id", F.md5("piece").alias("text_md5"))
 
 
@@ -119,6 +120,29 @@ def dense_topk_batch(spark, sf_dir):
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def indexed_top9(spark, sf_dir):
+    """By the index, asked in all of its cells, after a third of the points came and a ninth was put right by upserts."""
+    points = _points(spark, sf_dir)
+    early = points.where("id % 3 <> 0").unionByName(points.where("id % 9 = 0").withColumn("dense", F.transform("dense", lambda x: -x)))
+    index = CellIndex.build(spark, f"index_{uuid.uuid4().hex}", early)
+    index.upsert(points.where("id % 3 = 0"))
+    found = Written(index.search(points.select(F.col("id").alias("query_id"), "dense"), 9, probes=index.cells)).read()
+    index.drop()
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def index_recall(spark, sf_dir):
+    """Every point as a question to the index as it is: whether it finds nine in ten of the nine nearest."""
+    points = _points(spark, sf_dir)
+    index = CellIndex.build(spark, f"index_{uuid.uuid4().hex}", points)
+    queries = points.select(F.col("id").alias("query_id"), "dense")
+    exact, found = retrieve.dense_top_k(queries, points, 9).select("query_id", "id"), index.search(queries, 9).select("query_id", "id", F.lit(1).alias("hit"))
+    judged = exact.join(found, ["query_id", "id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("nine_in_ten"), F.count_distinct("query_id").alias("n_questions"))
+    made = Written(judged.crossJoin(index.read().agg(F.count("*").alias("n_points"))).select("n_points", "n_questions", "nine_in_ten")).read()
+    index.drop()
+    return made
+
+
 def cosine_pairs(spark, sf_dir):
     points = _points(spark, sf_dir)
     pairs = points.select((F.col("id") + 1).alias("next"), F.col("dense").alias("before")).join(points, F.col("next") == F.col("id"))
@@ -319,6 +343,24 @@ def stream_chat(spark, sf_dir):
     return made.select((F.col("batch") + 1).cast("int").alias("round"), "query_id", "answer", "source", F.size("contexts").cast("long").alias("n_contexts"))
 
 
+def stream_cached_chat(spark, sf_dir):
+    """The same with answers in the stream's state: the second time all come from there."""
+    collection = _collection(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    asked = _questions(spark, sf_dir)
+    asked.coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = cached.serve_cached(stream, agent.researcher(collection), f"{folder}/out", f"{folder}/answers", f"{folder}/state")
+    query.processAllAvailable()
+    asked.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    query.processAllAvailable()
+    query.stop()
+    made = Written(spark.read.schema("query_id long, answer string, source string, contexts array<string>, batch long").parquet(f"{folder}/out")).read()
+    delete_path(spark, folder)
+    rounds = made.select("batch").distinct().select("batch", F.row_number().over(Window.orderBy("batch")).cast("int").alias("round"))  # a row a micro-batch
+    return made.join(F.broadcast(rounds), "batch").select("round", "query_id", "answer", "source", F.size("contexts").cast("long").alias("n_contexts"))
+
+
 def stream_ttl(spark, sf_dir):
     """The cache with a fixed lifetime over a stream of four micro-batches, in order of time."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -358,10 +400,10 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, cosine_pairs,
+            row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
             sparse_weights, sparse_vectors, retrieve_rerank, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
             ttl_cache, cache_route, answer_cache, session_replay, session_append, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
-            empty_collection, chat_answers, stream_chat, stream_ttl, ingest_points,
+            empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, ingest_points,
         )
     },
 }
@@ -388,6 +430,8 @@ SQL = {
   (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> '')) WHERE {_SOLID.format('piece')}""",
     "dense_top9": f"SELECT id, rank, score FROM ({_TOP.format('q.vec_id = 0')})",
     "dense_topk_batch": _TOP.format("true"),
+    "indexed_top9": _TOP.format("true"),
+    "index_recall": "SELECT count(*) AS n_points, count(*) AS n_questions, true AS nine_in_ten FROM embeddings",
     "cosine_pairs": "SELECT b.vec_id AS id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "sparse_weights": _WEIGHTS,
     "sparse_vectors": f"SELECT doc_id, string_agg(bucket::VARCHAR, ',' ORDER BY bucket) AS indices, string_agg(weight::VARCHAR, ',' ORDER BY bucket) AS vals FROM ({_WEIGHTS}) GROUP BY 1",
@@ -398,6 +442,7 @@ SQL = {
     "rag_answers": f"{chunk_sql.ANSWERS} SELECT query_id, answer, n_contexts FROM answered",
     "chat_answers": chunk_sql.CHATS,
     "stream_chat": chunk_sql.CHATS,
+    "stream_cached_chat": chunk_sql.CHATS,
     "ingest_points": chunk_sql.POINTS,
     "empty_collection": f"SELECT item_id AS query_id, '{config.NO_DOCUMENT}' AS answer, 0::BIGINT AS n_contexts FROM benchmark",
     "row_text_orders": "SELECT o_orderkey, md5(concat_ws(' ', CASE WHEN o_orderkey <> 0 THEN o_orderkey::VARCHAR END, CASE WHEN o_custkey <> 0 THEN o_custkey::VARCHAR END, nullif(o_orderstatus, ''), CASE WHEN o_totalprice <> 0 THEN o_totalprice::VARCHAR END, o_orderdate::VARCHAR, nullif(o_orderpriority, ''))) AS text_md5 FROM orders",

@@ -1,4 +1,4 @@
-"""The chat endpoint over a stream of questions."""
+"""The chat endpoint over a stream of questions, with its answers cached in a table."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.agent import chat
 from tessera.operators.cache import AnswerCache
+from tessera.staging import owner
 
 
 def serve(questions: DataFrame, collection: Callable[[], DataFrame], cache: AnswerCache, sink: str, checkpoint: str, keep_errors: bool = True, **models) -> StreamingQuery:
@@ -21,7 +22,8 @@ def serve(questions: DataFrame, collection: Callable[[], DataFrame], cache: Answ
     """
 
     def answer(rows: DataFrame, batch: int) -> None:
-        responses = chat(rows, collection(), cache, keep_errors=keep_errors, **models)
-        responses.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{sink}/micro_batch={batch}")
+        with owner():
+            responses = chat(rows, collection(), cache, keep_errors=keep_errors, **models)
+            responses.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{sink}/micro_batch={batch}")
 
     return questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()
