@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, fresh, ln_factorial, materialise, numbers_below, table
@@ -122,7 +122,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def _dealt(docs: DataFrame, n_shards: int, seed: int, least_block: int, blocks: int, bucket_rows: int) -> DataFrame:
+def _dealt(docs: DataFrame, n_shards: int, seed: int, least_block: int, blocks: int, bucket_rows: int, tree_seed: int | None = None) -> DataFrame:
     """Each group with its source's size, target, block and shard ends; ``start`` (its words begin there in its source) and ``drawn`` (how many of its rows are drawn as first and as second copy)."""
     slim = materialise(_groups(docs).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_key")))
     parts = max(1, math.ceil(slim.count() / bucket_rows))
@@ -136,7 +136,7 @@ def _dealt(docs: DataFrame, n_shards: int, seed: int, least_block: int, blocks:
     quotas = targets.select("skey", F.ceil(F.col("target") / F.col("block")).cast("long").alias("quota"))
     up_to = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        split_quotas(quotas, n_shards, seed)
+        split_quotas(quotas, n_shards, seed if tree_seed is None else tree_seed)
         .withColumn("end", F.sum("quota").over(up_to))
         .groupBy("skey")
         .agg(F.sort_array(F.collect_list("end")).alias("ends"))
@@ -162,29 +162,31 @@ def _dealt(docs: DataFrame, n_shards: int, seed: int, least_block: int, blocks:
     )
 
 
-def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1024, blocks: int = 65536, bucket_rows: int = 1024) -> DataFrame:
+def _placed(copy: int, seed: int) -> Column:
+    """Shard, block and local order of one row of a group as its ``copy``, or null if it is not drawn: the block in which its words begin belongs to the shard whose quota it is in."""
+    start = F.col("start") + F.col("turn") * F.col("size") + copy * F.col("source_size")
+    block = F.floor(start / F.col("block")).cast("long")
+    place = F.struct(
+        F.size(F.filter("ends", lambda end: end <= block)).alias("shard"),
+        block.alias("block"),
+        F.xxhash64(F.lit(seed), "block", "doc_id", F.lit(copy)).alias("local_key"),
+        F.lit(copy).alias("copy"),
+    )
+    return F.when(F.col("turn") < F.get("drawn", F.lit(copy)), place)
+
+
+def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1024, blocks: int = 65536, bucket_rows: int = 1024, tree_seed: int | None = None) -> DataFrame:
     """A row for each document (doc_id, text, source) with its draws in ``placements`` (shard, block, local_key, copy).
 
     A null text has size 0 and is never drawn; null sources form one source, the last. Repeated rows
     and null doc_ids count as rows of their own; rows that are equal are counted before anything is shuffled. Other
     columns are ignored; texts of any length are read whole. An empty table gives an empty result. The running sum
-    over a source is taken in hashed buckets, so a hot source is spread over many tasks.
+    over a source is taken in hashed buckets, so a hot source is spread over many tasks. ``tree_seed`` (``seed``, if it is not given) decides which
+    shard gets which blocks, ``seed`` how documents are permuted into blocks.
     """
     some, each = numbers_below("n")
-
-    def placed(copy: int):
-        start = F.col("start") + F.col("turn") * F.col("size") + copy * F.col("source_size")
-        block = F.floor(start / F.col("block")).cast("long")
-        place = F.struct(
-            F.size(F.filter("ends", lambda end: end <= block)).alias("shard"),
-            block.alias("block"),
-            F.xxhash64(F.lit(seed), "block", "doc_id", F.lit(copy)).alias("local_key"),
-            F.lit(copy).alias("copy"),
-        )
-        return F.when(F.col("turn") < F.get("drawn", F.lit(copy)), place)
-
     return (
-        _dealt(docs, n_shards, seed, least_block, blocks, bucket_rows)
+        _dealt(docs, n_shards, seed, least_block, blocks, bucket_rows, tree_seed)
         .withColumn("_hundreds", F.explode(some))
         .withColumn("turn", F.explode(each))
         .select(
@@ -194,7 +196,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 42, least_block: int = 1
             "size",
             "source_size",
             "target",
-            F.filter(F.array(placed(0), placed(1)), lambda x: x.isNotNull()).alias("placements"),
+            F.filter(F.array(_placed(0, seed), _placed(1, seed)), lambda x: x.isNotNull()).alias("placements"),
         )
     )
 
@@ -205,20 +207,27 @@ def mixed_rows(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with a row for each draw of ``mix``; columns may have any names.
+    """``docs`` with a row for each draw of ``mix``, shard by shard in local order; columns may have any names.
 
-    Rows that are equal in doc_id, text and source count each, and one of them stands for all when they are drawn.
+    The tree's quotas say which blocks a shard holds. A shard's rows are dealt by their local key, which is a hash, to equal ranges, so
+    that its size does not bound the number of tasks; partitions, and so the files that are written of them, follow the order of (shard, local
+    key). Rows that are equal in doc_id, text and source count each, and one of them stands for all when they are drawn.
     """
     options = {"n_shards": 8, "seed": 42, "least_block": 1024, "blocks": 65536, "bucket_rows": 1024} | options
-    names = {x: fresh(x) for x in ("doc_id", "skey", "text_key")}
-    own = dict(zip(names.values(), (F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")), F.xxhash64("text"))))
-    row, copies = fresh("row"), fresh("copies")
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[v.alias(k) for k, v in own.items()]).groupBy(*own).agg(F.first(row).alias(row))
-    draws = _dealt(docs, **options).select(*[F.col(k).alias(f"{v}_drawn") for k, v in names.items()], F.aggregate("drawn", F.lit(0).cast("long"), lambda a, x: a + x).alias(copies))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_drawn")) for k in own])
-    some, each = numbers_below(copies)
-    drawn = one.join(draws.where(F.col(copies) > 0), same).select(row, copies, F.explode(some).alias("_hundreds")).select(row, F.explode(each))
-    return drawn.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    keys = {"doc_id": F.col("doc_id").cast("long"), "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")), "text_key": F.xxhash64("text")}
+    row = fresh("row")
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[v.alias(f"own_{k}") for k, v in keys.items()])
+    one = one.groupBy(*[f"own_{k}" for k in keys]).agg(F.first(row).alias(row))
+    draws = _dealt(docs, **options).where("drawn[0] + drawn[1] > 0").select(*keys, "n", "size", "source_size", "start", "block", "ends", "drawn")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys])
+    some, each = numbers_below("n")
+    turns = one.join(draws, same).withColumn("_hundreds", F.explode(some)).withColumn("turn", F.explode(each))
+    copies = F.filter(F.array(_placed(0, options["seed"]), _placed(1, options["seed"])), lambda x: x.isNotNull())
+    placed = turns.select(row, "turn", F.explode(copies).alias("x"))
+    ranges = max(1, math.ceil(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / options["n_shards"]))
+    range_of = F.shiftright((F.shiftright("x.local_key", 32) + (1 << 31)) * ranges, 32)
+    ordered = placed.repartitionById(options["n_shards"] * ranges, (F.col("x.shard") * ranges + range_of).cast("int"))
+    return ordered.sortWithinPartitions("x.shard", "x.local_key", "x.copy", "turn").select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

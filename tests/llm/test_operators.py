@@ -276,6 +276,35 @@ def test_one_row_repeated_by_the_thousand(spark):
     assert sharding.shard_documents(same).select("shard").distinct().count() == 1
 
 
+def test_the_tree_decides_the_order_of_the_mixed_documents(spark, docs, tmp_path):
+    """Another seed of the tree draws the same documents and gives other blocks to the shards; the stage's rows and files follow."""
+    def placements(tree_seed):
+        rows = mixing.mixed_rows(mixing.mix(docs, seed=5, least_block=64, tree_seed=tree_seed)).collect()
+        return sorted(((r["shard"], r["local_key"], r["copy"], r["doc_id"], r["block"], r["source"]) for r in rows), key=str)
+
+    def stage(tree_seed):
+        path = f"{tmp_path}/{tree_seed}"
+        mixing.mixed_documents(docs, seed=5, least_block=64, tree_seed=tree_seed).write.parquet(path)
+        files = [f for f in sorted(spark.read.parquet(path).inputFiles()) if "/part-" in f]
+        return [r["doc_id"] for f in files for r in spark.read.parquet(f).collect()]
+
+    one, other = placements(1), placements(2)
+    assert sorted(x[2:] for x in one if None not in x) == sorted(x[2:] for x in other if None not in x)  # draws and blocks do not hang on the tree
+    shard_of = [{(x[5], x[4]): x[0] for x in y} for y in (one, other)]
+    assert all(shard_of[k][x[5], x[4]] == x[0] for k, y in enumerate((one, other)) for x in y) and shard_of[0] != shard_of[1]  # a block lies in one shard
+    for tree_seed, placed in ((1, one), (2, other)):
+        order = {}
+        for x in placed:
+            order.setdefault(x[:2], []).append(x[3])
+        expected = [d for _, ids in sorted(order.items()) for d in ids]
+        got = stage(tree_seed)
+        assert len(got) == len(expected) and sorted(map(str, got)) == sorted(map(str, expected))
+        at = 0
+        for _, ids in sorted(order.items()):  # equal keys in any order
+            assert sorted(map(str, got[at : at + len(ids)])) == sorted(map(str, ids))
+            at += len(ids)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), ("c", 0), ("d", 1)], "skey string, quota long")
     got = mixing.split_quotas(quotas, 8, 1).collect()
