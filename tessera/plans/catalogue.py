@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import config, ingest, models
+from tessera.functions import segment
 from tessera.functions.text import not_blank, row_text
 from tessera.functions.vectors import cosine, sparse_parts, token_bucket
-from tessera.operators import agent, answer, cache, chunks, retrieve, sessions, store
+from tessera.operators import agent, answer, bm25, cache, chunks, retrieve, sessions, store
 from tessera.operators.index import CellIndex
 from tessera.plans import chunk_sql
 from tessera.sources import loader
@@ -179,6 +180,31 @@ def retrieve_rerank(spark, sf_dir):
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.col("rerank_score").cast("long").alias("overlap"))
 
 
+def rerank_bm25(spark, sf_dir):
+    """The same ranked by BM25. Its statistics come from an upsert of all documents, a third of them with other texts, and one that puts these right."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    statistics = bm25.TermStatistics(spark, f"terms_{uuid.uuid4().hex}", parts=4)
+    statistics.upsert(docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat(F.lit("moved away "), "id")).otherwise(F.col("text"))))
+    statistics.upsert(docs.where("id % 3 = 0"))
+    points = Written(store.points_of(docs)).read()
+    found = retrieve.search(_questions(spark, sf_dir), points, models.embed_udf(), ranker=lambda c, k: bm25.bm25_reranked(c, statistics, k))
+    made = Written(found.select("query_id", "id", "rank", F.round("rerank_score", 6).alias("score"))).read()
+    statistics.drop()
+    return made
+
+
+def syllable_words(spark, sf_dir):
+    """Where learning the lexicon of the segmenter begins: syllables, and runs of up to four that come three times or more."""
+    return segment.ngram_counts(segment.run_counts(_table(spark, sf_dir, "documents")))
+
+
+def segmented_docs(spark, sf_dir):
+    """Documents segmented by the lexicon learned from them; without the marks that join syllables their tokens are left."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    said = docs.select("doc_id", segment.lexicon_udf(segment.learn(docs), spark)("text").alias("said"))
+    return said.select("doc_id", F.md5(F.translate("said", "_", " ")).alias("tokens_md5"), (F.size(F.split("said", " ")) <= F.size(F.split(F.translate("said", "_", " "), " "))).alias("joined"))
+
+
 def prompt_build(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
     prompt = answer.prompt_of(F.col("contexts"), F.col("query_id").cast("string"))
@@ -401,7 +427,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
-            sparse_weights, sparse_vectors, retrieve_rerank, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
+            sparse_weights, sparse_vectors, retrieve_rerank, rerank_bm25, syllable_words, segmented_docs, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
             ttl_cache, cache_route, answer_cache, session_replay, session_append, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
             empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, ingest_points,
         )
@@ -436,6 +462,9 @@ SQL = {
     "sparse_weights": _WEIGHTS,
     "sparse_vectors": f"SELECT doc_id, string_agg(bucket::VARCHAR, ',' ORDER BY bucket) AS indices, string_agg(weight::VARCHAR, ',' ORDER BY bucket) AS vals FROM ({_WEIGHTS}) GROUP BY 1",
     "retrieve_rerank": chunk_sql.RERANKED,
+    "rerank_bm25": chunk_sql.BM25,
+    "syllable_words": chunk_sql.SYLLABLES,
+    "segmented_docs": f"SELECT doc_id, md5(replace(coalesce(array_to_string(regexp_extract_all(text, '{chunk_sql.TOKEN}'), ' '), ''), '_', ' ')) AS tokens_md5, true AS joined FROM documents",
     "recursive_chunks": chunk_sql.RECURSIVE_CHUNKS,
     "question_vectors": chunk_sql.VECTORS,
     "retrieve_passages": chunk_sql.PASSAGES,

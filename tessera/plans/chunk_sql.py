@@ -101,3 +101,24 @@ POINTS = f"""WITH RECURSIVE corpus AS (SELECT row_number() OVER (ORDER BY k, a,
 {chunked('corpus')}, {embedded('p', 'id', 'chunks')},
 tokens AS (SELECT id, count(DISTINCT ('0x' || md5(token)[1:8])::BIGINT % 1024) AS n FROM p_all GROUP BY 1)
 SELECT c.id::BIGINT AS id, md5(c.text) AS text_md5, 64::BIGINT AS n_dense, coalesce(n, 0)::BIGINT AS n_sparse FROM chunks c LEFT JOIN tokens USING (id)"""
+
+#: The nearest nine by vector, ranked by BM25 over all documents.
+BM25 = f"""WITH {retrieved('documents', 'doc_id')},
+said AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+corpus AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM said),
+df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS token FROM said) GROUP BY 1),
+asked AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS q FROM benchmark),
+hits AS (SELECT item_id, id, len(w) AS length, unnest(list_filter(w, lambda x: list_contains(q, x))) AS token FROM near JOIN asked USING (item_id) JOIN said ON doc_id = id),
+counted AS (SELECT item_id, id, length, token, count(*) AS f FROM hits GROUP BY ALL),
+scored AS (SELECT item_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) ORDER BY token) AS bm FROM counted JOIN df USING (token), corpus GROUP BY 1, 2),
+ranked AS (SELECT item_id, id, round(coalesce(bm, 0), 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(bm, 0), 9) DESC, id) AS rank FROM near LEFT JOIN scored USING (item_id, id))
+SELECT item_id AS query_id, id, rank::BIGINT AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 3"""
+
+_SYLLABLE = r"[\p{L}\p{N}]+"
+#: A syllable or a mark.
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Runs of syllables with white space alone between them, cut after 64, and all words of up to four of their syllables.
+SYLLABLES = f"""WITH runs AS (SELECT regexp_extract_all(r, '{_SYLLABLE}') AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '{_SYLLABLE}(?:{_BLANK}+{_SYLLABLE})*')) AS r FROM documents)),
+cut AS (SELECT s[64 * k + 1 : 64 * k + 64] AS s FROM (SELECT s, unnest(range(0, (len(s) + 63) // 64)) AS k FROM runs)),
+words AS (SELECT k, array_to_string(s[i + 1 : i + k], '_') AS word FROM (SELECT s, k, unnest(range(0, len(s) - k + 1)) AS i FROM (SELECT s, unnest([1, 2, 3, 4]) AS k FROM cut)))
+SELECT word, count(*) AS n FROM words GROUP BY word, k HAVING k = 1 OR count(*) >= 3"""
