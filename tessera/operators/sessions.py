@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,22 @@ def numbered_contexts(responses: DataFrame) -> DataFrame:
     return responses.where("size(contexts) > 0").select("query_id", F.posexplode("contexts").alias("pos", "context")).select(
         "query_id", (F.col("pos") + 1).cast("long").alias("number"), "context"
     )
+
+
+class SessionLog:
+    """The log as a table (``Settings.sessions`` names it): turns are appended, nothing that was written is read or changed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (conv_id bigint, turn bigint, role string, text string) USING parquet")
+
+    def append(self, turns: DataFrame) -> None:
+        """``turns``: conv_id, turn, query, answer."""
+        none = self.spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+        appended(none, turns).write.insertInto(self.name)
+
+    def replay(self) -> DataFrame:
+        return replay(self.spark.table(self.name))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")

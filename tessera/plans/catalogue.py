@@ -309,6 +309,18 @@ def session_append(spark, sf_dir):
     return sessions.replay(sessions.appended(log, turns)).select("conv_id", "position", "role", F.md5("text").alias("text_md5"))
 
 
+def session_log(spark, sf_dir):
+    """Each user's turn appended to the table of sessions, the even conversations first; every third conversation got no answers."""
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = asked.select("conv_id", "turn", F.col("text").alias("query"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("on "), F.md5("text"))).alias("answer"))
+    log = sessions.SessionLog(spark, f"sessions_{uuid.uuid4().hex}")
+    log.append(turns.where("conv_id % 2 = 0"))
+    log.append(turns.where("conv_id % 2 <> 0"))
+    made = Written(log.replay().select("conv_id", "position", "role", F.md5("text").alias("text_md5"))).read()
+    log.drop()
+    return made
+
+
 def question_vectors(spark, sf_dir):
     vectors = _questions(spark, sf_dir).select("query_id", F.posexplode(models.embed_udf()("query")["dense"]).alias("place", "v")).where("v <> 0")
     return vectors.select("query_id", F.col("place").cast("long").alias("place"), F.round(F.col("v").cast("double"), 6).alias("v"))
@@ -428,7 +440,7 @@ QUERIES = {
         for f in (
             row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
             sparse_weights, sparse_vectors, retrieve_rerank, rerank_bm25, syllable_words, segmented_docs, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
-            ttl_cache, cache_route, answer_cache, session_replay, session_append, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
+            ttl_cache, cache_route, answer_cache, session_replay, session_append, session_log, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
             empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, ingest_points,
         )
     },
@@ -486,6 +498,8 @@ SQL = {
     "session_append": """WITH l AS (SELECT conv_id, max(turn) + 1 AS turn FROM conversations GROUP BY 1), a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, 'user', 'and then?' FROM l
   UNION ALL SELECT conv_id, turn + 1, 'assistant', 'nothing more' FROM l WHERE conv_id % 3 <> 0)
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role, md5(text) AS text_md5 FROM a""",
+    "session_log": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position, role, md5(text) AS text_md5 FROM
+  (SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn + 1, 'assistant', 'on ' || md5(text) FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0)""",
     "prompt_build": f"SELECT conv_id AS query_id, md5('{config.PROMPT[0]}' || {_JOINED} || '{config.PROMPT[1]}' || conv_id || '{config.PROMPT[2]}') AS prompt_md5, count(*) AS n_contexts FROM conversations GROUP BY 1",
     "fallback_answer": f"""SELECT query_id, CASE WHEN doc_id IS NULL THEN '{config.NO_DOCUMENT}' ELSE 'answer ' || md5('{config.PROMPT[0]}' || d.text || '{config.PROMPT[1]}' || b.text || '{config.PROMPT[2]}') END AS answer,
   (doc_id IS NOT NULL)::BIGINT AS n_contexts FROM (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - item_id, text FROM benchmark) b LEFT JOIN documents d ON d.doc_id = query_id""",
