@@ -61,9 +61,10 @@ class AnswerCache(Keyed):
         return looked_up(questions, self.read(), now)
 
     def put(self, answers: DataFrame, now: Column) -> None:
-        """``answers``: query, answer, one row a query."""
+        """``answers``: query, answer, one row a query. Entries that have expired by ``now`` go from all parts."""
         expires = now + F.make_dt_interval(secs=F.lit(self.ttl_seconds))
         self.write_entries(answers.where("answer IS NOT NULL").select(cache_key(F.col("query")).alias("key"), "answer", expires.alias("expires_at")), now)
+        self.swept(now)
 
     def write_entries(self, entries: DataFrame, now: Column) -> None:
         """Entries that have expired by ``now`` are left behind in the parts that are written; ``swept`` leaves them behind everywhere."""
