@@ -36,13 +36,13 @@ def _decimal_text(text):
     return None if text is None else str(Decimal(text))
 
 
-def truthy_text(name: str, kind: T.DataType) -> Column:
-    """The column as Python's text of its value where it is truthy, else null: 0, False, empty and null values fall out, blanks stay.
+def truthy_text(name: str, kind: T.DataType, within: str | None = None) -> Column:
+    """The column (or field of the struct ``within``) as Python's text of its value where it is truthy, else null: 0, False, empty and null values fall out, blanks stay.
 
     Strings, booleans and integers stay in the JVM; fractions, decimals, dates, times, bytes, arrays, maps and structs go
     through Python, whose text Spark's casts do not give. Other types are refused by name.
     """
-    c = F.col(f"`{name}`")
+    c = F.col(f"`{name}`") if within is None else F.col(f"`{within}`.`{name}`")
     if isinstance(kind, T.StringType):
         return F.when(c != "", c)
     if isinstance(kind, T.BooleanType):
@@ -62,9 +62,9 @@ def truthy_text(name: str, kind: T.DataType) -> Column:
     raise TypeError(f"column {name}: no text for {kind.simpleString()}")
 
 
-def row_text(df: DataFrame) -> Column:
-    """All columns of a row in order, joined by spaces."""
-    return F.concat_ws(" ", *[truthy_text(f.name, f.dataType) for f in df.schema.fields])
+def row_text(df: DataFrame, within: str | None = None) -> Column:
+    """All columns of a row in order, joined by spaces; ``within`` names the struct that holds them, if one does."""
+    return F.concat_ws(" ", *[truthy_text(f.name, f.dataType, within) for f in df.schema.fields])
 
 
 def not_blank(text: Column) -> Column:

@@ -18,6 +18,7 @@ from tessera.operators import agent, answer, bm25, cache, chunks, retrieve, sess
 from tessera.operators.index import CellIndex
 from tessera.plans import chunk_sql
 from tessera.sources import loader
+from tessera.sources.outside import json_lines
 from tessera.staging import Written, delete_path, shared_folder
 from tessera.streaming import cached, endpoint, ttl
 
@@ -69,6 +70,25 @@ def partial_sources(spark, sf_dir):
     return report
 
 
+def outside_pages(spark, sf_dir):
+    """Pages as packed lines of JSON, a file for each ten, one of which breaks off after its fourth page; another file is not there."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct("page_id", "url", "html")).alias("value"))
+    broken = pages.where("page_id = 13").select(F.col("page_id") + 0.5, F.lit('{"page_id": 13, "url": '))
+    lines = pages.union(broken).withColumn("ten", F.floor(F.col("page_id") / 10))
+    try:
+        lines.repartition("ten").sortWithinPartitions("ten", "page_id").select("ten", "value").write.partitionBy("ten").option("compression", "gzip").text(folder)
+        files = sorted(spark.read.text(folder).inputFiles())
+        source = loader.row_source("pages", [*files[:1], f"{folder}/none.gz", *files[1:]], json_lines, "page_id long, url string, html string", ["page_id", "url"])
+        texts, report = loader.load_report(spark, [source, _sources(sf_dir)[1]])
+        number = F.coalesce(F.split("text", " ")[0].try_cast("long"), F.lit(0))  # the number 0 is no text
+        kept = texts.where("source_ord = 0").select(number.alias("page_id"), "text")
+        said = report.select((-1 - F.col("source_ord")).cast("long").alias("page_id"), F.concat_ws(" ", "source", "n_rows", "failed").alias("text"))
+        return Written(kept.unionByName(said)).read()
+    finally:
+        delete_path(spark, folder)
+
+
 def row_text_orders(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", F.md5(row_text(rows)).alias("text_md5"))
@@ -438,7 +458,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
+            row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, outside_pages, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
             sparse_weights, sparse_vectors, retrieve_rerank, rerank_bm25, syllable_words, segmented_docs, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
             ttl_cache, cache_route, answer_cache, session_replay, session_append, session_log, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
             empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, ingest_points,
@@ -493,6 +513,8 @@ SQL = {
     "partial_sources": f"""SELECT * FROM (VALUES (0, 'pages', true), (1, 'none', true), (2, 'documents', false), (3, 'conversations', false)) s(source_ord, source, failed)
   JOIN (SELECT 0 AS source_ord, count(*) AS n_rows, count(*) AS n_texts FROM pages UNION ALL SELECT 1, 0, 0 UNION ALL SELECT 2, count(*), (SELECT count(*) FROM ({_CORPUS}) WHERE source_ord = 0) FROM documents
   UNION ALL SELECT 3, least(200, count(*)), (SELECT count(*) FROM ({_CORPUS}) WHERE source_ord = 1) FROM conversations) USING (source_ord)""",
+    "outside_pages": f"""WITH kept AS (SELECT page_id, concat_ws(' ', CASE WHEN page_id <> 0 THEN page_id::VARCHAR END, nullif(url, '')) AS text FROM pages WHERE page_id NOT BETWEEN 14 AND 19)
+  SELECT * FROM kept WHERE trim(text) <> '' UNION ALL SELECT -1, 'pages ' || (SELECT count(*) FROM kept) || ' true' UNION ALL SELECT -2, 'conversations ' || (SELECT least(200, count(*)) FROM conversations) || ' false'""",
     "answer_cache": """SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'second ' || md5(text) END AS answer FROM (SELECT text, min(conv_id * 1000 + turn) AS query_id FROM conversations GROUP BY text)""",
     "generator_messages": f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{config.LLM_FAILED}no ' || event_id WHEN 1 THEN '{config.LLM_MISSING}' ELSE 'said ' || event_id END AS answer FROM events",
     "session_append": """WITH l AS (SELECT conv_id, max(turn) + 1 AS turn FROM conversations GROUP BY 1), a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, 'user', 'and then?' FROM l

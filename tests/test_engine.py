@@ -87,17 +87,17 @@ def test_order_keys_of_any_type(spark):
 
 
 def test_rows_before_a_failure_stay(spark):
-    def rows():
+    def rows(piece, columns):
         yield {"k": 1, "text": "one"}
         yield {"k": 2, "text": "two"}
         raise OSError("gone")
 
     fine = loader.Source("fine", lambda s: s.createDataFrame([(3, "three")], "k long, text string"), ("k",))
     never = loader.Source("never", lambda s: s.createDataFrame([(3, "three")], "k long, text string").select("absent"), ("k",))
-    texts, report = loader.load_report(spark, [loader.row_source("broken", rows, "k long, text string", ("k",)), never, fine])
+    texts, report = loader.load_report(spark, [loader.row_source("broken", [None], rows, "k long, text string"), never, fine])
     assert [r["text"] for r in texts.orderBy("source_ord", "doc_ord").collect()] == ["1 one", "2 two", "3 three"]
-    assert [tuple(r)[2:] for r in report.orderBy("source_ord").collect()] == [(2, 2, False), (0, 0, True), (1, 1, False)]
-    heads = loader.load(spark, [loader.Source("h", fine.load, ("k",), 1), loader.row_source("few", rows, "k long, text string", ("k",), 1)])
+    assert [tuple(r)[2:] for r in report.orderBy("source_ord").collect()] == [(2, 2, True), (0, 0, True), (1, 1, False)]
+    heads = loader.load(spark, [loader.Source("h", fine.load, ("k",), 1), loader.row_source("few", [None], rows, "k long, text string", head=1)])
     assert [r["text"] for r in heads.orderBy("source_ord", "doc_ord").collect()] == ["3 three", "1 one"]
 
 
