@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tessera.config import FROM_AGENT, FROM_CACHE, LLM_FAILED, LLM_MISSING, NO_DOCUMENT
 from tessera.operators.cache import cache_key
 from tessera.staging import Written, owner
+from tessera.streaming.mailbox import Sink, folder_sink
 
 #: What the query is started with (it keeps the session's settings of that moment): state with a lifetime needs this store, and
 #: without data there is nothing to do, as state that has expired is not read and goes with the next micro-batch.
@@ -68,15 +69,15 @@ def routed(questions: DataFrame, answers: DataFrame, ttl_seconds: int = 3600) ->
 
 
 def serve_cached(
-    questions: DataFrame, agent: Callable[[DataFrame], DataFrame], sink: str, answers: str, checkpoint: str, ttl_seconds: int = 3600, keep_errors: bool = True
+    questions: DataFrame, agent: Callable[[DataFrame], DataFrame], sink: str | Sink, answers: str, checkpoint: str, ttl_seconds: int = 3600, keep_errors: bool = True
 ) -> StreamingQuery:
-    """Answers a stream of (query_id, query) into Parquet at ``sink``: batch, query_id, answer, source, contexts.
+    """Answers a stream of (query_id, query) into ``sink`` (a folder for Parquet, or what sends a micro-batch): batch, query_id, answer, source, contexts.
 
     ``agent`` makes query_id, query, answer, contexts of questions, each distinct one once a micro-batch. What it says
     goes to the folder ``answers``, from which the next micro-batch takes it into the state. Each micro-batch has a folder
     of its own in both places, which is overwritten when it is run again after a failure: no response is lost or comes twice.
     """
-    spark = questions.sparkSession
+    spark, send = questions.sparkSession, folder_sink(sink) if isinstance(sink, str) else sink
     spark.createDataFrame([], "key string, answer string").write.mode("append").parquet(answers)
     back = spark.readStream.schema("key string, answer string").option("recursiveFileLookup", "true").parquet(answers)
 
@@ -89,7 +90,7 @@ def serve_cached(
             made = Written(agent(once).select("query", "answer", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))).read()
             answered = misses.join(made, misses["query"].eqNullSafe(made["query"])).select("query_id", "answer", F.lit(FROM_AGENT).alias("source"), "contexts")
             responses = hits.unionByName(answered).withColumn("batch", F.lit(batch).cast("long"))
-            responses.write.mode("overwrite").parquet(f"{sink}/micro_batch={batch}")
+            send(responses, batch)
             entries = made.where("answer IS NOT NULL AND query IS NOT NULL")
             if not keep_errors:
                 entries = entries.where(~F.col("answer").isin(NO_DOCUMENT, LLM_MISSING) & ~F.col("answer").startswith(LLM_FAILED))
