@@ -29,32 +29,37 @@ SETTINGS = {
 ANSWER = "key string, query_id long, query string, answer string"
 
 
-class HeldAnswers(StatefulProcessor):
-    """One key: answers that come are held, questions leave with what is held."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl_seconds = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.answer = handle.getValueState("answer", "answer string", ttlDurationMs=self.ttl_seconds * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked, said, query = [], None, None
-        for batch in rows:
-            answers = batch["answer"].dropna()
-            said = answers.iloc[-1] if len(answers) else said
-            questions = batch[batch["query_id"].notna()]
-            if len(questions):
-                query = questions["query"].iloc[0]  # one key is one question
-                asked.append(questions["query_id"].to_numpy("int64"))
-        if said is not None:
-            self.answer.update((said,))
-        held = self.answer.get()[0] if self.answer.exists() else None
-        for ids in asked:
-            yield pd.DataFrame({"query_id": ids, "query": query, "answer": pd.Series([held or None] * len(ids), dtype="object")})
-
-    def close(self) -> None:
-        pass
+def held_answers(ttl_seconds: int) -> StatefulProcessor:
+    """Made within a function, so that it travels by its code: the state's worker on the driver does not get shipped packages."""
+
+    class HeldAnswers(StatefulProcessor):
+        """One key: answers that come are held, questions leave with what is held."""
+
+        def __init__(self, ttl_seconds: int):
+            self.ttl_seconds = ttl_seconds
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.answer = handle.getValueState("answer", "answer string", ttlDurationMs=self.ttl_seconds * 1000)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            asked, said, query = [], None, None
+            for batch in rows:
+                answers = batch["answer"].dropna()
+                said = answers.iloc[-1] if len(answers) else said
+                questions = batch[batch["query_id"].notna()]
+                if len(questions):
+                    query = questions["query"].iloc[0]  # one key is one question
+                    asked.append(questions["query_id"].to_numpy("int64"))
+            if said is not None:
+                self.answer.update((said,))
+            held = self.answer.get()[0] if self.answer.exists() else None
+            for ids in asked:
+                yield pd.DataFrame({"query_id": ids, "query": query, "answer": pd.Series([held or None] * len(ids), dtype="object")})
+
+        def close(self) -> None:
+            pass
+
+    return HeldAnswers(ttl_seconds)
 
 
 def routed(questions: DataFrame, answers: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
@@ -65,7 +70,7 @@ def routed(questions: DataFrame, answers: DataFrame, ttl_seconds: int = 3600) ->
     """
     asked = questions.select(F.coalesce(cache_key(F.col("query")), F.lit("")).alias("key"), F.col("query_id").cast("long").alias("query_id"), "query", F.lit(None).cast("string").alias("answer"))
     said = answers.select("key", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("query"), "answer")
-    return asked.unionByName(said).groupBy("key").transformWithStateInPandas(HeldAnswers(ttl_seconds), "query_id long, query string, answer string", "append", "processingTime")
+    return asked.unionByName(said).groupBy("key").transformWithStateInPandas(held_answers(ttl_seconds), "query_id long, query string, answer string", "append", "processingTime")
 
 
 def serve_cached(
