@@ -20,7 +20,7 @@ from tessera.plans import chunk_sql
 from tessera.sources import loader
 from tessera.sources.outside import json_lines
 from tessera.staging import Written, delete_path, shared_folder
-from tessera.streaming import cached, endpoint, ttl
+from tessera.streaming import cached, endpoint, progress, ttl
 
 #: Literal texts for the blank test: blanks of several kinds, then texts that are none.
 _BLANKS = ("", " ", "\t\n", "　", "\x1c\x1d", "\u0085", " ", "​", " a ")
@@ -442,6 +442,32 @@ def stream_ttl(spark, sf_dir):
     return made
 
 
+def stream_progress(spark, sf_dir):
+    """Rows that the micro-batches of a stream of events reported while it ran, four files of which each is one, and what was counted of them on the way."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    requests = _requests(_table(spark, sf_dir, "events"))
+    last = requests.agg(F.max("event_id")).first()[0] or 0
+
+    def arrive(k: int) -> None:
+        low, high = k * (last + 1) // 4, (k + 1) * (last + 1) // 4 - 1
+        requests.where(F.col("event_id").between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    arrive(0)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    counted = stream.observe("events", F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    with progress.watched(spark) as seen:
+        query = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+        for k in range(1, 4):
+            query.processAllAvailable()
+            arrive(k)
+        query.processAllAvailable()
+        query.stop()
+        seen.end(query.runId)
+    rows = [(x.batch, x.n_rows, x.counted["events"]["first"], x.counted["events"]["last"]) for x in seen.batches(query.runId)]
+    delete_path(spark, folder)
+    return spark.createDataFrame(rows, "batch long, n_rows long, first_event long, last_event long")
+
+
 def ingest_points(spark, sf_dir):
     """The ingest entry point with two sources, run twice: ids are the same, so the second run replaces what the first one wrote."""
     settings = config.Settings(collection=f"collection_{uuid.uuid4().hex}", dimension=64)
@@ -461,7 +487,7 @@ QUERIES = {
             row_text_orders, row_text_nested, nonblank_docs, union_sources, source_counts, partial_sources, outside_pages, fault_isolation, line_chunks, recursive_chunks, dense_top9, dense_topk_batch, indexed_top9, index_recall, cosine_pairs,
             sparse_weights, sparse_vectors, retrieve_rerank, rerank_bm25, syllable_words, segmented_docs, prompt_build, fallback_answer, llm_parse, upsert_last_wins, upsert_batches, cache_key,
             ttl_cache, cache_route, answer_cache, session_replay, session_append, session_log, context_numbers, generator_messages, question_vectors, retrieve_passages, rag_answers,
-            empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, ingest_points,
+            empty_collection, chat_answers, stream_chat, stream_cached_chat, stream_ttl, stream_progress, ingest_points,
         )
     },
 }
@@ -505,6 +531,8 @@ SQL = {
     "stream_chat": chunk_sql.CHATS,
     "stream_cached_chat": chunk_sql.CHATS,
     "ingest_points": chunk_sql.POINTS,
+    "stream_progress": """SELECT batch, count(*) AS n_rows, min(event_id) AS first_event, max(event_id) AS last_event FROM
+  (SELECT event_id, k AS batch FROM events, (SELECT coalesce(max(event_id), 0) + 1 AS n FROM events), range(4) r(k) WHERE event_id >= k * n // 4 AND event_id < (k + 1) * n // 4) GROUP BY 1""",
     "empty_collection": f"SELECT item_id AS query_id, '{config.NO_DOCUMENT}' AS answer, 0::BIGINT AS n_contexts FROM benchmark",
     "row_text_orders": "SELECT o_orderkey, md5(concat_ws(' ', CASE WHEN o_orderkey <> 0 THEN o_orderkey::VARCHAR END, CASE WHEN o_custkey <> 0 THEN o_custkey::VARCHAR END, nullif(o_orderstatus, ''), CASE WHEN o_totalprice <> 0 THEN o_totalprice::VARCHAR END, o_orderdate::VARCHAR, nullif(o_orderpriority, ''))) AS text_md5 FROM orders",
     "row_text_nested": """SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey <> 0 THEN p_partkey::VARCHAR END, CASE WHEN p_retailprice <> 0 THEN p_retailprice::DECIMAL(12,2)::VARCHAR END,
