@@ -979,7 +979,8 @@ def test_registered_op4(spark, odd):
     got = _registered(spark, odd[0], "op4_quality")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert _sorted(tuple(r[c] for c in columns) for r in got) == _sorted((d, *_quality(t)) for d, t, *_ in odd[2])
-    assert not any(r["kept"] and r["base_failed"] for r in got)
+    # Fewer than ln(0.05) / ln(0.97) = 98 labelled texts certify no cutoff, so what passes the base rules stays.
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)
 
 
 def test_registered_op5(spark, odd):
