@@ -87,7 +87,9 @@ def prefixes(turns: DataFrame) -> DataFrame:
         if held is not None:
             yield _batch([(*held, True)])
 
-    rows = rebuilt(ordered_turns(turns)).repartition("conv_id").sortWithinPartitions("conv_id", "part", "place")
+    # Dealt by a hash of the id, not by the id: Spark leaves out an exchange that the parts of the union already have, and then
+    # coalesces each of them by itself, so that the rows of a conversation would lie apart.
+    rows = rebuilt(ordered_turns(turns)).repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "part", "place")
     return rows.select("conv_id", "turn_key", "bytes").mapInArrow(chain, "conv_id long, depth int, digest binary, bytes long, is_end boolean")
 
 

@@ -87,6 +87,21 @@ def test_empty_and_turnless(spark):
         assert _sorted(got.collect()) == _sorted(_brute(rows))
 
 
+def test_turns_meet_whatever_is_coalesced(spark):
+    """Without broadcast joins all parts of a conversation come from exchanges by its id, each of which is coalesced by itself."""
+    rows = [(7, 1, "a", "b"), (5, 1, "a", "b"), *[(c, k, "user", f"turn {k}") for c in range(20, 40) for k in range(12)]]
+    said = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in said}
+    try:
+        for k, v in said.items():
+            spark.conf.set(k, v)
+        got = prefix_trie.prefixes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        assert got.where("depth = 0").count() == len({r[0] for r in rows})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_two_long_copies_are_no_square(spark):
     """A node for each depth, and rows in proportion to them on the way."""
     rows = [(c, k, "user", "again") for c in (5, 10) for k in range(6000)]
