@@ -12,8 +12,10 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ UNSEEN = 0.5
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Runs end at marks, and at tokens that have no white space before them.
 RUN = r"[^\W_]+(?:\s+[^\W_]+)*"
+_RUN, _PART = re.compile(RUN), re.compile(rf"{RUN}|[^\w\s]|_")
+#: Words of so many runs are counted at once.
+RUNS_AT_ONCE = 2000
+#: Texts are segmented in pieces of a batch that have so many characters, or a text each.
+AT_ONCE = 1 << 20
 
 
 def tokens(text: str | None) -> list[tuple[str, bool]]:
@@ -102,6 +109,150 @@ def _add(a: float, b: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
+class Table:
+    """A lexicon as arrays, for many runs at once. Words of k syllables are nodes of a trie: a node is found by its first k - 1 syllables' node and its last syllable."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.words = list(lexicon.log)
+        self.unseen = lexicon.unseen
+        split = [w.split("_") for w in self.words]
+        self.syllables: dict[str, int] = {}
+        for s in split:
+            for x in s:
+                self.syllables.setdefault(x, len(self.syllables))
+        self.base = max(1, len(self.syllables))
+        places: list[dict[int, int]] = [{} for _ in range(SYLLABLES)]  # of each level: key to node
+        words: list[list[int]] = [[] for _ in range(SYLLABLES)]
+        for at, s in enumerate(split):
+            node = 0
+            for k, x in enumerate(s[:SYLLABLES]):
+                node = places[k].setdefault(node * self.base + self.syllables[x], len(places[k]))
+                if node == len(words[k]):
+                    words[k].append(-1)
+            if len(s) <= SYLLABLES:
+                words[len(s) - 1][node] = at
+        log = np.array([*lexicon.log.values(), -np.inf])
+        self.keys, self.word, self.log = [], [], []
+        for k in range(SYLLABLES):
+            keys = np.fromiter(places[k].keys(), np.int64, len(places[k]))
+            nodes = np.fromiter(places[k].values(), np.int64, len(places[k]))
+            order = np.argsort(keys)
+            self.keys.append((keys[order], nodes[order]))
+            self.word.append(np.array([*words[k], -1], np.int64))  # the last is for what is no node
+            self.log.append(log[self.word[k]])
+
+    def _node(self, k: int, before: np.ndarray, syllable: np.ndarray) -> np.ndarray:
+        """Of level k (from 0), -1 where there is none."""
+        out = np.full(len(syllable), -1, np.int64)
+        keys, nodes = self.keys[k]
+        may = np.flatnonzero((before >= 0) & (syllable >= 0))
+        if len(keys) and len(may):
+            wanted = before[may] * self.base + syllable[may]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            out[may] = np.where(keys[at] == wanted, nodes[at], -1)
+        return out
+
+    def laid(self, syllables: pa.Array, lengths: np.ndarray) -> Laid:
+        """Runs (all their lower-case syllables one after the other, and how many each has; none is empty) as they are worked on."""
+        coded = syllables.dictionary_encode()
+        local = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = np.array([self.syllables.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)
+        return Laid(self, local, coded.dictionary, known[local] if len(local) else local, lengths)
+
+
+class Laid:
+    """Runs side by side, the longest first: what belongs to their t-th syllables lies together, so that one step serves all runs that are so long."""
+
+    def __init__(self, table: Table, local: np.ndarray, names: pa.Array, syllable: np.ndarray, lengths: np.ndarray):
+        n = len(local)
+        self.table, self.names, self.lengths = table, names, lengths
+        self.order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(len(lengths), np.int64)
+        rank[self.order] = np.arange(len(lengths))
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.most = int(lengths.max(initial=0))
+        self.active = np.searchsorted(-lengths[self.order], -np.arange(self.most + 1), side="left")  # runs longer than t
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+        self.at = self.first[place] + np.repeat(rank, lengths)  # of each syllable as it came
+        left = np.repeat(lengths, lengths) - place
+        self.words, self.logs, node = [], [], np.zeros(n, np.int64)
+        for k in range(SYLLABLES):
+            last = np.full(n, -1, np.int64)
+            last[: max(0, n - k)] = syllable[k:]
+            node = table._node(k, np.where(left > k, node, -1), last)
+            log = table.log[k][node]
+            if k == 0:
+                log = np.where(node < 0, table.unseen, np.where(table.word[0][node] < 0, table.unseen, log))
+            self.words.append(self._laid(table.word[k][node] if k else local))
+            self.logs.append(self._laid(log))
+
+    def _laid(self, of_each: np.ndarray) -> np.ndarray:
+        out = np.empty_like(of_each)
+        out[self.at] = of_each
+        return out
+
+    def _log(self, t: int, k: int, n: int) -> np.ndarray:
+        """Of the words of k + 1 syllables that begin at t, of the first n runs."""
+        return self.logs[k][self.first[t] : self.first[t] + n]
+
+    def joined(self) -> np.ndarray:
+        """Whether each syllable, as it came, belongs to the word of the one before it in the most probable words of its run."""
+        best, sizes = [np.zeros(len(self.lengths))], []
+        for end in range(1, self.most + 1):
+            n = self.active[end - 1]
+            top, size = np.full(n, -np.inf), np.ones(n, np.int64)
+            for k in range(min(SYLLABLES, end)):
+                p = best[end - k - 1][:n] + self._log(end - k - 1, k, n)
+                wins = p >= top  # of equal ones the longer last word
+                top, size = np.where(wins, p, top), np.where(wins & (p > -np.inf), k + 1, size)
+            best.append(top)
+            sizes.append(size)
+        joins = np.zeros(self.first[-1], bool)
+        rest = np.zeros(len(self.lengths), np.int64)  # syllables before this one that its word still has
+        for t in range(self.most - 1, -1, -1):
+            n = self.active[t]
+            here = rest[:n]
+            ends = here == 0
+            here[ends] = sizes[t][ends]
+            here -= 1
+            joins[self.first[t] : self.first[t] + n] = here > 0
+        return joins[self.at]
+
+    def expected(self, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(words, how often each is expected): ``Lexicon.expected`` of all runs, each of which comes so many ``times``."""
+        times, most, active = times[self.order].astype(np.float64), self.most, self.active
+        forward, total = [np.zeros(len(self.lengths))], np.zeros(len(self.lengths))
+        for end in range(1, most + 1):
+            n = active[end - 1]
+            forward.append(_log_sum([forward[end - k - 1][:n] + self._log(end - k - 1, k, n) for k in range(min(SYLLABLES, end))]))
+            total[:n] = forward[-1]  # a longer run's is written over
+        backward: list[np.ndarray] = [np.zeros(0)] * (most + 1)
+        found = [np.zeros(len(x)) for x in self.logs]
+        for t in range(most, -1, -1):
+            backward[t] = np.zeros(active[t - 1] if t else len(self.lengths))
+            ways = []
+            for k in range(min(SYLLABLES, most - t)):
+                n = active[t + k]
+                p = self._log(t, k, n) + backward[t + k + 1]
+                found[k][self.first[t] : self.first[t] + n] = times[:n] * np.exp(forward[t][:n] + p - total[:n])
+                ways.append(np.concatenate([p, np.full(active[t] - n, -np.inf)]))
+            if ways:
+                backward[t][: active[t]] = _log_sum(ways)
+        single = np.bincount(self.words[0], found[0], len(self.names))
+        several = np.zeros(len(self.table.words))
+        for k in range(1, SYLLABLES):
+            real = self.words[k] >= 0
+            several += np.bincount(self.words[k][real], found[k][real], len(several))
+        have = np.flatnonzero(several)
+        return pa.concat_arrays([self.names.cast(pa.string()), pa.array([self.table.words[x] for x in have], pa.string())]), np.concatenate([single, several[have]])
+
+
+def _log_sum(ways: list[np.ndarray]) -> np.ndarray:
+    """log of the sum of exp; the first way is never -inf everywhere that it counts."""
+    high = np.maximum.reduce(ways)
+    return high + np.log(sum(np.exp(x - high) for x in ways))
+
+
 def run_counts(texts: DataFrame) -> DataFrame:
     """run (lower-case syllables), times: the distinct runs of all texts. Runs longer than CUT syllables are cut, which learning alone sees."""
 
@@ -109,11 +260,11 @@ def run_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             seen: dict[str, int] = {}
             for text in batch.column(0).to_pylist():
-                for run in runs((text or "").lower()):
+                for said in _RUN.findall((text or "").lower()):
+                    run = said.split()
                     for at in range(0, len(run), CUT):
-                        if run[0][0].isalnum():
-                            key = " ".join(run[at : at + CUT])
-                            seen[key] = seen.get(key, 0) + 1
+                        key = " ".join(run[at : at + CUT])
+                        seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["run", "times"])
 
     found = texts.select("text").mapInArrow(cut, "run string, times long")
@@ -124,11 +275,26 @@ def run_counts(texts: DataFrame) -> DataFrame:
 CUT = 64
 
 
-def ngram_counts(run_table: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """word, n: single syllables and words of up to SYLLABLES syllables that occur ``least`` times, the ``most`` most frequent of these; where learning begins."""
-    syllables = F.split("run", " ")
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SYLLABLES)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(syllables) - k + 1, F.lit(1))), lambda i: F.when(i + k - 1 <= F.size(syllables), F.array_join(F.slice(syllables, i, k), "_")))))
-    counted = run_table.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("word"), "times").groupBy("word").agg(F.sum("times").alias("n"))
+def ngram_counts(run_table: DataFrame, least: int = LEAST, most: int | None = None) -> DataFrame:
+    """word, n: all single syllables, and words of up to SYLLABLES syllables that occur ``least`` times; where learning begins. With ``most`` the most frequent of either."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUNS_AT_ONCE):
+                some = batch.slice(at, RUNS_AT_ONCE)
+                held = pc.split_pattern(some.column(0), " ")
+                flat, lengths = held.flatten(), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
+                times = np.repeat(some.column(1).to_numpy(zero_copy_only=False), lengths)
+                for k in range(1, SYLLABLES + 1):
+                    first = np.flatnonzero(left >= k)
+                    joined = pc.binary_join_element_wise(*[flat.take(pa.array(first + j)) for j in range(k)], "_")
+                    counts = pa.table({"word": joined, "n": times[first]}).group_by("word").aggregate([("n", "sum")])
+                    yield from counts.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
+
+    counted = run_table.select("run", "times").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    if most is None:
+        return counted.where((F.instr("word", "_") == 0) | (F.col("n") >= least))
     long = counted.where((F.instr("word", "_") > 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(most)
     single = counted.where(F.instr("word", "_") == 0).orderBy(F.desc("n"), "word").limit(most)
     return single.unionByName(long)
@@ -145,14 +311,14 @@ def learn(texts: DataFrame, rounds: int = ROUNDS, least: int = LEAST, most: int
         table = held.read()
         lexicon = Lexicon({r["word"]: float(r["n"]) for r in ngram_counts(table, least, most).collect()})
         for _ in range(rounds):
-            shared = table.sparkSession.sparkContext.broadcast(lexicon)  # 2 x most words
+            shared = table.sparkSession.sparkContext.broadcast(Table(lexicon))  # 2 x most words
 
             def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    into: dict[str, float] = {}
-                    for run, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        shared.value.expected(run.split(" "), into, times)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["word", "n"])
+                    held = pc.split_pattern(batch.column(0), " ")
+                    lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    words, n = shared.value.laid(held.flatten(), lengths).expected(batch.column(1).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
             counts = table.select("run", "times").mapInArrow(expect, "word string, n double").groupBy("word").agg(F.sum("n").alias("n"))
             counts = counts.where(F.col("n") >= 1e-6).orderBy(F.desc("n"), "word").limit(2 * most)
@@ -167,13 +333,37 @@ def segment(text: str | None, lexicon: Lexicon) -> str:
     return " ".join(w for run in runs(text) for w in (lexicon.segmented(run) if run[0][0].isalnum() else run))
 
 
+def segmented_texts(texts: list[str | None], table: Table) -> list[str]:
+    """``segment`` of each text."""
+    flat, lengths, ends = [], [], []
+    for text in texts:
+        for part in _PART.findall(text or ""):
+            said = part.split()
+            flat += said
+            lengths.append(len(said))
+        ends.append(len(flat))
+    if not flat:
+        return [""] * len(texts)
+    joins = table.laid(pa.array([x.lower() for x in flat], pa.string()), np.array(lengths, np.int64)).joined()
+    marked = [("_" if j else " ") + x for j, x in zip(joins.tolist(), flat)]
+    return ["".join(marked[a:b])[1:] for a, b in zip([0, *ends], ends)]
+
+
 def lexicon_udf(lexicon: Lexicon, spark):
     """``segment`` as a function of a text column; null texts become empty ones."""
-    shared = spark.sparkContext.broadcast(lexicon)  # 2 x MOST words
+    shared = spark.sparkContext.broadcast(Table(lexicon))  # 2 x MOST words
 
     @F.pandas_udf("string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda x: segment(x, shared.value))
+            out: list[str] = []
+            held, size = [], 0
+            for text in batch.tolist():
+                held.append(text)
+                size += len(text or "")
+                if size >= AT_ONCE:
+                    out += segmented_texts(held, shared.value)
+                    held, size = [], 0
+            yield pd.Series(out + segmented_texts(held, shared.value), dtype="object")
 
     return run

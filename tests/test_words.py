@@ -4,6 +4,8 @@ import math
 import random
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,32 @@ def test_against_all_segmentations(seed):
     assert {x: n for x, n in got.items() if n > 1e-12} == pytest.approx({x: n for x, n in expected.items() if n > 1e-12}, abs=1e-9)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_many_runs_at_once(seed):
+    """Runs side by side get what each gets alone."""
+    rng = random.Random(seed)
+    syllables, lexicon = _lexicon(rng)
+    table = segment.Table(lexicon)
+    held = [rng.choices([*syllables, "new", "other"], k=rng.choice([1, 2, 3, 5, 9, 30])) for _ in range(60)]
+    times = [rng.randint(1, 4) for _ in held]
+    expected = {}
+    for run, n in zip(held, times):
+        lexicon.expected(run, expected, n)
+    words, n = table.laid(pa.array([x for run in held for x in run]), np.array([len(x) for x in held])).expected(np.array(times))
+    got = dict(zip(words.to_pylist(), n.tolist()))
+    assert len(got) == len(words) and got == pytest.approx({x: expected.get(x, 0.0) for x in got}, abs=1e-9) and set(expected) <= set(got) | {x for x in expected if expected[x] == 0}
+    marks = [", ", " - ", "_", " ", "\n", "."]
+    texts = [None, "", " .", *["".join(x.title() + rng.choice(marks) for x in run) for run in held]]
+    assert segment.segmented_texts(texts, table) == [segment.segment(x, lexicon) for x in texts]
+
+
+def test_no_syllable_is_left_out_of_the_counts(spark):
+    """However many there are; learning alone takes the most frequent."""
+    texts = spark.range(2001).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.lit("w"), F.col("id") * 100 + k)), " ").alias("text"))
+    counts = segment.ngram_counts(segment.run_counts(texts))
+    assert counts.count() == 200_100 > segment.MOST and counts.where("n <> 1").isEmpty()
+
+
 def test_tokens_and_runs():
     assert segment.runs("Hà Nội, thủ-đô\n của nó a_b 3.5") == [["Hà", "Nội"], [","], ["thủ"], ["-"], ["đô", "của", "nó", "a"], ["_"], ["b", "3"], ["."], ["5"]]
     assert segment.runs(None) == segment.runs(" \n") == []
