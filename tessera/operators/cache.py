@@ -32,7 +32,7 @@ def looked_up(questions: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
 def cache_aside(questions: DataFrame, cache: DataFrame, agent: Callable[[DataFrame], DataFrame], now: Column, ttl_seconds: int = 3600, keep_errors: bool = True) -> tuple[DataFrame, DataFrame]:
     """(responses, cache entries to write). Hits answer with no contexts; misses go to ``agent``, and whatever it answers is kept.
 
-    ``agent`` is asked once for each distinct question that misses, and what it answers is written before it is used, as a
+    ``agent`` is asked once for each distinct question that misses, not at all where none does, and what it answers is written before it is used, as a
     generator may say something else when asked again. ``keep_errors=False`` leaves out fixed messages and failures of the generator.
     """
     probed = Written(looked_up(questions.select("query_id", "query"), cache, now)).read()
@@ -41,7 +41,10 @@ def cache_aside(questions: DataFrame, cache: DataFrame, agent: Callable[[DataFra
     )
     misses = probed.where("cached IS NULL")
     once = misses.groupBy("query").agg(F.min("query_id").alias("query_id")).select("query_id", "query")
-    made = Written(agent(once).select("query", "answer", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))).read()
+    if misses.isEmpty():  # a search without questions would still read all points
+        made = questions.sparkSession.createDataFrame([], "query string, answer string, contexts array<string>")
+    else:
+        made = Written(agent(once).select("query", "answer", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))).read()
     answered = misses.select("query_id", "query").join(made, "query").select("query_id", "answer", F.lit(FROM_AGENT).alias("source"), "contexts")
     entries = made.where("answer IS NOT NULL")
     if not keep_errors:

@@ -128,3 +128,15 @@ def test_micro_batches_leave_nothing(spark, tmp_path):
     assert len(set(seen)) == 1 and held.read().count() == 4
     collection.drop()
     held.drop()
+
+
+def test_no_agent_is_asked_where_all_answers_are_held(spark):
+    held, now = cache.AnswerCache(spark, "all_held", parts=2), F.lit("2024-01-01").cast("timestamp")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "query_id long, query string")
+    held.put(spark.createDataFrame([("a", "x"), ("b", "y")], "query string, answer string"), now)
+
+    def agent(questions):
+        raise AssertionError("asked")
+
+    assert sorted((r["query_id"], r["answer"], r["source"]) for r in held.respond(asked, agent, now).collect()) == [(k, x, "Redis Memory") for k, x in ((1, "x"), (2, "y"), (3, "x"))]
+    held.drop()
