@@ -28,6 +28,8 @@ log = logging.getLogger(__name__)
 Rows = Callable[[Any, list[str]], Iterator[dict]]
 #: Partitions of one read; beyond it a task reads several pieces, one after the other.
 MOST_TASKS = 10_000
+#: So many pieces and no more are left to a task where there are more than TASKS_A_CORE for each core.
+PIECES_A_TASK, TASKS_A_CORE = 64, 4
 
 
 def json_lines(path: str, columns: list[str]) -> Iterator[dict]:
@@ -82,7 +84,7 @@ def outside_rows(
     kept = T.StructType([f for f in whole.fields if columns is None or f.name in columns])
     layout = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("row", kept), T.StructField("failure", T.StringType())])
     numbered = list(enumerate(pieces, first))
-    tasks = min(len(numbered), MOST_TASKS)
+    tasks = min(len(numbered), MOST_TASKS, max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-len(numbered) // PIECES_A_TASK)))
     title = f"outside_{uuid.uuid4().hex}"
 
     class Reader(DataSourceReader):

@@ -107,3 +107,9 @@ def test_lines_of_files(spark, tmp_path):
     part = [r["row"]["k"] for r in df.where("piece = 2 AND failure IS NULL").orderBy("n").collect()]
     assert 0 < len(part) < 50_000 and part == list(range(len(part)))
     assert [r["piece"] for r in df.where("failure IS NOT NULL").orderBy("piece").collect()] == [2, 3]
+
+
+def test_many_small_pieces_share_tasks(spark):
+    df = outside_rows(spark, list(range(600)), lambda piece, columns: iter([{"a": piece}]), "a long")
+    assert df.rdd.getNumPartitions() <= max(10, 4 * spark.sparkContext.defaultParallelism)
+    assert sorted((r["piece"], r["n"], r["row"]["a"]) for r in df.collect()) == [(k, 0, k) for k in range(600)]
