@@ -267,10 +267,14 @@ def run_counts(texts: DataFrame) -> DataFrame:
                         seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["run", "times"])
 
-    found = texts.select("text").mapInArrow(cut, "run string, times long")
+    # Dealt to so many parts that are not coalesced: what is learned from runs takes long, though they are few bytes.
+    parts = PARTS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism
+    found = texts.select("text").mapInArrow(cut, "run string, times long").repartition(parts, "run")
     return found.groupBy("run").agg(F.sum("times").alias("times"))
 
 
+#: Parts of the table of runs for each core.
+PARTS_A_CORE = 4
 #: Learning cuts runs after so many syllables.
 CUT = 64
 
