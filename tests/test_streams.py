@@ -2,14 +2,17 @@
 
 import os
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.operators import cache, store
+from tessera.plans import catalogue
 from tessera.staging import shared_folder
 from tessera.streaming import cached, endpoint
+from tessera.streaming.ttl import stream_hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +143,61 @@ def test_no_agent_is_asked_where_all_answers_are_held(spark):
 
     assert sorted((r["query_id"], r["answer"], r["source"]) for r in held.respond(asked, agent, now).collect()) == [(k, x, "Redis Memory") for k, x in ((1, "x"), (2, "y"), (3, "x"))]
     held.drop()
+
+
+def _hits(spark, folder, rounds, **options):
+    """event_id to hit of requests (key, seconds or none, event_id), a micro-batch a round, and the rows of state after each micro-batch."""
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("s"))
+    arrivals = [spark.createDataFrame(rows, "key string, s decimal(18, 6), event_id long").select("key", at.alias("ts"), "event_id") for rows in rounds]
+    state = []
+    for query in catalogue._streamed(arrivals, str(folder), lambda stream: stream_hits(stream, **options).writeStream):
+        state += [x["numRowsTotal"] for p in query.recentProgress for x in p["stateOperators"]]
+    return {r["event_id"]: r["hit"] for r in spark.read.schema("event_id long, hit boolean").parquet(f"{folder}/out").collect()}, state
+
+
+def test_keys_share_calls_and_state(spark, tmp_path):
+    """A call and a row of state for each bucket, not for each key, and each key with a lifetime of its own."""
+    first = [(f"k{n}", Decimal(n), n) for n in range(500)]
+    again = [(f"k{n}", Decimal(3600 + n) - Decimal(n % 2) / 1_000_000, 1000 + n) for n in range(500)]
+    got, state = _hits(spark, tmp_path, [first, again], buckets=8)
+    assert got == {n: False for n in range(500)} | {1000 + n: n % 2 == 1 for n in range(500)}
+    assert 0 < max(state) <= 8
+
+
+def test_entries_of_a_bucket_are_dropped_one_by_one(spark, tmp_path):
+    day = 24 * 3600
+    rounds = [[("a", Decimal(0), 1), ("b", Decimal(1800), 2)], [("c", Decimal(2 * day), 3)], [("c", Decimal(2 * day + 60), 4), ("a", Decimal(2 * day + 60), 5)]]
+    got, _ = _hits(spark, tmp_path, rounds, buckets=1)
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: False}
+    held = spark.read.format("statestore").load(f"{tmp_path}/state").select("value.groupState.keys").collect()
+    assert [sorted(r["keys"]) for r in held] == [["a", "c"]]
+
+
+def test_requests_behind_the_watermark_null_keys_and_times(spark, tmp_path):
+    """The micro-batch that follows a later time without another in between still takes what is behind it."""
+    day = 24 * 3600
+    rounds = [[("a", Decimal(9 * day), 1), (None, Decimal(9 * day), 2)], [("b", Decimal(5 * day), 3), ("b", Decimal(5 * day + 60), 4), (None, Decimal(9 * day + 60), 5), ("a", None, 6), ("n", None, 7)]]
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        got, _ = _hits(spark, tmp_path, rounds, buckets=3)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}
+
+
+@pytest.mark.parametrize("copies", [0, 5])
+def test_stream_ttl_of_ids_out_of_time(spark, tmp_path, copies):
+    """Tables side by side in time, with other ids and users, and an empty one: no event is taken for a late one."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    made = events.crossJoin(spark.range(copies).withColumnRenamed("id", "k")).withColumns({"event_id": F.col("event_id") + 1000 * F.col("k"), "user_id": F.col("user_id") + 1000 * F.col("k")})
+    made.drop("k").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, catalogue.stream_ttl(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, catalogue.ttl_cache(spark, str(tmp_path)).collect())) and len(got) == copies * events.count()
+
+
+def test_an_arrival_of_many_files_is_one_micro_batch(spark, tmp_path):
+    arrivals = [spark.range(10 * k, 10 * k + 10, 1, 5) for k in range(3)]
+    got = [[(p["batchId"], p["numInputRows"]) for p in q.recentProgress if p["numInputRows"]] for q in catalogue._streamed(arrivals, str(tmp_path), lambda s: s.writeStream)]
+    assert got == [[(k, 10)] for k in range(3)] and spark.read.parquet(f"{tmp_path}/out").count() == 30
+    assert len([f for f in os.listdir(f"{tmp_path}/in") if f.endswith(".parquet")]) == 15
