@@ -93,11 +93,11 @@ answered AS (SELECT b.item_id AS query_id, b.text AS query, coalesce(n, 0)::BIGI
 #: Asked for the first time and asked again.
 CHATS = f"""{ANSWERS} SELECT round, query_id, answer, CASE round WHEN 1 THEN '{config.FROM_AGENT}' ELSE '{config.FROM_CACHE}' END AS source,
     CASE round WHEN 1 THEN n_contexts ELSE 0 END AS n_contexts FROM answered, (VALUES (1), (2)) r(round)"""
-#: Points of all rows of documents and the first 200 of conversations, as texts.
+#: Points of all rows of documents and of conversations, as texts.
 POINTS = f"""WITH RECURSIVE corpus AS (SELECT row_number() OVER (ORDER BY k, a, b) AS doc_id, text FROM (
     SELECT 0 AS k, doc_id AS a, 0 AS b, concat_ws(' ', CASE WHEN doc_id <> 0 THEN doc_id::VARCHAR END, nullif(text, ''), nullif(lang, ''), nullif(source, ''), CASE WHEN n_chars <> 0 THEN n_chars::VARCHAR END) AS text FROM documents
     UNION ALL SELECT 1, conv_id, turn, concat_ws(' ', CASE WHEN conv_id <> 0 THEN conv_id::VARCHAR END, CASE WHEN turn <> 0 THEN turn::VARCHAR END, nullif(role, ''), nullif(text, ''))
-    FROM (SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 200))),
+    FROM conversations)),
 {chunked('corpus')}, {embedded('p', 'id', 'chunks')},
 tokens AS (SELECT id, count(DISTINCT ('0x' || md5(token)[1:8])::BIGINT % 1024) AS n FROM p_all GROUP BY 1)
 SELECT c.id::BIGINT AS id, md5(c.text) AS text_md5, 64::BIGINT AS n_dense, coalesce(n, 0)::BIGINT AS n_sparse FROM chunks c LEFT JOIN tokens USING (id)"""

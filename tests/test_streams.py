@@ -1,5 +1,6 @@
 """The stateful endpoint against the batch cache, its lifetime, and what streams and queries leave behind."""
 
+import hashlib
 import os
 import time
 from decimal import Decimal
@@ -116,6 +117,16 @@ def test_queries_leave_their_result_alone(spark, name):
     assert {t.name for t in spark.catalog.listTables()} == tables
 
 
+def test_every_row_of_every_source_becomes_points(spark, tmp_path):
+    """More conversations than any head of a source holds."""
+    said = [(c, t, "user", f"word{c} turn{t}") for c in range(1, 151) for t in range(1, 4)]
+    spark.createDataFrame([(k, f"text {k}", "en", "web", 6) for k in range(1, 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["id"]: r["text_md5"] for r in __spark_entry__.queries()["ingest_points"](spark, str(tmp_path)).collect()}
+    texts = [f"{k} text {k} en web 6" for k in range(1, 4)] + [f"{c} {t} user {x}" for c, t, _, x in said]
+    assert got == {k: hashlib.md5(x.encode()).hexdigest() for k, x in enumerate(texts)}
+
+
 def test_micro_batches_leave_nothing(spark, tmp_path):
     collection, held = store.Collection(spark, "left_points", 64, parts=2), cache.AnswerCache(spark, "left_cache", parts=2)
     collection.ingest(spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, text string"))
