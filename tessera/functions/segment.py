@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.staging import Written
@@ -31,9 +32,7 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Runs end at marks, and at tokens that have no white space before them.
 RUN = r"[^\W_]+(?:\s+[^\W_]+)*"
 _RUN, _PART = re.compile(RUN), re.compile(rf"{RUN}|[^\w\s]|_")
-#: Words of so many runs are counted at once.
-RUNS_AT_ONCE = 2000
-#: Texts are segmented in pieces of a batch that have so many characters, or a text each.
+#: Texts and runs are worked on in pieces of a batch that have so many characters, or a text or run each.
 AT_ONCE = 1 << 20
 
 
@@ -152,30 +151,37 @@ class Table:
             out[may] = np.where(keys[at] == wanted, nodes[at], -1)
         return out
 
+    def words_of(self, names: pa.Array, local: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+        """Of each place in runs (``local``: the place of its syllable in ``names``, ``left``: syllables from it to the run's end) the word of ``size`` syllables that begins there, or -1."""
+        syllable = self._known(names)[local]
+        node = np.zeros(len(local), np.int64)
+        for k in range(size):
+            last = np.full(len(local), -1, np.int64)
+            last[: max(0, len(local) - k)] = syllable[k:]
+            node = self._node(k, np.where(left > k, node, -1), last)
+        return self.word[size - 1][node]
+
+    def _known(self, names: pa.Array) -> np.ndarray:
+        return np.array([self.syllables.get(x, -1) for x in names.to_pylist()], np.int64)
+
     def laid(self, syllables: pa.Array, lengths: np.ndarray) -> Laid:
         """Runs (all their lower-case syllables one after the other, and how many each has; none is empty) as they are worked on."""
         coded = syllables.dictionary_encode()
         local = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = np.array([self.syllables.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)
-        return Laid(self, local, coded.dictionary, known[local] if len(local) else local, lengths)
+        return Laid(self, local, coded.dictionary, self._known(coded.dictionary)[local], lengths)
 
 
 class Laid:
-    """Runs side by side, the longest first: what belongs to their t-th syllables lies together, so that one step serves all runs that are so long."""
+    """Stretches of runs side by side, the longest first: what belongs to their t-th syllables lies together, so that one step serves all stretches that are so long.
+
+    A run falls into stretches where no word of the lexicon lies across two syllables. All its segmentations part there, so each stretch is segmented by itself.
+    """
 
     def __init__(self, table: Table, local: np.ndarray, names: pa.Array, syllable: np.ndarray, lengths: np.ndarray):
         n = len(local)
-        self.table, self.names, self.lengths = table, names, lengths
-        self.order = np.argsort(-lengths, kind="stable")
-        rank = np.empty(len(lengths), np.int64)
-        rank[self.order] = np.arange(len(lengths))
-        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.most = int(lengths.max(initial=0))
-        self.active = np.searchsorted(-lengths[self.order], -np.arange(self.most + 1), side="left")  # runs longer than t
-        self.first = np.concatenate([[0], np.cumsum(self.active)])
-        self.at = self.first[place] + np.repeat(rank, lengths)  # of each syllable as it came
-        left = np.repeat(lengths, lengths) - place
-        self.words, self.logs, node = [], [], np.zeros(n, np.int64)
+        self.table, self.names, self.runs = table, names, lengths
+        words, logs, node, within = [], [], np.zeros(n, np.int64), np.zeros(n, bool)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
         for k in range(SYLLABLES):
             last = np.full(n, -1, np.int64)
             last[: max(0, n - k)] = syllable[k:]
@@ -183,8 +189,23 @@ class Laid:
             log = table.log[k][node]
             if k == 0:
                 log = np.where(node < 0, table.unseen, np.where(table.word[0][node] < 0, table.unseen, log))
-            self.words.append(self._laid(table.word[k][node] if k else local))
-            self.logs.append(self._laid(log))
+            words.append(table.word[k][node] if k else local)
+            logs.append(log)
+            begins = np.flatnonzero(words[k] >= 0) if k else np.zeros(0, np.int64)
+            for j in range(1, k + 1):
+                within[begins + j] = True
+        #: Of each stretch its first syllable, as they came.
+        self.starts = np.flatnonzero(~within)
+        self.lengths = lengths = np.diff(self.starts, append=n)
+        self.order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(len(lengths), np.int64)
+        rank[self.order] = np.arange(len(lengths))
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.most = int(lengths.max(initial=0))
+        self.active = np.searchsorted(-lengths[self.order], -np.arange(self.most + 1), side="left")  # stretches longer than t
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+        self.at = self.first[place] + np.repeat(rank, lengths)  # of each syllable as it came
+        self.words, self.logs = [self._laid(x) for x in words], [self._laid(x) for x in logs]
 
     def _laid(self, of_each: np.ndarray) -> np.ndarray:
         out = np.empty_like(of_each)
@@ -192,7 +213,7 @@ class Laid:
         return out
 
     def _log(self, t: int, k: int, n: int) -> np.ndarray:
-        """Of the words of k + 1 syllables that begin at t, of the first n runs."""
+        """Of the words of k + 1 syllables that begin at t, of the first n stretches."""
         return self.logs[k][self.first[t] : self.first[t] + n]
 
     def joined(self) -> np.ndarray:
@@ -220,12 +241,12 @@ class Laid:
 
     def expected(self, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """(words, how often each is expected): ``Lexicon.expected`` of all runs, each of which comes so many ``times``."""
-        times, most, active = times[self.order].astype(np.float64), self.most, self.active
+        times, most, active = np.repeat(times, self.runs)[self.starts][self.order].astype(np.float64), self.most, self.active
         forward, total = [np.zeros(len(self.lengths))], np.zeros(len(self.lengths))
         for end in range(1, most + 1):
             n = active[end - 1]
             forward.append(_log_sum([forward[end - k - 1][:n] + self._log(end - k - 1, k, n) for k in range(min(SYLLABLES, end))]))
-            total[:n] = forward[-1]  # a longer run's is written over
+            total[:n] = forward[-1]  # a longer stretch's is written over
         backward: list[np.ndarray] = [np.zeros(0)] * (most + 1)
         found = [np.zeros(len(x)) for x in self.logs]
         for t in range(most, -1, -1):
@@ -254,82 +275,160 @@ def _log_sum(ways: list[np.ndarray]) -> np.ndarray:
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
-    """run (lower-case syllables), times: the distinct runs of all texts. Runs longer than CUT syllables are cut, which learning alone sees."""
+    """run (lower-case syllables), times: the distinct runs of all texts, each of them whole."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, int] = {}
             for text in batch.column(0).to_pylist():
-                for said in _RUN.findall((text or "").lower()):
-                    run = said.split()
-                    for at in range(0, len(run), CUT):
-                        key = " ".join(run[at : at + CUT])
-                        seen[key] = seen.get(key, 0) + 1
+                for run in _RUN.findall((text or "").lower()):
+                    key = " ".join(run.split())
+                    seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["run", "times"])
 
-    # Dealt to so many parts that are not coalesced: what is learned from runs takes long, though they are few bytes.
-    parts = PARTS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism
-    found = texts.select("text").mapInArrow(cut, "run string, times long").repartition(parts, "run")
-    return found.groupBy("run").agg(F.sum("times").alias("times"))
+    return _summed(texts.select("text").mapInArrow(said, "run string, times long"))
 
 
-#: Parts of the table of runs for each core.
+#: Parts of the tables of runs and stretches for each core.
 PARTS_A_CORE = 4
-#: Learning cuts runs after so many syllables.
-CUT = 64
 
 
-def ngram_counts(run_table: DataFrame, least: int = LEAST, most: int | None = None) -> DataFrame:
-    """word, n: all single syllables, and words of up to SYLLABLES syllables that occur ``least`` times; where learning begins. With ``most`` the most frequent of either."""
+def _summed(found: DataFrame) -> DataFrame:
+    """Dealt to so many parts that are not coalesced: what is learned from runs takes long, though they are few bytes."""
+    parts = PARTS_A_CORE * found.sparkSession.sparkContext.defaultParallelism
+    return found.repartition(parts, "run").groupBy("run").agg(F.sum("times").alias("times"))
+
+
+def _syllables(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(all syllables one after the other, how many each run has, how often it comes) of pieces of a batch of runs."""
+    ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:] if batch.num_rows else []):
+        held = pc.split_pattern(batch.column(0).slice(a, b - a), " ")
+        yield held.flatten(), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+
+
+def _word_counts(run_table: DataFrame, sizes: range, known: Broadcast[Table] | None = None) -> DataFrame:
+    """word, n: words of so many syllables (one more each) in all runs; with ``known`` those alone whose syllables before the last are a word of it."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, RUNS_AT_ONCE):
-                some = batch.slice(at, RUNS_AT_ONCE)
-                held = pc.split_pattern(some.column(0), " ")
-                flat, lengths = held.flatten(), held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
-                times = np.repeat(some.column(1).to_numpy(zero_copy_only=False), lengths)
-                for k in range(1, SYLLABLES + 1):
-                    first = np.flatnonzero(left >= k)
-                    joined = pc.binary_join_element_wise(*[flat.take(pa.array(first + j)) for j in range(k)], "_")
-                    counts = pa.table({"word": joined, "n": times[first]}).group_by("word").aggregate([("n", "sum")])
-                    yield from counts.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
-
-    counted = run_table.select("run", "times").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    if most is None:
-        return counted.where((F.instr("word", "_") == 0) | (F.col("n") >= least))
-    long = counted.where((F.instr("word", "_") > 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(most)
-    single = counted.where(F.instr("word", "_") == 0).orderBy(F.desc("n"), "word").limit(most)
-    return single.unionByName(long)
+            for flat, lengths, times in _syllables(batch):
+                coded = flat.dictionary_encode()
+                names, local = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(local))
+                times = np.repeat(times, lengths)
+                first, node = np.arange(len(local)), np.zeros(len(local), np.int64)  # of each word its first syllable; and of those before the last what they are
+                if known is not None:
+                    node = known.value.words_of(names, local, left, sizes[0] - 1)
+                    first = np.flatnonzero(node >= 0)
+                for k in sizes:
+                    first = first[left[first] >= k]
+                    _, one, same = np.unique(node[first] * len(names) + local[first + k - 1], return_index=True, return_inverse=True)
+                    node[first] = same
+                    n = np.bincount(same, times[first], len(one)).astype(np.int64)
+                    made = pc.binary_join_element_wise(*[names.take(pa.array(local[first[one] + j])) for j in range(k)], "_")
+                    yield pa.RecordBatch.from_arrays([made.cast(pa.string()), pa.array(n)], ["word", "n"])
+
+    return run_table.select("run", "times").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+_SINGLE, _SEVERAL = "instr(word, '_') = 0", "instr(word, '_') > 0"
+
+
+def ngram_counts(run_table: DataFrame, least: int = LEAST) -> DataFrame:
+    """word, n: all single syllables, and words of up to SYLLABLES syllables that occur ``least`` times; where learning begins."""
+    return _word_counts(run_table, range(1, SYLLABLES + 1)).where(f"{_SINGLE} OR n >= {least}")
+
+
+def _first_rows(counts: DataFrame, most: int) -> dict[str, float]:
+    """word to n of the ``most`` most frequent, of equal ones the first words. A count of rows by n leaves out what can't be among them before any are sorted, so ``counts`` is best written."""
+    bound, n = None, 0
+    for r in sorted(counts.groupBy(F.floor("n").alias("n")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["n"]):
+        bound, n = r["n"], n + r["rows"]
+        if n >= most:
+            break
+    if bound is None:
+        return {}
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= bound).orderBy(F.desc("n"), "word").limit(most).collect()}
+
+
+def frequent_words(run_table: DataFrame, least: int = LEAST, most: int = MOST) -> dict[str, int]:
+    """Of ``ngram_counts`` the ``most`` most frequent single syllables and the ``most`` most frequent words of several.
+
+    A word comes no more often than its syllables without the last and stands behind them where it comes as often, so it is
+    among the first only if they are: longer words are counted where those before the last syllable are among the first so far.
+    """
+    held = Written(_word_counts(run_table, range(1, 3)).where(f"{_SINGLE} OR n >= {least}"))
+    try:
+        single, several = _first_rows(held.read().where(_SINGLE), most), _first_rows(held.read().where(_SEVERAL), most)
+    finally:
+        held.drop()
+    for k in range(3, SYLLABLES + 1):
+        known = run_table.sparkSession.sparkContext.broadcast(Table(Lexicon(several)))
+        held = Written(_word_counts(run_table, range(k, k + 1), known).where(F.col("n") >= least))
+        try:
+            several |= _first_rows(held.read(), most)
+        finally:
+            held.drop()
+            known.unpersist()
+        several = dict(sorted(several.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return single | several
+
+
+def stretch_counts(run_table: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """run, times: the distinct stretches of all runs, which no word of the lexicon leaves. From them the same is learned as from the runs, as learning drops words and adds none of several syllables."""
+    shared = run_table.sparkSession.sparkContext.broadcast(Table(lexicon))  # 2 x MOST words
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, lengths, times in _syllables(batch):
+                starts = shared.value.laid(flat, lengths).starts
+                made = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), flat), " ")
+                counts = pa.table({"run": made, "times": np.repeat(times, lengths)[starts]}).group_by("run").aggregate([("times", "sum")])
+                yield from counts.select(["run", "times_sum"]).rename_columns(["run", "times"]).combine_chunks().to_batches()
+
+    return _summed(run_table.select("run", "times").mapInArrow(stretches, "run string, times long"))
 
 
 def learn(texts: DataFrame, rounds: int = ROUNDS, least: int = LEAST, most: int = MOST) -> Lexicon:
     """The lexicon of a corpus (text). Null texts have no runs.
 
-    The distinct runs are counted once and written; a round adds up the expected counts of each partition's runs before they are shuffled.
+    The distinct runs are counted once and written, and so are the distinct stretches of runs that the lexicon's words part; a round
+    adds up the expected counts of each partition's stretches before they are shuffled.
     At most 2 x ``most`` words come to the driver and go out to the tasks.
     """
     held = Written(run_counts(texts))
     try:
-        table = held.read()
-        lexicon = Lexicon({r["word"]: float(r["n"]) for r in ngram_counts(table, least, most).collect()})
+        lexicon = Lexicon(frequent_words(held.read(), least, most))
+        stretches = Written(stretch_counts(held.read(), lexicon))
+    finally:
+        held.drop()
+    try:
         for _ in range(rounds):
-            shared = table.sparkSession.sparkContext.broadcast(Table(lexicon))  # 2 x most words
-
-            def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    held = pc.split_pattern(batch.column(0), " ")
-                    lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    words, n = shared.value.laid(held.flatten(), lengths).expected(batch.column(1).to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
-
-            counts = table.select("run", "times").mapInArrow(expect, "word string, n double").groupBy("word").agg(F.sum("n").alias("n"))
-            counts = counts.where(F.col("n") >= 1e-6).orderBy(F.desc("n"), "word").limit(2 * most)
-            lexicon = Lexicon({r["word"]: r["n"] for r in counts.collect()})
+            lexicon = _learned(stretches.read(), lexicon, most)
         return lexicon
+    finally:
+        stretches.drop()
+
+
+def _learned(table: DataFrame, lexicon: Lexicon, most: int) -> Lexicon:
+    """The lexicon after one more round over the distinct stretches."""
+    shared = table.sparkSession.sparkContext.broadcast(Table(lexicon))  # 2 x most words
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, lengths, times in _syllables(batch):
+                words, n = shared.value.laid(flat, lengths).expected(times)
+                yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
+
+    counts = table.select("run", "times").mapInArrow(expect, "word string, n double").groupBy("word").agg(F.sum("n").alias("n"))
+    held = Written(counts.where(F.col("n") >= 1e-6))
+    try:
+        return Lexicon(_first_rows(held.read(), 2 * most))
     finally:
         held.drop()
+        shared.unpersist()
 
 
 def segment(text: str | None, lexicon: Lexicon) -> str:

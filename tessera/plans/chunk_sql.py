@@ -117,8 +117,7 @@ SELECT item_id AS query_id, id, rank::BIGINT AS rank, round(score, 6) AS score F
 _SYLLABLE = r"[\p{L}\p{N}]+"
 #: A syllable or a mark.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-#: Runs of syllables with white space alone between them, cut after 64, and all words of up to four of their syllables.
+#: Runs of syllables with white space alone between them, and all words of up to four of their syllables.
 SYLLABLES = f"""WITH runs AS (SELECT regexp_extract_all(r, '{_SYLLABLE}') AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '{_SYLLABLE}(?:{_BLANK}+{_SYLLABLE})*')) AS r FROM documents)),
-cut AS (SELECT s[64 * k + 1 : 64 * k + 64] AS s FROM (SELECT s, unnest(range(0, (len(s) + 63) // 64)) AS k FROM runs)),
-words AS (SELECT k, array_to_string(s[i + 1 : i + k], '_') AS word FROM (SELECT s, k, unnest(range(0, len(s) - k + 1)) AS i FROM (SELECT s, unnest([1, 2, 3, 4]) AS k FROM cut)))
+words AS (SELECT k, array_to_string(s[i + 1 : i + k], '_') AS word FROM (SELECT s, k, unnest(range(0, len(s) - k + 1)) AS i FROM (SELECT s, unnest([1, 2, 3, 4]) AS k FROM runs)))
 SELECT word, count(*) AS n FROM words GROUP BY word, k HAVING k = 1 OR count(*) >= 3"""

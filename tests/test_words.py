@@ -80,6 +80,46 @@ def test_no_syllable_is_left_out_of_the_counts(spark):
     assert counts.count() == 200_100 > segment.MOST and counts.where("n <> 1").isEmpty()
 
 
+def test_words_of_long_runs_are_all_counted(spark):
+    """Wherever in a run they begin, and however long it is."""
+    run = [f"s{k}" for k in range(500)]
+    texts = spark.createDataFrame([(" ".join(run) + "." * k,) for k in range(3)] + [("s0",)], "text string")
+    got = {r["word"]: r["n"] for r in segment.ngram_counts(segment.run_counts(texts)).collect()}
+    assert got == {"_".join(run[a : a + k]): 3 + (a == 0 and k == 1) for k in range(1, 5) for a in range(501 - k)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longer_words_are_looked_for_behind_the_most_frequent(spark, seed):
+    """The same as the most frequent of all words, ties by word included."""
+    rng = random.Random(seed)
+    texts = spark.createDataFrame([(" ".join(rng.choices("abcdé", (9, 5, 3, 1, 1), k=rng.choice([3, 20, 200]))),) for _ in range(40)], "text string").repartition(3)
+    runs = segment.run_counts(texts)
+    every = sorted(segment.ngram_counts(runs, 2).collect(), key=lambda r: (-r["n"], r["word"]))
+    for most in (1, 3, 7, 50, 10_000):
+        first = [[(r["word"], r["n"]) for r in every if ("_" in r["word"]) == several][:most] for several in (False, True)]
+        assert segment.frequent_words(runs, 2, most) == dict(first[0] + first[1])
+
+
+def test_stretches_teach_what_whole_runs_teach(spark):
+    """A round over stretches of runs expects what one over the runs does; a word across the 64th syllable is learned."""
+    rng = random.Random(1)
+    texts = spark.createDataFrame([(" ".join(rng.choice(["ha noi", "viet nam", "an", "di", "o", f"x{rng.randrange(99)}"]) for _ in range(rng.choice([4, 90]))),) for _ in range(60)], "text string")
+    runs = segment.run_counts(texts)
+    lexicon = segment.Lexicon(segment.frequent_words(runs, 3, 12))
+    stretches = segment.stretch_counts(runs, lexicon).collect()
+    assert max(len(r["run"].split(" ")) for r in stretches) < max(len(r["run"].split(" ")) for r in runs.collect())
+    by_run, by_stretch = {}, {}
+    for rows, into in ((runs.collect(), by_run), (stretches, by_stretch)):
+        for r in rows:
+            lexicon.expected(r["run"].split(" "), into, r["times"])
+    assert by_run == pytest.approx(by_stretch, rel=1e-9, abs=1e-9)
+    learned = segment.learn(texts, 1, 3, 12)
+    total = sum(n for n in sorted(by_run.values())[-24:]) + segment.UNSEEN
+    assert all(math.isclose(p, math.log(by_run[w] / total), abs_tol=1e-9) for w, p in learned.log.items()) and len(learned.log) == 24
+    long = spark.createDataFrame([(" ".join([f"u{k}{j}" for j in range(63)] + ["ha", "noi"]),) for k in range(9)], "text string")
+    assert "ha_noi" in segment.learn(long).log
+
+
 def test_tokens_and_runs():
     assert segment.runs("Hà Nội, thủ-đô\n của nó a_b 3.5") == [["Hà", "Nội"], [","], ["thủ"], ["-"], ["đô", "của", "nó", "a"], ["_"], ["b", "3"], ["."], ["5"]]
     assert segment.runs(None) == segment.runs(" \n") == []
