@@ -350,7 +350,8 @@ def _first_rows(counts: DataFrame, most: int) -> dict[str, float]:
             break
     if bound is None:
         return {}
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= bound).orderBy(F.desc("n"), "word").limit(most).collect()}
+    first = counts.where(F.col("n") >= bound).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return dict(zip(first["word"].to_pylist(), first["n"].to_pylist()))
 
 
 def frequent_words(run_table: DataFrame, least: int = LEAST, most: int = MOST) -> dict[str, int]:
@@ -388,7 +389,8 @@ def stretch_counts(run_table: DataFrame, lexicon: Lexicon) -> DataFrame:
                 counts = pa.table({"run": made, "times": np.repeat(times, lengths)[starts]}).group_by("run").aggregate([("times", "sum")])
                 yield from counts.select(["run", "times_sum"]).rename_columns(["run", "times"]).combine_chunks().to_batches()
 
-    return _summed(run_table.select("run", "times").mapInArrow(stretches, "run string, times long"))
+    # By length, as stretches that are worked on together take as many steps as the longest.
+    return _summed(run_table.select("run", "times").mapInArrow(stretches, "run string, times long")).sortWithinPartitions(F.length("run"))
 
 
 def learn(texts: DataFrame, rounds: int = ROUNDS, least: int = LEAST, most: int = MOST) -> Lexicon:
@@ -447,7 +449,8 @@ def segmented_texts(texts: list[str | None], table: Table) -> list[str]:
         ends.append(len(flat))
     if not flat:
         return [""] * len(texts)
-    joins = table.laid(pa.array([x.lower() for x in flat], pa.string()), np.array(lengths, np.int64)).joined()
+    lower = "\n".join(flat).lower().split("\n")  # no syllable or mark has white space in it
+    joins = table.laid(pa.array(lower, pa.string()), np.array(lengths, np.int64)).joined()
     marked = [("_" if j else " ") + x for j, x in zip(joins.tolist(), flat)]
     return ["".join(marked[a:b])[1:] for a, b in zip([0, *ends], ends)]
 

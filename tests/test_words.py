@@ -120,6 +120,14 @@ def test_stretches_teach_what_whole_runs_teach(spark):
     assert "ha_noi" in segment.learn(long).log
 
 
+def test_steps_follow_the_stretches():
+    """However long a run is, it takes as many steps as its longest stretch of words that overlap or touch within; capitals of all kinds stay as they are."""
+    table = segment.Table(segment.Lexicon({"ha_noi": 9.0, "noi_o": 4.0, "an": 1.0}))
+    laid = table.laid(pa.array(["an", "ha", "noi", "o", "di"] * 1000, pa.string()), np.array([5000]))
+    assert laid.most == 3 and len(laid.starts) == 3000 and laid.joined().tolist() == [False, False, True, False, False] * 1000
+    assert segment.segmented_texts(["İ HA  Noi\x1cΑΣ ΣΑ", None, "\n"], table) == ["İ HA_Noi ΑΣ ΣΑ", "", ""]
+
+
 def test_tokens_and_runs():
     assert segment.runs("Hà Nội, thủ-đô\n của nó a_b 3.5") == [["Hà", "Nội"], [","], ["thủ"], ["-"], ["đô", "của", "nó", "a"], ["_"], ["b", "3"], ["."], ["5"]]
     assert segment.runs(None) == segment.runs(" \n") == []
